@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from leafmill.plans import core_problems
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p3_found": core_problems.p3_found,
+    "p3_values": core_problems.p3_values,
     "p5_found": core_problems.p5_found,
 }
 

@@ -3,10 +3,28 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from leafmill.operators import units
 from leafmill.operators.diff import table_differences
+from leafmill.session import cut
 from leafmill.sources.tables import table
 
+READING = ["report_id", "doc_id", "page", "extracted_at", "markdown"]
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Readings of one page that state the same quantities in different units."""
+    pairs = units.unit_pairs(table(spark, folder, "cross_validation_report"), READING)
+    return pairs.select(F.col("a").alias("report_id_a"), F.col("b").alias("report_id_b"))
+
+
+def p3_values(spark: SparkSession, folder: str) -> DataFrame:
+    """Every quantity of every reading in the common unit of its kind."""
+    parsed = cut(units.parse_readings(units.readings(table(spark, folder, "cross_validation_report"), *READING)))
+    out = units.common_quantities(parsed, units.mark_unit_changes(parsed))
+    return out.withColumnRenamed("id", "report_id")
+
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Differences between the readings and their mirror, field by field."""

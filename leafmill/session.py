@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,3 +60,25 @@ def small_side(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
     """
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return F.broadcast(df) if size <= limit else df
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers, once per Spark context.
+
+    A zip of the package is added with `addPyFile`, so neither an installation on the
+    executors nor a shared PYTHONPATH is needed.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_leafmill_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="leafmill-zip-")
+    path = os.path.join(folder, "leafmill_package.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for base, _, files in os.walk(root):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(base, name)
+                    z.write(full, os.path.join("leafmill", os.path.relpath(full, root)))
+    sc.addPyFile(path)
+    sc._leafmill_shipped = True
