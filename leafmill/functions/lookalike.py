@@ -16,6 +16,7 @@ Null stays null; an empty text stays empty.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column
@@ -59,6 +60,7 @@ def _one_to_one() -> dict[str, str]:
 _MAP = _one_to_one()
 _FROM = "".join(_MAP) + INVISIBLE
 _TO = "".join(_MAP.values())
+_MAPPED = re.compile("[" + re.escape(_FROM + "".join(LIGATURES)) + "]")
 _TABLE = str.maketrans(_MAP | {c: "" for c in INVISIBLE} | LIGATURES)
 
 
@@ -98,4 +100,4 @@ def fold_text(text: str | None) -> str | None:
     """`fold` for Python code, ending in NFC so that equal looks are equal strings."""
     if text is None or text.isascii():
         return text
-    return unicodedata.normalize("NFC", text.translate(_TABLE))
+    return unicodedata.normalize("NFC", text.translate(_TABLE) if _MAPPED.search(text) else text)

@@ -6,7 +6,6 @@ skeleton (the grid with numbers and units taken out) and its quantities.
 
 from __future__ import annotations
 
-import math
 import re
 from functools import lru_cache
 from typing import NamedTuple
@@ -92,18 +91,29 @@ _HEADER_UNIT = re.compile(
 _NOTE_UNIT = re.compile(rf"\b(?:in|en)\s+({_UNIT_TEXT.pattern})\s*\.?\s*$", re.I)
 _RULE_LINE = re.compile(r"^\|?[\s:|-]*-[\s:|-]*\|?$")
 _SPACE = re.compile(r"\s+")
+_DIGIT = re.compile(r"\d")
+
+
+#: Codes from here on: a unit per N of its denominator ("mg/5 mL"), N times this plus the unit's code.
+PER = 1000
+
+
+def factor_of(code: int) -> float:
+    """Factor of a unit code to the common unit of its kind."""
+    return ALL_UNITS[code % PER].factor / max(1, code // PER)
 
 
 @lru_cache(maxsize=4096)
-def unit_of(text: str, kind: str | None) -> tuple[Unit, float] | None:
-    """The unit spelt `text` for a column of `kind` (None: any), with its factor."""
-    key = _SPACE.sub("", text.lower().replace(" per ", "/")).replace("per", "/", 1) if re.search(r"\bper\b", text.lower()) else _SPACE.sub("", text.lower())
-    part = 1.0
+def unit_of(text: str, kind: str | None) -> int | None:
+    """Code of the unit spelt `text` in a column of `kind` (None: any)."""
+    low = text.lower()
+    key = _SPACE.sub("", re.sub(r"\bper\b", "/", low))
+    per = 0
     if m := _PER_N.match(key):
-        key, part = f"{m[1]}/{m[3]}", 1.0 / float(m[2])
+        key, per = f"{m[1]}/{m[3]}", int(m[2])
     for k in _MAY_BE.get(kind, (kind,)):
         if u := _SPELT[k].get(key):
-            return u, u.factor * part
+            return u.code + (PER * per if per > 1 else 0)
     return None
 
 
@@ -115,11 +125,14 @@ def number(text: str) -> float:
     return float(t.replace(",", "."))
 
 
-def common_value(raw: float, unit: Unit, factor: float | None = None) -> float:
-    """`raw` in the common unit of its kind."""
-    if unit.name == "°F":
+def common_value(raw: float, code: int) -> float:
+    """`raw`, recorded in the unit `code`, in the common unit of its kind."""
+    if code == _FAHRENHEIT:
         return (raw - 32.0) / 1.8
-    return raw * (unit.factor if factor is None else factor)
+    return raw * factor_of(code)
+
+
+_FAHRENHEIT = next(u.code for u in ALL_UNITS if u.name == "°F")
 
 
 @lru_cache(maxsize=8192)
@@ -130,37 +143,37 @@ def _kind_of(header: str) -> str | None:
 
 
 @lru_cache(maxsize=8192)
-def _read_header(header: str) -> tuple[str, str | None, tuple[Unit, float] | None]:
+def _read_header(header: str) -> tuple[str, str | None, int | None]:
     """(header without its unit, kind, unit)."""
     kind = _kind_of(header)
     for m in _HEADER_UNIT.finditer(header):
         text = m["a"] or m["b"] or m["c"] or m["d"]
-        if u := unit_of(text, kind):
+        if (u := unit_of(text, kind)) is not None:
             return _SPACE.sub(" ", header[: m.start()] + " " + header[m.end() :]).strip(), kind, u
     return header, kind, None
 
 
 def _cells(line: str) -> list[str]:
-    line = line.strip()
-    line = line.removeprefix("|").removesuffix("|")
-    return [_SPACE.sub(" ", c.replace("<br>", " ")).strip() for c in line.split("|")]
+    if "<br>" in line or "  " in line or "\t" in line:
+        line = _SPACE.sub(" ", line.replace("<br>", " "))
+    return [c.strip() for c in line.removeprefix("|").removesuffix("|").split("|")]
 
 
-@lru_cache(maxsize=65536)
-def _read_cell(cell: str, kind: str | None) -> tuple[str, tuple[tuple[float, tuple[Unit, float] | None], ...]] | None:
+@lru_cache(maxsize=200_000)
+def _read_cell(cell: str, kind: str | None) -> tuple[str, tuple[tuple[float, int | None], ...]] | None:
     """(cell without numbers and units, its quantities), None if it states no quantity."""
-    if "×" in cell or not any(c.isdigit() for c in cell):
+    if "×" in cell or len(cell) > 60 or not _DIGIT.search(cell):
         return None
-    found: list[tuple[float, tuple[Unit, float] | None]] = []
+    found: list[tuple[float, int | None]] = []
     rest, at = [], 0
     for m in _QUANTITY.finditer(cell):
         u = unit_of(m[2], kind) if m[2] else None
-        rest.append(cell[at : m.start()] + "#" + ("" if u else cell[m.end(1) : m.end()]))
+        rest.append(cell[at : m.start()] + "#" + ("" if u is not None else cell[m.end(1) : m.end()]))
         at = m.end()
         found.append((number(m[1]), u))
     rest.append(cell[at:])
     left = "".join(rest)
-    if kind is None and not any(u for _, u in found):
+    if kind is None and all(u is None for _, u in found):
         return None
     if any(w not in FILLERS for w in _WORD.findall(left.lower())):
         return None
@@ -170,24 +183,23 @@ def _read_cell(cell: str, kind: str | None) -> tuple[str, tuple[tuple[float, tup
     return _SPACE.sub("", left), tuple(found)
 
 
-def parse_table(markdown: str | None) -> tuple[str, list[Quantity], list[float]] | None:
-    """(skeleton, quantities, their values in common units; NaN where no unit is named).
+def parse_table(markdown: str | None) -> tuple[str, list[Quantity]] | None:
+    """(skeleton, quantities); a quantity for which no unit is named has the code -1.
 
     None for null, text without a grid, and tables without quantities.
     """
     if not markdown:
         return None
-    text = fold_text(markdown)
-    lines = [x for x in (y.strip() for y in text.split("\n")) if x]
-    grid = [x for x in lines if x.startswith("|") and not _RULE_LINE.match(x)]
+    lines = [x for x in map(str.strip, fold_text(markdown).split("\n")) if x]
+    grid = [x for x in lines if x[0] == "|" and not (x.find("-") >= 0 and _RULE_LINE.match(x))]
     if len(grid) < 2:
         return None
     notes = {}
     for x in lines:
-        if not x.startswith("|") and (m := _NOTE_UNIT.search(x)) and (kind := _kind_of(x)) and (u := unit_of(m[1], kind)):
-            notes[kind] = u
+        if x[0] != "|" and (m := _NOTE_UNIT.search(x[-80:])) and (kind := _kind_of(x[:200])):
+            notes[kind] = unit_of(m[1], kind)
     heads = [_read_header(h) for h in _cells(grid[0])]
-    shape, quantities, values = ["|".join(h[0] for h in heads)], [], []
+    shape, quantities = ["|".join(h[0] for h in heads)], []
     for i, line in enumerate(grid[1:]):
         out = []
         for j, cell in enumerate(_cells(line)):
@@ -197,9 +209,9 @@ def parse_table(markdown: str | None) -> tuple[str, list[Quantity], list[float]]
                 out.append(cell)
                 continue
             out.append(got[0])
-            for part, (raw, own) in enumerate(got[1]):
-                u = own or unit or notes.get(kind)
-                quantities.append(Quantity(i, j, part, u[0].kind if u else kind or "", u[0].code if u else -1, raw))
-                values.append(common_value(raw, *u) if u else math.nan)
+            for part, (raw, code) in enumerate(got[1]):
+                if code is None:
+                    code = unit if unit is not None else notes.get(kind)
+                quantities.append(Quantity(i, j, part, (ALL_UNITS[code % PER].kind if code is not None else kind) or "", -1 if code is None else code, raw))
         shape.append("|".join(out))
-    return ("\n".join(shape), quantities, values) if quantities else None
+    return ("\n".join(shape), quantities) if quantities else None

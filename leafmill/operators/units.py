@@ -21,6 +21,7 @@ again counts once. A null id, source or page never pairs.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator, Sequence
 
@@ -29,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.functions.units import ALL_UNITS, COMMON, parse_table
+from leafmill.functions.units import ALL_UNITS, COMMON, PER, factor_of, parse_table
 from leafmill.session import cut
 
 #: Readings of one history that one changepoint search takes at a time.
@@ -39,12 +40,15 @@ PENALTY = 0.001
 #: Relative difference up to which two values are the same.
 TOLERANCE = 0.02
 
-PARSED = "id bigint, source string, page int, at timestamp, skeleton bigint, shape string, kinds array<string>, codes array<int>, raws array<double>, commons array<double>, places array<string>"
+PARSED = "id bigint, page int, history bigint, at timestamp, kinds array<string>, codes array<int>, raws array<double>, places array<string>"
 
 
-def parse_readings(report: DataFrame, keep_shape: bool = False) -> DataFrame:
-    """One row per reading that states quantities; arrays are parallel, one entry a quantity."""
-    import hashlib
+def parse_readings(report: DataFrame, keep_places: bool = False) -> DataFrame:
+    """One row per reading that states quantities; arrays are parallel, one entry a quantity.
+
+    `history` is a digest of source, page and skeleton. `kinds` is kept only where a unit is
+    not named (otherwise the code tells the kind), `places` (row:column:part) on request.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -53,13 +57,25 @@ def parse_readings(report: DataFrame, keep_shape: bool = False) -> DataFrame:
                 got = parse_table(md)
                 if got is None:
                     continue
-                shape, qs, common = got
-                digest = int.from_bytes(hashlib.blake2b(shape.encode(), digest_size=8).digest(), "big", signed=True)
-                out.append((id_, source, page, at, digest, shape if keep_shape else None, [q.kind for q in qs], [q.code for q in qs], [q.raw for q in qs], common, [f"{q.row}:{q.col}:{q.part}" for q in qs]))
-            yield pd.DataFrame(out, columns=["id", "source", "page", "at", "skeleton", "shape", "kinds", "codes", "raws", "commons", "places"])
-
-    rows = report.where(F.col("markdown").isNotNull() & F.col("id").isNotNull() & F.col("source").isNotNull() & F.col("page").isNotNull())
-    return rows.select("id", "source", "page", "at", "markdown").mapInPandas(run, PARSED)
+                shape, qs = got
+                digest = hashlib.blake2b(f"{source}\0{page}\0{shape}".encode(), digest_size=8).digest()
+                named = all(q.code >= 0 for q in qs)
+                out.append(
+                    (
+                        id_,
+                        page,
+                        int.from_bytes(digest, "big", signed=True),
+                        at,
+                        None if named else [q.kind for q in qs],
+                        [q.code for q in qs],
+                        [q.raw for q in qs],
+                        [f"{q.row}:{q.col}:{q.part}" for q in qs] if keep_places else None,
+                    )
+                )
+            yield pd.DataFrame(out, columns=["id", "page", "history", "at", "kinds", "codes", "raws", "places"])
+
+    whole = report.dropna(subset=["id", "source", "page", "markdown"])
+    return whole.select("id", "source", "page", "at", "markdown").mapInPandas(run, PARSED)
 
 
 def segment_levels(values: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
@@ -97,81 +113,76 @@ for _u in ALL_UNITS:
 
 def unit_from_shift(kind: str, code: int, shift: float, tolerance: float = TOLERANCE) -> int:
     """The unit whose values lie `shift` (log) above those of unit `code`, -1 if none does."""
-    if code < 0 or ALL_UNITS[code].name == "°F":
+    if code < 0 or ALL_UNITS[code % PER].name == "°F":
         return -1
     for u in _BY_KIND.get(kind, ()):
-        if u.name not in ("°F",) and abs(shift - math.log(ALL_UNITS[code].factor / u.factor)) <= tolerance:
+        if u.name != "°F" and abs(shift - math.log(factor_of(code) / u.factor)) <= tolerance:
             return u.code
     return -1
 
 
 def _mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Per block of a history: segment, mark level shifts, reverse them where no unit is named."""
+    factors = np.array([u.factor for u in ALL_UNITS])
+    fahrenheit = next(u.code for u in ALL_UNITS if u.name == "°F")
     for b in batches:
-        blocks = [[(r["at"], r["id"], r["kinds"], r["codes"], r["raws"], r["commons"]) for r in rows] for rows in b["readings"]]
-        by_size: dict[int, list[int]] = {}
-        for k, rows in enumerate(blocks):
-            rows.sort(key=lambda r: (r[0] is None, r[0], r[1]))
-            if b["anchor"][k] is not None:
-                a = b["anchor"][k]
-                rows.insert(0, (None, None, a["kinds"], a["codes"], a["raws"], a["commons"]))
+        blocks, by_size = [], {}
+        for k, (rows, anchor) in enumerate(zip(b["readings"], b["anchor"], strict=True)):
+            rows = sorted(rows, key=lambda r: (r["at"] is None, r["at"], r["id"]))
+            if anchor is not None:
+                rows.insert(0, {"id": None, **anchor})
+            blocks.append(rows)
             by_size.setdefault(len(rows), []).append(k)
         for size, ks in by_size.items():
-            logs = np.concatenate([np.array([r[4] for r in blocks[k]], dtype=float).reshape(size, -1) for k in ks], axis=1)
-            logs = np.log(np.maximum(np.abs(logs), 1e-9))
-            shift = segment_levels(logs)
+            logs = np.concatenate([np.stack([r["raws"] for r in blocks[k]]) for k in ks], axis=1)
+            shift = segment_levels(np.log(np.maximum(np.abs(logs), 1e-9)))
             shift -= shift[0]
             at, out = 0, []
             for k in ks:
-                rows = blocks[k]
-                width = len(rows[0][4])
+                rows, first = blocks[k], blocks[k][0]
+                width = len(first["raws"])
                 part = shift[:, at : at + width]
                 at += width
-                first = rows[0]
-                for i, (_, id_, kinds, codes, raws, commons) in enumerate(rows):
-                    if id_ is None:
+                moved = (np.abs(part) > TOLERANCE).any(axis=1)
+                for i, r in enumerate(rows):
+                    if r["id"] is None:
                         continue
-                    codes, commons = list(codes), list(commons)
-                    moved = np.abs(part[i]) > TOLERANCE
-                    for j in range(width):
-                        if codes[j] < 0 and first[3][j] >= 0:  # no unit named: reverse the marked shift
-                            codes[j] = unit_from_shift(kinds[j] or first[2][j], first[3][j], float(part[i][j]))
-                            if codes[j] >= 0:
-                                commons[j] = raws[j] * ALL_UNITS[codes[j]].factor
-                    out.append((id_, b["source"][k], b["page"][k], b["skeleton"][k], codes, commons, bool(moved.any())))
-            yield pd.DataFrame(out, columns=["id", "source", "page", "skeleton", "codes", "commons", "shifted"])
+                    codes, raws = np.array(r["codes"]), np.asarray(r["raws"])
+                    for j in np.nonzero((codes < 0) & (np.asarray(first["codes"]) >= 0))[0]:
+                        # no unit named here: the marked level shift tells it
+                        codes[j] = unit_from_shift(ALL_UNITS[first["codes"][j] % PER].kind, int(first["codes"][j]), float(part[i][j]))
+                    common = raws * factors[codes % PER] / np.maximum(1, codes // PER)
+                    common = np.where(codes == fahrenheit, (raws - 32.0) / 1.8, common)
+                    out.append((r["id"], b["page"][k], b["history"][k], codes, np.where(codes < 0, np.nan, common), bool(moved[i])))
+            yield pd.DataFrame(out, columns=["id", "page", "history", "codes", "commons", "shifted"])
 
 
-MARKED = "id bigint, source string, page int, skeleton bigint, codes array<int>, commons array<double>, shifted boolean"
+MARKED = "id bigint, page int, history bigint, codes array<int>, commons array<double>, shifted boolean"
+KEYS = ["page", "history"]
 
 
 def mark_unit_changes(parsed: DataFrame, block: int = BLOCK) -> DataFrame:
     """Each reading's units and common values after segmentation of its history.
 
     `shifted` tells that a quantity's level differs from the history's first reading. `parsed`
-    should be checkpointed: it is read twice.
+    should be checkpointed: it is read twice. Readings delivered again may come out again.
     """
-    keys = ["source", "page", "skeleton"]
-    one = parsed.select(*keys, "id", "at", F.struct("kinds", "codes", "raws", "commons").alias("what")).dropDuplicates([*keys, "id"])
+    one = parsed.select(*KEYS, "id", "at", "codes", "raws")
     # only histories longer than a block need an anchor and more than one block
-    long = (
-        parsed.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("at", "id"))["id"].alias("first_id"))
-        .where(F.col("n") > block)
-    )
-    anchors = long.join(one, keys).where(F.col("id") == F.col("first_id")).select(*keys, "n", F.col("what").alias("anchor"))
+    long = parsed.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("at", "id"))["id"].alias("id")).where(F.col("n") > block)
+    anchors = long.join(one, [*KEYS, "id"]).groupBy(*KEYS).agg(F.max("n").alias("n"), F.any_value(F.struct("codes", "raws")).alias("anchor"))
     blocks = (
-        one.join(anchors, keys, "left")
+        one.join(anchors, KEYS, "left")
         .withColumn("block", F.coalesce(F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / block)), F.lit(0)))
-        .groupBy(*keys, "block")
-        .agg(F.collect_list(F.struct("at", "id", "what.*")).alias("readings"), F.any_value("anchor").alias("anchor"))
+        .groupBy(*KEYS, "block")
+        .agg(F.collect_list(F.struct("at", "id", "codes", "raws")).alias("readings"), F.any_value("anchor").alias("anchor"))
     )
-    return blocks.select(*keys, "readings", "anchor").mapInPandas(_mark, MARKED)
+    return blocks.select(*KEYS, "readings", "anchor").mapInPandas(_mark, MARKED)
 
 
 def same_in_other_units(marked: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """(a, b), a < b: readings of one history with equal quantities, one of them in another unit."""
-    keys = ["source", "page", "skeleton"]
+    keys = KEYS
     rows = marked.where(~F.exists("commons", lambda v: v.isNull() | F.isnan(v))).withColumn("variant", F.xxhash64("codes", "commons"))
     variants = rows.groupBy(*keys, "variant").agg(F.any_value("codes").alias("codes"), F.any_value("commons").alias("commons"))
     first = F.element_at("commons", 1)
@@ -193,24 +204,25 @@ def same_in_other_units(marked: DataFrame, tolerance: float = TOLERANCE) -> Data
 
 
 def common_quantities(parsed: DataFrame, marked: DataFrame) -> DataFrame:
-    """(id, row, col, part, kind, value, unit): every quantity in the common unit of its kind.
+    """(id, row_no, col_no, part, kind, value, unit): every quantity in its kind's common unit.
 
-    A quantity for which neither a named unit nor a marked shift gives a unit has a null value
-    and unit.
+    `parsed` needs its places. A quantity for which neither a named unit nor a marked shift
+    gives a unit has a null kind, value and unit.
     """
     names = F.create_map(*(F.lit(x) for u in ALL_UNITS for x in (u.code, COMMON[u.kind])))
     kinds = F.create_map(*(F.lit(x) for u in ALL_UNITS for x in (u.code, u.kind)))
     places = parsed.select("id", "places").dropDuplicates(["id"])
-    long = marked.join(places, "id").select("id", F.inline(F.arrays_zip("places", "codes", "commons")))
+    long = marked.dropDuplicates(["id"]).join(places, "id").select("id", F.inline(F.arrays_zip("places", "codes", "commons")))
     at = F.split("places", ":")
+    code = F.pmod("codes", F.lit(PER))
     return long.select(
         "id",
         at[0].cast("int").alias("row_no"),
         at[1].cast("int").alias("col_no"),
         at[2].cast("int").alias("part"),
-        F.try_element_at(kinds, "codes").alias("kind"),
+        F.when(F.col("codes") >= 0, F.try_element_at(kinds, code)).alias("kind"),
         F.when(F.col("codes") >= 0, F.round("commons", 6)).alias("value"),
-        F.try_element_at(names, "codes").alias("unit"),
+        F.when(F.col("codes") >= 0, F.try_element_at(names, code)).alias("unit"),
     )
 
 

@@ -21,7 +21,7 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_values(spark: SparkSession, folder: str) -> DataFrame:
     """Every quantity of every reading in the common unit of its kind."""
-    parsed = cut(units.parse_readings(units.readings(table(spark, folder, "cross_validation_report"), *READING)))
+    parsed = cut(units.parse_readings(units.readings(table(spark, folder, "cross_validation_report"), *READING), keep_places=True))
     out = units.common_quantities(parsed, units.mark_unit_changes(parsed))
     return out.withColumnRenamed("id", "report_id")
 
