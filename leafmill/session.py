@@ -62,6 +62,14 @@ def small_side(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
     return F.broadcast(df) if size <= limit else df
 
 
+def counted_side(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+    """Hint a broadcast only if `df` is counted to hold at most `max_rows` narrow rows.
+
+    For derived tables without statistics; beyond the bound the join stays a shuffle join.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in the Python workers, once per Spark context.
 
