@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import lookalike
+from leafmill.llm import leakage, lookalike, split, tokenize, truncation
 from leafmill.sources.tables import table
 
 
@@ -24,6 +24,54 @@ def p2_canonical(spark: SparkSession, folder: str) -> DataFrame:
     return lookalike.canonical_text(report, "markdown", out="canonical")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p2_canonical": p2_canonical}
+def _oversized(spark: SparkSession, folder: str, only_oversized: bool) -> DataFrame:
+    chunk = table(spark, folder, "chunk").select(F.lit("chunk").alias("rec_table"), F.col("chunk_id").alias("rec_id"), "text")
+    report = table(spark, folder, "cross_validation_report").select(
+        F.lit("cross_validation_report").alias("rec_table"), F.col("report_id").cast("string").alias("rec_id"), F.col("markdown").alias("text")
+    )
+    rows = chunk.unionByName(report).select(F.struct("rec_table", "rec_id").alias("rec"), "text")
+    return split.split_texts(rows, "rec", "text", only_oversized=only_oversized).select("rec.*", "piece_no", "start_at", "piece")
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Records that had to be cut: those whose text came out in more than one piece."""
+    return _oversized(spark, folder, True).where("piece_no = 1").select("rec_table", "rec_id").distinct()
+
+
+def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """All pieces of all records."""
+    return _oversized(spark, folder, False)
+
+
+def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of every document."""
+    return tokenize.token_ids(table(spark, folder, "documents"), "doc_id", "text")
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents and the held-out passages they leak."""
+    return leakage.leaked_items(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "passage")
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that were cut."""
+    return truncation.cut_texts(table(spark, folder, "documents"), "doc_id", "text", "source").select("doc_id").distinct()
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each source cuts its documents."""
+    return truncation.cut_shares(table(spark, folder, "documents"), "doc_id", "text", "source")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p2_found": p2_found,
+    "p2_canonical": p2_canonical,
+    "p4_found": p4_found,
+    "p4_pieces": p4_pieces,
+    "p6_ids": p6_ids,
+    "p7_found": p7_found,
+    "p8_found": p8_found,
+    "p8_shares": p8_shares,
+}
 
 SQL: dict[str, str] = {}
