@@ -7,10 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import leakage, lookalike, split, tokenize, truncation
+from leafmill.llm import leakage, lookalike, ocr, split, tokenize, truncation
 from leafmill.sources.tables import table
 
 
+def _scans(spark: SparkSession, folder: str) -> DataFrame:
+    images = table(spark, folder, "images").select(F.lit("images").alias("rec_table"), F.col("image_id").alias("rec_id"), "doc_id", F.col("page_no").alias("page"), F.col("ocr_text").alias("text"))
+    chunk = table(spark, folder, "chunk").select(F.lit("chunk").alias("rec_table"), F.col("chunk_id").alias("rec_id"), "doc_id", "page", "text")
+    return ocr.repair(images.unionByName(chunk), table(spark, folder, "guideline_docs").select("doc_id", "title", "short_name"))
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Records and the kinds of scan noise in their text."""
+    return ocr.noise_kinds(_scans(spark, folder))
+
+
+def p1_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Every record's text as continuous paragraphs."""
+    return _scans(spark, folder).select("rec_table", "rec_id", "repaired")
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Readings of one page that print alike but are stored with different characters."""
     report = table(spark, folder, "cross_validation_report").select("report_id", "doc_id", "page", "markdown", "headers")
@@ -64,6 +80,8 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_text": p1_text,
     "p2_found": p2_found,
     "p2_canonical": p2_canonical,
     "p4_found": p4_found,
