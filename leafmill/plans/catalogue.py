@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.plans import core_problems
+from leafmill.plans import core_problems, table_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": core_problems.p3_found,
     "p3_values": core_problems.p3_values,
     "p5_found": core_problems.p5_found,
+    **table_queries.QUERIES,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {**table_queries.SQL}
