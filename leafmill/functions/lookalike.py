@@ -101,3 +101,12 @@ def fold_text(text: str | None) -> str | None:
     if text is None or text.isascii():
         return text
     return unicodedata.normalize("NFC", text.translate(_TABLE) if _MAPPED.search(text) else text)
+
+
+def fold_sql(text: str) -> str:
+    """`fold_text` as an SQL expression over the column or expression `text`."""
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    out = f"translate({text}, {quote(_FROM)}, {quote(_TO)})"
+    for one, many in LIGATURES.items():
+        out = f"replace({out}, '{one}', '{many}')"
+    return f"nfc_normalize({out})"

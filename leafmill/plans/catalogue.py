@@ -9,11 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from leafmill.plans import core_problems, table_queries, text_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p3_found": core_problems.p3_found,
-    "p3_values": core_problems.p3_values,
-    "p5_found": core_problems.p5_found,
+    **core_problems.QUERIES,
     **table_queries.QUERIES,
     **text_queries.QUERIES,
 }
 
-SQL: dict[str, str] = {**table_queries.SQL, **text_queries.SQL}
+SQL: dict[str, str] = {**core_problems.SQL, **table_queries.SQL, **text_queries.SQL}
