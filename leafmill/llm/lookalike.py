@@ -23,6 +23,8 @@ def canonical_text(df: DataFrame, column: str, within: Sequence[str] = (), out:
     characters only. `within` restricts classes to rows equal in those columns. Extra
     columns pass through; `out` must be a new name.
     """
+    if out in df.columns:
+        raise ValueError(f"column {out} exists")
     keys = [F.col(f"`{k}`").alias(f"_w{i}") for i, k in enumerate(within)]
     names = [f"_w{i}" for i in range(len(within))]
     col = F.col(f"`{column}`")
@@ -33,7 +35,7 @@ def canonical_text(df: DataFrame, column: str, within: Sequence[str] = (), out:
     on = F.col("_look").eqNullSafe(printed_as(F.col(f"d.`{column}`")))
     for i, k in enumerate(within):
         on &= F.col(f"_w{i}").eqNullSafe(F.col(f"d.`{k}`"))
-    return df.alias("d").join(best, on, "left").select("d.*", out)
+    return df.alias("d").join(best, on, "left").select("d.*", best[out])
 
 
 def classes_of_looks(df: DataFrame, key: str, within: Sequence[str], texts: Sequence[str]) -> DataFrame:

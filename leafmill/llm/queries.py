@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill.functions.lookalike import fold_sql
 from leafmill.llm import leakage, lookalike, ocr, split, tokenize, truncation
 from leafmill.sources.tables import table
 
@@ -92,4 +93,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_shares": p8_shares,
 }
 
-SQL: dict[str, str] = {}
+_LOOKS = (
+    "with v as (select distinct report_id, doc_id, page, markdown, headers::varchar as stored, "
+    f"{fold_sql('markdown')} as m, to_json(list_transform(headers, lambda h: {fold_sql('h')})) as h "
+    "from cross_validation_report where markdown is not null and headers is not null and doc_id is not null and page is not null) "
+)
+
+SQL: dict[str, str] = {
+    "p2_found": _LOOKS + "select a.report_id as report_id_a, b.report_id as report_id_b from v a join v b on a.doc_id = b.doc_id and a.page = b.page and a.m = b.m and a.h = b.h and a.report_id < b.report_id where a.markdown <> b.markdown or a.stored <> b.stored",
+    "p2_canonical": f"with t as (select distinct report_id, markdown from cross_validation_report), n as (select markdown, {fold_sql('markdown')} as look, count(*) as n from t where markdown is not null group by 1), "
+    "k as (select look, first(markdown order by n desc, length(markdown), markdown) as canonical from n group by 1) select report_id, t.markdown, canonical from t left join n on n.markdown = t.markdown left join k on k.look = n.look",
+    "p4_found": "select distinct 'chunk' as rec_table, chunk_id as rec_id from chunk where length(text) > 2000 union select distinct 'cross_validation_report', report_id::varchar from cross_validation_report where length(markdown) > 2000",
+}
