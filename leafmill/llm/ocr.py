@@ -161,12 +161,16 @@ def break_forms(token: str) -> tuple[str, str]:
 
 def candidates(word: str, most: int = MAX_SITES) -> dict[str, int]:
     """Words that may have been meant by `word`, with the number of confusions."""
+    out: dict[str, int] = {}
     if _ODD_NUMBER.fullmatch(word) and not _NUMBER.fullmatch(word):
-        return {NUMBER: sum(c in _FIGURE for c in word)}
+        letters = sum(c in _FIGURE for c in word)
+        if len(word) <= 4 or 2 * letters <= len(word):
+            out[NUMBER] = letters
+        if word[0] not in "1508639" and word[0].isdigit():
+            return out
     sites = [(m.start(), seen, meant) for seen, meant in _PAIRS for m in re.finditer(f"(?={re.escape(seen)})", word)]
     strange = [s for s in sites if not s[1].isalpha() or s[1] in "†ſ"]
     odd = {s[0] for s in strange}
-    out: dict[str, int] = {}
     for k in range(1, most + 1):
         for chosen in itertools.combinations(sites, k):
             at = [c[0] for c in chosen]
@@ -202,6 +206,11 @@ def _layout(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["rec_table", "rec_id", "text", "header", "pageno", "tokens", "breaks"])
 
 
+def _halves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        yield pd.DataFrame([(t, *break_forms(t)) for t in b["token"]], columns=["token", "joined", "hyphened"])
+
+
 def _spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         out = [(w, n, c, k) for w, n in zip(b["word"], b["n"], strict=True) for c, k in candidates(w).items()]
@@ -363,9 +372,7 @@ def repair(records: DataFrame, guidelines: DataFrame) -> DataFrame:
     total = float(counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
 
     # divided words: which of the two forms the corpus writes, misread halves included
-    forms = F.udf(break_forms, "struct<joined string, hyphened string>")
-    halves = parsed.select(F.explode("breaks").alias("token")).distinct().withColumn("f", forms("token")).select("token", "f.joined", "f.hyphened")
-    halves = cut(halves)
+    halves = cut(parsed.select(F.explode("breaks").alias("token")).distinct().mapInPandas(_halves, "token string, joined string, hyphened string"))
     asked = seen.select("seen").union(halves.select("joined")).union(halves.select("hyphened")).distinct()
     types = asked.withColumn("w", form(F.col("seen"))).join(counts, "w", "left").select(F.col("seen").alias("word"), F.coalesce("n", F.lit(0)).alias("n"))
     spelt = types.where(F.length("word").between(2, 40)).mapInPandas(_spell, "word string, n bigint, cand string, sites int")

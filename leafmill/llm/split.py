@@ -28,8 +28,10 @@ from pyspark.sql import functions as F
 
 LIMIT, OVERLAP = 2000, 150
 
+_GAP = r"[^\S\r\n]+(?![\r\n])"
 _BOUNDARY = re.compile(
-    r"(?P<blank>\n[ \t]*(?:\r?\n[ \t]*)+)|(?P<line>\r?\n|\r)|(?P<sentence>[.!?…。！？][\"'»”)\]]*\s+)|(?P<clause>[,;:—|]\s+)|(?P<space>\s+)"
+    r"(?P<blank>(?:\r\n|\n|\r)[^\S\r\n]*(?:(?:\r\n|\n|\r)[^\S\r\n]*)+)|(?P<line>\r\n|\n|\r)"
+    rf"|(?P<sentence>[.!?…。！？][\"'»”)\]]*{_GAP})|(?P<clause>[,;:—|]{_GAP})|(?P<space>[^\S\r\n]+)"
 )
 _STRENGTH = {"blank": 5, "line": 4, "sentence": 3, "clause": 2, "space": 1}
 
