@@ -295,7 +295,7 @@ assert not set(QUERIES) & set(TABLE_QUERIES)
 _C = "c as (select distinct chunk_id, doc_id, page, heading, level, text, has_tables, is_table_only from chunk)"
 _D = "d as (select doc_id, text, guideline_id from documents where text is not null)"
 _L = "ln as (select doc_id, unnest(range(len(ls))) as line_no, unnest(ls) as line from (select doc_id, string_split(text, chr(10)) as ls from d))"
-_SEC = "sc as (select *, starts_with(line, '## ') as is_heading, sum(starts_with(line, '## ')::int) over (partition by doc_id order by line_no) as section_no from ln)"
+_SEC = "sc as (select *, starts_with(line, '## ') as is_heading, (sum(starts_with(line, '## ')::int) over (partition by doc_id order by line_no))::bigint as section_no from ln)"
 _I = "i as (select distinct image_id, doc_id, image_index, page_no, caption, ocr_text, width, height, error from images)"
 _R = "r as (select distinct report_id, doc_id, engine, page, num_cols, markdown from cross_validation_report where error is null and markdown is not null)"
 _WORDS = "len(list_filter(regexp_split_to_array({x}, '\\s+'), w -> w <> ''))"
@@ -330,7 +330,7 @@ _KG = "try_cast(regexp_extract(list_extract({a}, -1), '(\\d+(?:\\.\\d+)?)\\s*kg'
 _LESS = "(contains(lower(w), 'less') or contains(w, '<'))"
 _CARE = "|".join(sorted((re.escape(t).replace("\\ ", " ").replace("\\-", "-") for t in SETTINGS.care_levels), key=lambda t: (-len(t), t)))
 _HIGH = "|".join(re.escape(t).replace("\\ ", " ").replace("\\-", "-") for t in SETTINGS.high_preservation_terms)
-_STRUCT = f"with {_C}, jp as (select doc_id, (lead(level) over (partition by doc_id order by page, chunk_id) > level + 1)::int as jump from c where level is not null), s1 as (select doc_id, coalesce(sum(jump), 0) as skipped_levels, case when coalesce(sum(jump), 0) = 0 then 0.9 else 0.7 end::double as confidence from jp group by 1)"
+_STRUCT = f"with {_C}, jp as (select doc_id, (lead(level) over (partition by doc_id order by page, chunk_id) > level + 1)::int as jump from c where level is not null), s1 as (select doc_id, coalesce(sum(jump), 0)::bigint as skipped_levels, case when coalesce(sum(jump), 0) = 0 then 0.9 else 0.7 end::double as confidence from jp group by 1)"
 _TAB = f"{_R}, s2a as (select doc_id, count(*) as tables, count(*) filter (where num_cols >= 2) as valid from r group by 1), s2 as (select *, round(valid::double / tables, 6) as confidence, round(valid::double / tables, 6) >= 0.8 as passed from s2a)"
 _TERM = "s3a as (select doc_id, " + " + ".join(f"(not bool_or(contains(lower(coalesce(text, '')), '{t}')))::int" for t in CRITICAL_TERMS) + f" as missing from c group by 1), s3 as (select doc_id, missing, round(1.0 - missing::double / {len(CRITICAL_TERMS)}, 6) as confidence from s3a)"
 
@@ -342,7 +342,7 @@ _SQL = {
     "select doc_id, line_no, coalesce(last_value(m ignore nulls) over (partition by doc_id order by line_no rows unbounded preceding), first_value(m ignore nulls) over (partition by doc_id order by line_no rows between current row and unbounded following)) as page from mk",
     "elements": f"with {_D}, {_L}, {_SEC}, b as (select *, case when starts_with(ltrim(line), '|') then 'table' when regexp_replace(line, '^\\s+|\\s+$', '', 'g') = '<!-- image -->' then 'image' else 'narrative' end as kind from sc where not is_heading and not regexp_matches(line, '^\\d+ of \\d+$')), "
     "s as (select *, case when lag(kind) over w is null or lag(kind) over w <> kind or kind = 'image' then 1 else 0 end as st from b window w as (partition by doc_id, section_no order by line_no)), "
-    "e as (select *, sum(st) over (partition by doc_id, section_no order by line_no) as element_no from s) select doc_id, section_no, element_no, kind, min(line_no) as first_line, count(*) as n_lines from e group by 1, 2, 3, 4",
+    "e as (select *, (sum(st) over (partition by doc_id, section_no order by line_no))::bigint as element_no from s) select doc_id, section_no, element_no, kind, min(line_no) as first_line, count(*) as n_lines from e group by 1, 2, 3, 4",
     "hierarchy": f"""with {_C}, h as (select chunk_id, doc_id, level, heading, array_to_string(list_transform(range(level), z -> '1'), '.') || ' ' || heading as h, row_number() over (partition by doc_id order by chunk_id) as n from c where heading is not null and level is not null),
  o as (select a.chunk_id, b.h, b.level, b.n, min(b2.level) as later from h a join h b on a.doc_id = b.doc_id and b.n <= a.n left join h b2 on b2.doc_id = a.doc_id and b2.n > b.n and b2.n <= a.n group by all)
  select chunk_id, string_agg(h, ' > ' order by n) as path, max_by(case when regexp_matches(h, '^(\\d+(?:\\.\\d+)*)\\s+(.*)') then regexp_extract(h, '^(\\d+(?:\\.\\d+)*)\\s+(.*)', 2) else h end, n) as domain from o where later is null or later > level group by 1""",
