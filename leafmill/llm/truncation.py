@@ -66,8 +66,12 @@ def _bare(word: Column) -> Column:
     return F.regexp_replace(word, "^[\"'(«“\\[*_]+|[.,;:!?…\"')»”\\]*_]+$", "")
 
 
+def _hashed(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(_bare(w)))
+
+
 def _contexts(words: Column, i: Column) -> Column:
-    """Digests of the last 1..CONTEXT bare words up to position i (from 0)."""
+    """Digests of the last 1..CONTEXT word hashes up to position i (from 0)."""
     ks = F.sequence(F.lit(1), F.least(F.lit(CONTEXT), i + 1))
     return F.transform(ks, lambda k: F.xxhash64(F.slice(words, i + 2 - k, k)))
 
@@ -89,7 +93,7 @@ def cut_texts(documents: DataFrame, key: str, text: str, source: str) -> DataFra
     ends = rows.select("key", "source", "chars", "bytes", F.substring_index(F.regexp_replace(end, "\\r", "\n"), "\n", -1).alias("line"), (end.rlike("\ufffd$") | (end != F.col("text"))).alias("broken"), end.rlike(_CLOSED).alias("closed"))
     row_closed = F.col("line").rlike("^\\s*\\|.*\\|$")
     ends = ends.where(~F.col("closed") & ~row_closed)
-    ends = ends.withColumn("shape", F.lower(figures_alike(F.trim("line")))).withColumn("words", F.transform(_words(F.col("line")), _bare))
+    ends = ends.withColumn("shape", F.lower(figures_alike(F.trim("line")))).withColumn("words", _words(F.col("line")))
     # the key of a source row is needed once per ending
     open_ends = cut(ends.select("key", "source", "chars", "bytes", "broken", "shape", "words"))
 
@@ -97,19 +101,20 @@ def cut_texts(documents: DataFrame, key: str, text: str, source: str) -> DataFra
     lines = rows.select(F.explode(F.split("text", "\\r?\\n|\\r")).alias("line"))
     shapes = lines.select(F.lower(figures_alike(F.trim(rstripped(F.col("line"))))).alias("shape"))
     short = shapes.where((F.length("shape") > 0) & (F.length("shape") <= SHORT_LINE) & ~F.col("shape").rlike(_CLOSED))
-    whole = short.groupBy("shape").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    whole = cut(short.groupBy("shape").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     begun = whole.where(F.length("shape") > 1).select(F.expr("explode(transform(sequence(1, length(shape) - 1), k -> left(shape, k)))").alias("shape"), "n")
     longer = begun.groupBy("shape").agg(F.max("n").alias("longer"))
     seen = whole.join(longer, "shape", "left").where((F.col("n") >= 3) & (F.col("n") >= 0.3 * F.coalesce("longer", F.lit(0)))).select("shape", F.lit(True).alias("entry"))
-    judged = open_ends.join(seen, "shape", "left").where(F.col("entry").isNull() | F.col("broken"))
+    judged = cut(open_ends.join(seen, "shape", "left").where(F.col("entry").isNull() | F.col("broken")))
 
     # evidence 2: what follows the same last words elsewhere
-    asked = judged.where(F.size("words") > 0).select("key", F.length(F.element_at("words", -1)).alias("long"), F.posexplode(_contexts(F.col("words"), F.size("words") - 1)).alias("k", "context"))
+    asked = judged.where(F.size("words") > 0).select("key", F.length(_bare(F.element_at("words", -1))).alias("long"), _hashed(F.col("words")).alias("hashes"))
+    asked = asked.select("key", "long", F.posexplode(_contexts(F.col("hashes"), F.size("hashes") - 1)).alias("k", "context"))
     whole_text = rstripped(F.col("text"))
     finished = F.split(F.concat(whole_text, F.when(whole_text.rlike(_CLOSED), F.lit("")).otherwise(F.lit("\u0001"))), "\r?\n|\r")
     talk = rows.select(F.explode(finished).alias("line")).where((F.length(F.trim("line")) > 0) & ~F.col("line").rlike("^\\s*\\|"))
     talk = talk.select(F.col("line").endswith("\u0001").alias("open"), _words(F.regexp_replace("line", "\u0001", "")).alias("raw"))
-    talk = talk.where(F.size("raw") > 0).select("open", "raw", F.transform("raw", _bare).alias("words"))
+    talk = talk.where(F.size("raw") > 0).select("open", "raw", _hashed(F.col("raw")).alias("words"))
     n = F.size("words")
     ended = lambda i: F.when(F.get(F.col("raw"), i).rlike(_CLOSED), 1).when(i == n - 1, F.when(F.col("open"), F.lit(None)).otherwise(F.lit(1))).otherwise(0)
     steps = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(_contexts(F.col("words"), i).alias("contexts"), ended(i).alias("ended")))
