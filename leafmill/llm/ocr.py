@@ -23,6 +23,7 @@ import itertools
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -58,7 +59,17 @@ def skeleton(text: str) -> str:
     t = text.lower()
     for a, b in (("ii", "u"), ("cl", "d"), ("rn", "m"), ("li", "h"), ("vv", "w")):
         t = t.replace(a, b)
-    return t.translate(str.maketrans("@†051|i9ſ6ce", "atoslllgfbee"))
+    return t.translate(_SKELETON)
+
+
+_SKELETON = str.maketrans("@†051|i9ſ6ce", "atoslllgfbee")
+_SMALL_WORDS = frozenset(("for", "of", "the"))
+
+
+@lru_cache(maxsize=10_000)
+def _names(title: str, short_name: str) -> tuple[frozenset[str], str]:
+    """Skeletons of a title's words and of a short name."""
+    return frozenset(w for w in _LETTERS.findall(skeleton(title)) if w not in _SMALL_WORDS), "".join(_LETTERS.findall(skeleton(short_name)))
 
 
 def near(a: str, b: str) -> bool:
@@ -84,8 +95,20 @@ def normal(core: str) -> str:
     return NUMBER if _NUMBER.fullmatch(core) else core.lower()
 
 
-def _page_pattern(page: int) -> re.Pattern:
-    return re.compile(rf"[\W_]*(?:page|p|pg|pag|página)?[\s.:]*(?<!\d){page}(?!\d)(?:\s*(?:of|/|de|sur)\s*\d+)?[\W_]*", re.I)
+_PAGE_LINE = re.compile(r"[\W_]*(?:page|p|pg|pag|página)?[\s.:]*(?<!\d)(\d+)(?!\d)(?:\s*(?:of|/|de|sur)\s*\d+)?[\W_]*", re.I)
+_PAGE_BEFORE = re.compile(r"^[\W_]*(?:page|p)?[\s.]*(\d+)(?:\s+of\s+\d+)?(?:\s{2,}|\s*[|–-]+\s*)", re.I)
+_PAGE_AFTER = re.compile(r"(?:\s{2,}|\s*\|\s*|\s*\.{3,}\s*|\s+[–-]\s*)[\W_]*(?:page|p)?[\s.]*(\d+)(?:\s+of\s+\d+)?[\W_]*$", re.I)
+_BARE = re.compile(r"\s*[\d.,]+\s*")
+_LINE_END = re.compile(r"\r\n|\n|\r")
+_LETTERS = re.compile(r"[^\W_]+")
+
+
+def _without_page(line: str, page: str | None) -> str:
+    """A header line without the page number that stands apart from it."""
+    for pattern in (_PAGE_BEFORE, _PAGE_AFTER) if page is not None and page in line else ():
+        if (m := pattern.search(line)) and m[1] == page:
+            line = line[: m.start()] + " " + line[m.end() :]
+    return line.strip()
 
 
 def read_layout(text: str, page: int | None, title: str | None, short_name: str | None) -> tuple[list[list[str]], bool, bool]:
@@ -94,11 +117,9 @@ def read_layout(text: str, page: int | None, title: str | None, short_name: str
     A word divided at a line end is one token: its halves, joined by the control character
     `BREAK` after the first half's hyphen, at the place of the first. Blank lines are [].
     """
-    lines = re.split(r"\r\n|\n|\r", text)
-    names = [w for w in re.findall(r"[^\W_]+", skeleton(title or "")) if w not in ("for", "of", "the")]
-    name_set, short = set(names), re.sub(r"\W+", "", skeleton(short_name or ""))
-    number = _page_pattern(int(page)) if page is not None and page == page else None
-    bare = [bool(re.fullmatch(r"\s*[\d.,]+\s*", x)) for x in lines]
+    lines = _LINE_END.split(text)
+    names, short = _names(title or "", short_name or "")
+    number = str(int(page)) if page is not None and page == page else None
     header = pageno = False
     body: list[str] = []
     for k, line in enumerate(lines):
@@ -108,27 +129,24 @@ def read_layout(text: str, page: int | None, title: str | None, short_name: str
             continue
         is_header = False
         if names or short:
-            # the page number beside a header stands apart from it
-            rest = flat
-            if number is not None:
-                rest = re.sub(rf"(?:^[\W_]*(?:page|p)?[\s.]*{page}(?:\s+of\s+\d+)?(?:\s{{2,}}|\s*[|–-]+\s*))|(?:(?:\s{{2,}}|\s*\|\s*|\s*\.{{3,}}\s*|\s+[–-]\s*)[\W_]*(?:page|p)?[\s.]*{page}(?:\s+of\s+\d+)?[\W_]*$)", " ", flat, flags=re.I)
-            rest = rest.strip()
-            words = [w for w in re.findall(r"[^\W_]+", skeleton(rest)) if w not in ("for", "of", "the")]
-            if short and re.sub(r"\W+", "", skeleton(rest)) == short:
+            rest = _without_page(flat, number)
+            seen = skeleton(rest)
+            if short and _LETTERS.findall(seen) and "".join(_LETTERS.findall(seen)) == short:
                 is_header = True
-            elif len(words) >= 2 and rest[-1] not in ".,;" and (rest[0].isupper() or not rest[0].isalpha()):
-                known = [w in name_set for w in words]
-                if any(known):
-                    known = [k or any(near(w, n) for n in name_set) for k, w in zip(known, words, strict=True)]
-                hits = sum(known)
-                letters = sum(k and not w.isdigit() for k, w in zip(known, words, strict=True))
-                is_header = hits == len(words) and letters >= 2 and 2 * hits >= len(name_set)
+            elif names and rest and rest[-1] not in ".,;" and (rest[0].isupper() or not rest[0].isalpha()):
+                words = [w for w in _LETTERS.findall(seen) if w not in _SMALL_WORDS]
+                known = [w in names for w in words]
+                if len(words) >= 2 and 2 * sum(known) >= len(words):
+                    known = [k or any(near(w, n) for n in names) for k, w in zip(known, words, strict=True)]
+                    letters = sum(k and not w.isdigit() for k, w in zip(known, words, strict=True))
+                    is_header = all(known) and letters >= 2 and 2 * len(words) >= len(names)
             if is_header:
                 header = True
-                pageno |= rest != flat
+                pageno |= rest != flat.strip()
                 continue
-        if number is not None and number.fullmatch(flat):
-            column = bare[k] and ((k and bare[k - 1]) or (k + 1 < len(lines) and bare[k + 1]))
+        if number is not None and number in flat and (m := _PAGE_LINE.fullmatch(flat)) and m[1] == number:
+            # a bare number between bare numbers is a table column's
+            column = _BARE.fullmatch(line) and ((k and _BARE.fullmatch(lines[k - 1])) or (k + 1 < len(lines) and _BARE.fullmatch(lines[k + 1])))
             if not column:
                 pageno = True
                 continue
@@ -146,7 +164,7 @@ def read_layout(text: str, page: int | None, title: str | None, short_name: str
             held = None
             if not tokens:
                 continue
-        if line.lstrip()[:1] != "|" and (m := _BREAK.search(line)):
+        if tokens[-1][-1] in HYPHENS and line.lstrip()[:1] != "|" and _BREAK.search(line):
             held = tokens[-1]
         out.append(tokens)
     return out, header, pageno
