@@ -35,8 +35,16 @@ def plain_words(text: Column) -> Column:
     return F.filter(F.split(F.lower(fold(text)), _GAP), lambda w: w != "")
 
 
+def hashed(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
 def shingles(words: Column, size: int = SHINGLE) -> Column:
-    """Digests of all runs of `size` words; null if there are fewer words."""
+    """Digests of all runs of `size` words, given as `hashed` column; null if there are fewer.
+
+    `words` must be a column, not an expression: inside the lambda an expression would be
+    worked out again for each run.
+    """
     places = F.when(F.size(words) >= size, F.sequence(F.lit(0), F.size(words) - size))
     return F.transform(places, lambda i: F.xxhash64(F.slice(words, i + 1, size)))
 
@@ -60,11 +68,12 @@ def passage_words(items: DataFrame, item: str, passage: str) -> DataFrame:
 def leaked_items(documents: DataFrame, doc: str, text: str, items: DataFrame, item: str, passage: str, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc, item): every document and item whose passage it holds for `min_words` words."""
     passages = cut(passage_words(items, item, passage))
-    item_shingles = passages.select("item", F.posexplode(shingles(F.col("words"))).alias("ipos", "h")).where("h is not null")
+    item_words = passages.select("item", hashed(F.col("words")).alias("words"))
+    item_shingles = item_words.select("item", F.posexplode(shingles(F.col("words"))).alias("ipos", "h")).where("h is not null")
 
     # one pass over the corpus: shingles that any passage holds
     wanted = counted_side(item_shingles.select("h").distinct())
-    spread = documents.where(F.length(F.col(f"`{text}`")) > 0).select(F.col(f"`{doc}`").alias("doc"), plain_words(F.col(f"`{text}`")).alias("words"))
+    spread = documents.where(F.length(F.col(f"`{text}`")) > 0).select(F.col(f"`{doc}`").alias("doc"), hashed(plain_words(F.col(f"`{text}`"))).alias("words"))
     spread = spread.select("doc", F.size("words").alias("n"), F.posexplode(shingles(F.col("words"))).alias("pos", "h"))
     held = cut(spread.join(wanted, "h").select("doc", "n", "pos", "h"))
 
