@@ -7,9 +7,9 @@
 3. A text elsewhere without terminal punctuation is flagged only on evidence from the corpus
    that its ending is not complete (a transfer that broke off leaves no spike).
 
-An ending is complete if it is a table row closed by its bar; or a line that the corpus holds
-as a whole line (list entry, heading, reference, signature) at least about as often as any
-longer line beginning with it; or if the last words are mostly followed by the end of a sentence
+An ending is complete if it is a table row closed by its bar; or, away from spikes, a line that
+the rest of the corpus holds as a whole line (list entry, heading, reference, signature) at least
+about a third as often as all longer lines beginning with it; or if the last words are mostly followed by the end of a sentence
 or line wherever else they occur, by the longest context of up to seven words that occurs
 elsewhere (one word alone only if it is long and frequent) (messages without full stops). Figures are alike in all of these.
 
@@ -94,18 +94,31 @@ def cut_texts(documents: DataFrame, key: str, text: str, source: str) -> DataFra
     row_closed = F.col("line").rlike("^\\s*\\|.*\\|$")
     ends = ends.where(~F.col("closed") & ~row_closed)
     ends = ends.withColumn("shape", F.lower(figures_alike(F.trim("line")))).withColumn("words", _words(F.col("line")))
+    at = spikes.select(F.col("source").alias("limit_source"), "unit", F.col("size").alias("limit_size"))
+    limits = at.groupBy("limit_source").agg(
+        F.collect_set(F.when(F.col("unit") == "chars", F.col("limit_size"))).alias("limit_chars"),
+        F.collect_set(F.when(F.col("unit") == "bytes", F.col("limit_size"))).alias("limit_bytes"),
+    )
+    spiked = F.coalesce(F.array_contains("limit_chars", F.col("chars")), F.lit(False)) | F.coalesce(
+        F.exists("limit_bytes", lambda b: (F.col("bytes") <= b) & (F.col("bytes") > b - 4)), F.lit(False)
+    )
+    ends = ends.join(limits, F.col("source").eqNullSafe(F.col("limit_source")), "left")
     # the key of a source row is needed once per ending
-    open_ends = cut(ends.select("key", "source", "chars", "bytes", "broken", "shape", "words"))
+    open_ends = cut(ends.select("key", "source", "broken", "shape", "words", spiked.alias("spiked")))
 
-    # evidence 1: whole lines of the corpus, each with the most frequent longer line on it
+    # evidence 1: other lines equal to the ending, against all lines that begin with it and go on
+    begins = open_ends.where((F.length("shape") > 0) & (F.length("shape") <= SHORT_LINE)).groupBy("shape").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct(F.when(~F.col("broken") & ~F.col("spiked"), F.col("key"))).alias("texts"))
     lines = rows.select(F.explode(F.split("text", "\\r?\\n|\\r")).alias("line"))
-    shapes = lines.select(F.lower(figures_alike(F.trim(rstripped(F.col("line"))))).alias("shape"))
-    short = shapes.where((F.length("shape") > 0) & (F.length("shape") <= SHORT_LINE) & ~F.col("shape").rlike(_CLOSED))
-    whole = cut(short.groupBy("shape").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    begun = whole.where(F.length("shape") > 1).select(F.expr("explode(transform(sequence(1, length(shape) - 1), k -> left(shape, k)))").alias("shape"), "n")
-    longer = begun.groupBy("shape").agg(F.max("n").alias("longer"))
-    seen = whole.join(longer, "shape", "left").where((F.col("n") >= 3) & (F.col("n") >= 0.3 * F.coalesce("longer", F.lit(0)))).select("shape", F.lit(True).alias("entry"))
-    judged = cut(open_ends.join(seen, "shape", "left").where(F.col("entry").isNull() | F.col("broken")))
+    # one character more tells a longer line from an equal one
+    shapes = lines.select(F.left(F.lower(figures_alike(F.trim(rstripped(F.col("line"))))), F.lit(SHORT_LINE + 1)).alias("whole"))
+    held = shapes.where(F.length("whole") > 0).groupBy("whole").agg(F.count(F.lit(1)).alias("n"))
+    begun = held.select("whole", "n", F.expr("explode(transform(sequence(1, length(whole)), k -> left(whole, k)))").alias("shape"))
+    told = begun.join(counted_side(begins), "shape").groupBy("shape", "rows", "texts")
+    told = told.agg(F.sum(F.when(F.col("whole") == F.col("shape"), F.col("n")).otherwise(0)).alias("equal"), F.sum(F.when(F.col("whole") != F.col("shape"), F.col("n")).otherwise(0)).alias("longer"))
+    # the ending is no evidence of itself, nor are its text delivered again and endings at spikes
+    others = F.col("equal") - F.col("rows") + F.col("texts") - 1
+    seen = told.where((others >= 2) & (others >= 0.3 * F.col("longer"))).select("shape", F.lit(True).alias("entry"))
+    judged = cut(open_ends.join(seen, "shape", "left").where(F.col("entry").isNull() | F.col("broken") | F.col("spiked")))
 
     # evidence 2: what follows the same last words elsewhere
     asked = judged.where(F.size("words") > 0).select("key", F.length(_bare(F.element_at("words", -1))).alias("long"), _hashed(F.col("words")).alias("hashes"))
@@ -123,19 +136,11 @@ def cut_texts(documents: DataFrame, key: str, text: str, source: str) -> DataFra
     told = told.groupBy("context").agg(F.count(F.lit(1)).alias("times"), F.sum("ended").alias("ends"))
     answers = asked.join(told, "context").groupBy("key").agg(F.max(F.struct("k", "times", "ends", "long")).alias("best"))
 
-    at = spikes.select(F.col("source").alias("limit_source"), "unit", F.col("size").alias("limit_size"))
-    limits = at.groupBy("limit_source").agg(
-        F.collect_set(F.when(F.col("unit") == "chars", F.col("limit_size"))).alias("limit_chars"),
-        F.collect_set(F.when(F.col("unit") == "bytes", F.col("limit_size"))).alias("limit_bytes"),
-    )
-    known = judged.join(limits, F.col("source").eqNullSafe(F.col("limit_source")), "left").join(answers, "key", "left")
-    spiked = F.coalesce(F.array_contains("limit_chars", F.col("chars")), F.lit(False)) | F.coalesce(
-        F.exists("limit_bytes", lambda b: (F.col("bytes") <= b) & (F.col("bytes") > b - 4)), F.lit(False)
-    )
+    known = judged.join(answers, "key", "left")
     share = F.col("best.ends") / F.col("best.times")
     trusted = (F.col("best.k") >= 1) | ((F.col("best.long") >= 4) & (F.col("best.times") >= 20))
     strong = (share >= 0.9) & (F.col("best.k") >= 1)
-    known = known.select("key", "source", "broken", spiked.alias("spiked"), share.alias("share"), strong.alias("strong"), trusted.alias("trusted"), "best")
+    known = known.select("key", "source", "broken", "spiked", share.alias("share"), strong.alias("strong"), trusted.alias("trusted"), "best")
     # a source that writes without full stops has mostly complete open endings: weaker evidence will do
     habit = known.where(~F.col("spiked")).groupBy(F.col("source").alias("habit_source")).agg(F.avg(F.coalesce(F.col("strong"), F.lit(False)).cast("double")).alias("habit"))
     known = known.join(habit, F.col("source").eqNullSafe(F.col("habit_source")), "left")

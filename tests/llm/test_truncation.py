@@ -50,3 +50,24 @@ def test_spikes(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "id long, text string, src string")
     assert cut_texts(df, "id", "text", "src").count() == 0 and cut_shares(df, "id", "text", "src").count() == 0
+
+
+def test_a_repeated_cut_is_no_whole_line(spark):
+    """Cuts soon after a line's start repeat; neither they nor a text delivered again are whole lines."""
+    asks = ["Q: What should the nurse check on day 3?", "Q: What should the family watch for at home?", "Q: Where is the register of the ward kept?"]
+    rows = [(k, f"{SENTENCES[k % 4]} {SENTENCES[k % 3]}\n{asks[k % 3]}\nA: {SENTENCES[k % 4]}\n- cold-chain register\n{SENTENCES[k % 2]}", "a") for k in range(60)]
+    cuts = {100 + k: f"{SENTENCES[k % 4]}\n{end}" for k, end in enumerate(["Q: Wh", "Q: What should", "A:"] * 5)}
+    cuts |= {200: f"{SENTENCES[1]}\nThe panel judged"}
+    whole = {300 + k: f"{SENTENCES[k % 4]}\n- cold-chain register" for k in range(4)}
+    limited = {400 + k: f"{SENTENCES[0][: 43 - k % 2]}{'.' * (k % 2)}\nQ: What should" for k in range(12)}
+    rows += [(k, t, "a") for k, t in (cuts | whole).items()] + [(200, cuts[200], "a")] * 3 + [(k, t, "b") for k, t in limited.items()]
+    df = spark.createDataFrame(rows, "id long, text string, src string")
+    got = {r.id: r.reason for r in cut_texts(df, "id", "text", "src").collect()}
+    assert set(got) == set(cuts) | set(limited)
+    assert {got[k] for k in limited} == {"limit"}
+
+
+def test_no_line_clears_a_text_at_a_spike(spark):
+    rows = [(k, f"{SENTENCES[k % 4]}{' Good.' * (k % 9)}", "a") for k in range(90)] + [(100 + k, "See also: Foll", "b") for k in range(12)]
+    df = spark.createDataFrame(rows, "id long, text string, src string")
+    assert {(r.id, r.reason) for r in cut_texts(df, "id", "text", "src").collect()} == {(100 + k, "limit") for k in range(12)}
