@@ -53,11 +53,11 @@ def image_inventory(images: DataFrame, doc: str, order: str, least_side: int = 5
 def document_profile(pages: DataFrame, first_pages: int = 20) -> DataFrame:
     """(doc_id, pages_seen, table_pages, image_pages, likely_scanned) over the first pages.
 
-    `pages` has doc_id, page, text, n_tables, n_images. A page looks scanned if it has images
-    and less than 100 characters.
+    `pages` has doc_id, page, text_length, n_tables, n_images. A page looks scanned if it has
+    images and less than 100 characters.
     """
     p = pages.where(F.col("page") <= first_pages)
-    scanned = (F.length(F.coalesce("text", F.lit(""))) < 100) & (F.col("n_images") > 0)
+    scanned = (F.col("text_length") < 100) & (F.col("n_images") > 0)
     return p.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("pages_seen"),
         F.count_if(F.col("n_tables") > 0).alias("table_pages"),

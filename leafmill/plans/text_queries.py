@@ -205,10 +205,12 @@ def image_inventory(spark, folder):
 
 
 def document_profile(spark, folder):
-    t = readings(spark, folder).groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("n_tables"))
-    i = image_rows(spark, folder).groupBy("doc_id", F.col("page_no").alias("page")).agg(F.count(F.lit(1)).alias("n_images"))
-    c = chunk_rows(spark, folder).groupBy("doc_id", "page").agg(F.max("text").alias("text"))
-    pages = c.join(t, ["doc_id", "page"], "left").join(i, ["doc_id", "page"], "left").na.fill(0, ["n_tables", "n_images"])
+    """Profiles over every page that has a chunk, a table or an image."""
+    none = F.lit(0)
+    t = readings(spark, folder).select("doc_id", "page", none.alias("length"), F.lit(1).alias("table"), none.alias("image"))
+    i = image_rows(spark, folder).select("doc_id", F.col("page_no").alias("page"), none.alias("length"), none.alias("table"), F.lit(1).alias("image"))
+    c = chunk_rows(spark, folder).select("doc_id", "page", F.coalesce(F.length("text"), none).alias("length"), none.alias("table"), none.alias("image"))
+    pages = c.unionByName(t).unionByName(i).groupBy("doc_id", "page").agg(F.sum("length").alias("text_length"), F.sum("table").alias("n_tables"), F.sum("image").alias("n_images"))
     return quality.document_profile(pages)
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from leafmill.config import Config
 from leafmill.operators import chunks, discover, lines, quality, retrieval
+from leafmill.plans import text_queries
 
 MINI = "Intro text\n1 of 3\n## 1 Alpha\nPara one.\n\n| A | B |\n|---|---|\n2 of 3\n| 1 | 2 |\nAfter table\n<!-- image -->\n## 1.1 Beta\n<!-- image -->\n<!-- image -->\n## Remark\nRefer immediately if worse.\n3 of 3\n## 2 Gamma\nEnd."
 
@@ -128,3 +129,22 @@ def test_empty_tables(spark):
     assert quality.structure_check(none, "doc_id", ["page"]).count() == 0
     assert retrieval.bm25(none, "chunk_id", "text", none, "doc_id", "text").count() == 0
     assert lines.section_table(lines.document_lines(none, "doc_id", "text"), "doc_id").count() == 0
+
+
+def page_folder(spark, at, chunk=(), images=(), readings=()):
+    """A data folder: chunks (id, page, text), images (id, page), readings (id, engine, page, index, markdown)."""
+    at = str(at)
+    spark.createDataFrame([(i, "g", p, t) for i, p, t in chunk], "chunk_id string, doc_id string, page int, text string").selectExpr("*", "'h' as heading", "1 as level", "false as has_tables", "'f' as is_table_only").write.parquet(f"{at}/chunk.parquet")
+    spark.createDataFrame([(i, "g", p) for i, p in images], "image_id string, doc_id string, page_no int").selectExpr("*", "1 as image_index", "'c' as caption", "'o' as ocr_text", "100 as width", "100 as height", "cast(null as string) as error").write.parquet(f"{at}/images.parquet")
+    r = spark.createDataFrame([(i, "g", *x) for i, *x in readings], "report_id long, doc_id string, engine string, page int, table_index_on_page int, markdown string")
+    r.selectExpr("*", "'x' as classification", "1 as num_rows", "1 as num_cols", "'b' as bbox", "cast(null as string) as error").write.parquet(f"{at}/cross_validation_report.parquet")
+    return at
+
+
+def test_document_profile_sees_every_page(spark, tmp_path):
+    # page 1: two chunks of 60; 2: an image alone; 3: a table alone; 4: null text; 21: beyond the first pages
+    chunk = [("c1", 1, "a" * 60), ("c2", 1, "b" * 60), ("c4", 4, None), ("c5", 21, "x"), ("c1", 1, "a" * 60)]
+    folder = page_folder(spark, tmp_path / "a", chunk, [("i1", 1)], [(1, "docling", 3, 0, "|a|"), (2, "pymupdf", 3, 0, "|a|")])
+    assert [tuple(r) for r in text_queries.document_profile(spark, folder).collect()] == [("g", 3, 1, 1, False)]
+    folder = page_folder(spark, tmp_path / "b", chunk, [("i1", 1), ("i2", 2), ("i3", 2)])
+    assert [tuple(r) for r in text_queries.document_profile(spark, folder).collect()] == [("g", 3, 0, 2, True)]
