@@ -215,10 +215,13 @@ def document_profile(spark, folder):
 
 
 def page_similarity(spark, folder):
-    """Similarity of the first two engines' texts of a table page."""
-    a = readings(spark, folder).where("engine = 'docling'").groupBy("doc_id", "page").agg(F.max("markdown").alias("x"))
-    b = readings(spark, folder).where("engine = 'pymupdf'").groupBy("doc_id", "page").agg(F.max("markdown").alias("y"))
-    pairs = a.join(b, ["doc_id", "page"]).select(F.concat_ws("/", "doc_id", "page").alias("page_key"), "x", "y")
+    """Similarity of the first two engines' whole texts of a table page."""
+
+    def page_texts(engine, out):
+        parts = F.array_sort(F.collect_list(F.struct("table_index_on_page", "report_id", "markdown")))
+        return readings(spark, folder).where(F.col("engine") == engine).groupBy("doc_id", "page").agg(F.array_join(F.transform(parts, lambda x: x["markdown"]), "\n").alias(out))
+
+    pairs = page_texts("docling", "x").join(page_texts("pymupdf", "y"), ["doc_id", "page"]).select(F.concat_ws("/", "doc_id", "page").alias("page_key"), "x", "y")
     return quality.text_similarity(pairs, "page_key", "x", "y")
 
 

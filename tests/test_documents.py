@@ -148,3 +148,10 @@ def test_document_profile_sees_every_page(spark, tmp_path):
     assert [tuple(r) for r in text_queries.document_profile(spark, folder).collect()] == [("g", 3, 1, 1, False)]
     folder = page_folder(spark, tmp_path / "b", chunk, [("i1", 1), ("i2", 2), ("i3", 2)])
     assert [tuple(r) for r in text_queries.document_profile(spark, folder).collect()] == [("g", 3, 0, 2, True)]
+
+
+def test_page_similarity_compares_all_readings(spark, tmp_path):
+    rows = [(1, "docling", 1, 1, "bb"), (2, "docling", 1, 0, "zz"), (3, "pymupdf", 1, 0, "zz"), (4, "pymupdf", 1, 1, "cc"), (5, "pymupdf", 2, 0, "a")]
+    rows += [(12, "docling", 3, 0, "q"), (9, "docling", 3, 0, "p"), (20, "pymupdf", 3, 0, "p"), (21, "pymupdf", 3, 0, "q"), (21, "pymupdf", 3, 0, "q")]
+    folder = page_folder(spark, tmp_path, readings=rows)
+    assert {r.page_key: r.similarity for r in text_queries.page_similarity(spark, folder).collect()} == {"g/1": 6 / 10, "g/3": 1.0}
