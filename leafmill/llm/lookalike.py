@@ -16,19 +16,19 @@ from pyspark.sql import functions as F
 from leafmill.functions.lookalike import COLLATION, fold, printed_as
 
 
-def canonical_text(df: DataFrame, column: str, within: Sequence[str] = (), out: str = "canonical") -> DataFrame:
+def canonical_text(df: DataFrame, column: str, within: Sequence[str] = (), out: str = "canonical", times: str | None = None) -> DataFrame:
     """`df` with `out`: the canonical stored form of `column` among values printing alike.
 
     Null gives null, an empty text is its own class together with text made of invisible
-    characters only. `within` restricts classes to rows equal in those columns. Extra
-    columns pass through; `out` must be a new name.
+    characters only. `within` restricts classes to rows equal in those columns; a row counts `times` its
+    number in that column. Extra columns pass through; `out` must be a new name.
     """
     if out in df.columns:
         raise ValueError(f"column {out} exists")
     keys = [F.col(f"`{k}`").alias(f"_w{i}") for i, k in enumerate(within)]
     names = [f"_w{i}" for i in range(len(within))]
     col = F.col(f"`{column}`")
-    stored = df.where(col.isNotNull()).groupBy(*keys, col.alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
+    stored = df.where(col.isNotNull()).groupBy(*keys, col.alias("_value")).agg(F.sum(F.col(f"`{times}`") if times else F.lit(1)).alias("_n"))
     stored = stored.withColumn("_look", printed_as(F.col("_value")))
     rank = F.struct((-F.col("_n")).alias("n"), F.length("_value").alias("l"), F.col("_value").alias("v"))
     best = stored.groupBy(*names, "_look").agg(F.min(rank)["v"].alias(out))
@@ -38,6 +38,25 @@ def canonical_text(df: DataFrame, column: str, within: Sequence[str] = (), out:
     return df.alias("d").join(best, on, "left").select("d.*", best[out])
 
 
+def canonical_elements(df: DataFrame, column: str, out: str = "canonical") -> DataFrame:
+    """`df` with `out`: the array `column` with each element in its canonical stored form.
+
+    Classes are over all elements of all rows, so arrays printing alike get one form. A null
+    array and null elements stay null. Equal arrays are rewritten once and joined back.
+    """
+    if out in df.columns:
+        raise ValueError(f"column {out} exists")
+    col = F.col(f"`{column}`")
+    stored = df.where(col.isNotNull()).groupBy(col.alias("_array")).agg(F.count(F.lit(1)).alias("_times"))
+    elements = stored.select("_array", "_times", F.posexplode("_array").alias("_at", "_element"))
+    canonical = canonical_text(elements, "_element", out="_canonical", times="_times")
+    ordered = F.array_sort(F.collect_list(F.struct("_at", "_canonical")))
+    arrays = canonical.groupBy("_array").agg(F.transform(ordered, lambda x: x["_canonical"]).alias(out))
+    # an empty array has no elements to join back
+    whole = df.alias("d").join(arrays, F.col(f"d.`{column}`") == F.col("_array"), "left")
+    return whole.select("d.*", F.coalesce(arrays[out], F.col(f"d.`{column}`")).alias(out))
+
+
 def classes_of_looks(df: DataFrame, key: str, within: Sequence[str], texts: Sequence[str]) -> DataFrame:
     """(key, *within, variant, look): rows whose `texts` all print like another stored form's.
 

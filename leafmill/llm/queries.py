@@ -41,6 +41,12 @@ def p2_canonical(spark: SparkSession, folder: str) -> DataFrame:
     return lookalike.canonical_text(report, "markdown", out="canonical")
 
 
+def p2_headers(spark: SparkSession, folder: str) -> DataFrame:
+    """Each reading with the canonical stored form of its headers."""
+    report = table(spark, folder, "cross_validation_report").select("report_id", "headers").distinct()
+    return lookalike.canonical_elements(report, "headers", out="canonical")
+
+
 def _oversized(spark: SparkSession, folder: str, only_oversized: bool) -> DataFrame:
     chunk = table(spark, folder, "chunk").select(F.lit("chunk").alias("rec_table"), F.col("chunk_id").alias("rec_id"), "text")
     report = table(spark, folder, "cross_validation_report").select(
@@ -85,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_text": p1_text,
     "p2_found": p2_found,
     "p2_canonical": p2_canonical,
+    "p2_headers": p2_headers,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
     "p6_ids": p6_ids,
