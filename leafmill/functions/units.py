@@ -162,7 +162,7 @@ def _cells(line: str) -> list[str]:
 @lru_cache(maxsize=200_000)
 def _read_cell(cell: str, kind: str | None) -> tuple[str, tuple[tuple[float, int | None], ...]] | None:
     """(cell without numbers and units, its quantities), None if it states no quantity."""
-    if "×" in cell or len(cell) > 60 or not _DIGIT.search(cell):
+    if "×" in cell or not _DIGIT.search(cell):
         return None
     found: list[tuple[float, int | None]] = []
     rest, at = [], 0
@@ -196,7 +196,7 @@ def parse_table(markdown: str | None) -> tuple[str, list[Quantity]] | None:
         return None
     notes = {}
     for x in lines:
-        if x[0] != "|" and (m := _NOTE_UNIT.search(x[-80:])) and (kind := _kind_of(x[:200])):
+        if x[0] != "|" and (m := _NOTE_UNIT.search(x)) and (kind := _kind_of(x)):
             notes[kind] = unit_of(m[1], kind)
     heads = [_read_header(h) for h in _cells(grid[0])]
     shape, quantities = ["|".join(h[0] for h in heads)], []

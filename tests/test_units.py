@@ -108,3 +108,14 @@ def test_missing_unit_is_told_by_the_level_shift(spark):
     parsed = units.parse_readings(units.readings(df, *COLUMNS), keep_places=True)
     out = units.common_quantities(parsed, units.mark_unit_changes(parsed)).where("id = 2 and col_no = 0").collect()
     assert {(r.value, r.unit) for r in out} == {(15.0, "kg"), (25.0, "kg")}
+
+
+def test_long_cells_and_notes_name_their_units():
+    mg = " + ".join(f"{100 + 25 * k} mg" for k in range(12))
+    g = " + ".join(f"{(100 + 25 * k) / 1000} g" for k in range(12))
+    a, b = (parse_table(table(["Weight (kg)", "Dose given daily"], [["< 15", x]])) for x in (mg, g))
+    assert len(mg) > 60 and a[0] == b[0] and len(a[1]) == len(b[1]) == 13
+    told = "The figures of this page were taken down by the staff of the ward and agreed upon with the referral unit before they were sent. " * 2
+    for note in (f"{told}Body weights are given in grams.", "Body weights, " + "as they were told by the staff of the ward, " * 4 + "are given in grams."):
+        _, quantities = parse_table(table(["Weight", "Dose (mg)"], [["15000", "20"]], f"\n\n{note}"))
+        assert [ALL_UNITS[q.code].name for q in quantities] == ["g", "mg"]
