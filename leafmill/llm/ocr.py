@@ -124,7 +124,7 @@ def read_layout(text: str, page: int | None, title: str | None, short_name: str
     body: list[str] = []
     for k, line in enumerate(lines):
         flat = line.strip()
-        if not flat or flat[0] == "|" or len(flat) > 120:
+        if not flat or flat[0] == "|":
             body.append(line)
             continue
         is_header = False
@@ -135,11 +135,8 @@ def read_layout(text: str, page: int | None, title: str | None, short_name: str
                 is_header = True
             elif names and rest and rest[-1] not in ".,;" and (rest[0].isupper() or not rest[0].isalpha()):
                 words = [w for w in _LETTERS.findall(seen) if w not in _SMALL_WORDS]
-                known = [w in names for w in words]
-                if len(words) >= 2 and 2 * sum(known) >= len(words):
-                    known = [k or any(near(w, n) for n in names) for k, w in zip(known, words, strict=True)]
-                    letters = sum(k and not w.isdigit() for k, w in zip(known, words, strict=True))
-                    is_header = all(known) and letters >= 2 and 2 * len(words) >= len(names)
+                if 2 * len(words) >= len(names) and sum(not w.isdigit() for w in words) >= 2 and any(w in names for w in words):
+                    is_header = all(w in names or any(near(w, n) for n in names) for w in words)
             if is_header:
                 header = True
                 pageno |= rest != flat.strip()
@@ -197,8 +194,6 @@ def candidates(word: str, most: int = MAX_SITES) -> dict[str, int]:
             ordered = sorted(chosen)
             if any(p[0] + len(p[1]) > q[0] for p, q in itertools.pairwise(ordered)):
                 continue
-            if k > 1 and sum(c[1] in ("m", "h", "i", "e") for c in chosen) > 1:
-                continue
             made, last = [], 0
             for start, seen, meant in ordered:
                 made.append(word[last:start] + meant)

@@ -99,3 +99,15 @@ def test_empty_tables(spark):
     df = spark.createDataFrame([], "rec_table string, rec_id string, doc_id string, page int, text string")
     guides = spark.createDataFrame([], "doc_id string, title string, short_name string")
     assert ocr.repair(df, guides).count() == 0
+
+
+def test_mostly_misread_and_long_headers():
+    line = "Regionol handbaok for morsh fever"
+    assert ocr.read_layout(f"17   {line}\nText.", 17, TITLE, SHORT)[1:] == (True, True)
+    title = "Regional handbook for the prevention, recognition, treatment and referral of marsh fever in children and pregnant women, second revised edition"
+    assert len(title) > 120 and ocr.read_layout(f"{title} | 17\nText.", 17, title, SHORT)[1:] == (True, True)
+    assert not ocr.read_layout("Marsh fever in children is treated without delay at the nearest health post. " * 3, 17, title, SHORT)[1]
+
+
+def test_candidates_of_repeated_confusions():
+    assert ocr.candidates("ciinicai").get("clinical") == 2
