@@ -369,7 +369,7 @@ REC = ["rec_table", "rec_id"]
 
 
 def repair(records: DataFrame, guidelines: DataFrame) -> DataFrame:
-    """(rec_table, rec_id, hyphen, misread, header, pageno, repaired): one row per record.
+    """(rec_table, rec_id, hyphen, misread, header, pageno, repaired): one row per record with a text.
 
     `records` has rec_table, rec_id, doc_id, page, text; `guidelines` doc_id, title, short_name.
     """
@@ -426,6 +426,12 @@ def repair(records: DataFrame, guidelines: DataFrame) -> DataFrame:
     return ready.mapInPandas(_make_decode(total), REPAIRED)
 
 
+def continuous_text(records: DataFrame, guidelines: DataFrame) -> DataFrame:
+    """(rec_table, rec_id, repaired): one row per record; null and empty texts stay as they are."""
+    blank = records.where(F.col("text").isNull() | (F.length("text") == 0)).select(*REC, F.col("text").alias("repaired")).distinct()
+    return repair(records, guidelines).select(*REC, "repaired").unionByName(blank)
+
+
 def noise_kinds(repaired: DataFrame) -> DataFrame:
     """(rec_table, rec_id, noise_kind)."""
     kinds = F.array_compact(F.array(*(F.when(F.col(k), F.lit(k)) for k in ("hyphen", "misread", "header", "pageno"))))

@@ -12,20 +12,21 @@ from leafmill.llm import leakage, lookalike, ocr, split, tokenize, truncation
 from leafmill.sources.tables import table
 
 
-def _scans(spark: SparkSession, folder: str) -> DataFrame:
+def _scans(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Records and guidelines."""
     images = table(spark, folder, "images").select(F.lit("images").alias("rec_table"), F.col("image_id").alias("rec_id"), "doc_id", F.col("page_no").alias("page"), F.col("ocr_text").alias("text"))
     chunk = table(spark, folder, "chunk").select(F.lit("chunk").alias("rec_table"), F.col("chunk_id").alias("rec_id"), "doc_id", "page", "text")
-    return ocr.repair(images.unionByName(chunk), table(spark, folder, "guideline_docs").select("doc_id", "title", "short_name"))
+    return images.unionByName(chunk), table(spark, folder, "guideline_docs").select("doc_id", "title", "short_name")
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """Records and the kinds of scan noise in their text."""
-    return ocr.noise_kinds(_scans(spark, folder))
+    return ocr.noise_kinds(ocr.repair(*_scans(spark, folder)))
 
 
 def p1_text(spark: SparkSession, folder: str) -> DataFrame:
     """Every record's text as continuous paragraphs."""
-    return _scans(spark, folder).select("rec_table", "rec_id", "repaired")
+    return ocr.continuous_text(*_scans(spark, folder))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -111,3 +111,11 @@ def test_mostly_misread_and_long_headers():
 
 def test_candidates_of_repeated_confusions():
     assert ocr.candidates("ciinicai").get("clinical") == 2
+
+
+def test_text_of_every_record(spark):
+    df = spark.createDataFrame(records(), "rec_table string, rec_id string, doc_id string, page int, text string")
+    guides = spark.createDataFrame([("D", TITLE, SHORT)], "doc_id string, title string, short_name string")
+    got = [(r.rec_id, r.repaired) for r in ocr.continuous_text(df, guides).collect()]
+    assert len(got) == len(dict(got)) == 212 and {r[1] for r in records()} == set(dict(got))
+    assert dict(got)["null"] is None and dict(got)["empty"] == ""
