@@ -82,6 +82,11 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.cut_texts(table(spark, folder, "documents"), "doc_id", "text", "source").select("doc_id").distinct()
 
 
+def p8_cuts(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that were cut, told apart by the evidence: a length spike, or the corpus alone."""
+    return truncation.cut_texts(table(spark, folder, "documents"), "doc_id", "text", "source").distinct()
+
+
 def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     """How often each source cuts its documents."""
     return truncation.cut_shares(table(spark, folder, "documents"), "doc_id", "text", "source")
@@ -98,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_ids": p6_ids,
     "p7_found": p7_found,
     "p8_found": p8_found,
+    "p8_cuts": p8_cuts,
     "p8_shares": p8_shares,
 }
 

@@ -1,8 +1,9 @@
 """Texts cut off at a field limit or in transfer.
 
 1. Per source, histograms of text length in characters and in bytes are tested for spikes: a
-   length that far more texts have than the lengths around it is a field limit. A byte limit
-   that falls inside a character leaves up to three bytes less.
+   length that many times more texts have than the lengths around it, beyond chance, is a field
+   limit; at the source's greatest length weaker evidence will do. A byte limit that falls
+   inside a character leaves up to three bytes less.
 2. A text at a spike without terminal punctuation is flagged (`limit`), unless its ending is
    complete.
 3. A text elsewhere without terminal punctuation is flagged (`transfer`) only on evidence from
@@ -26,6 +27,7 @@ inside a character, an open ending followed by white space before the next word.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -38,8 +40,10 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, Str
 
 from leafmill.session import counted_side, cut
 
-#: A length is a spike if at least so many texts have it, and so many times the mean around it.
-SPIKE_LEAST, SPIKE_TIMES, SPIKE_AROUND = 8, 8.0, 50
+#: A spike has so many times the texts of the mean length around it (within SPIKE_AROUND, a
+#: tenth of a text at least), and chance would give it with at most this probability: anywhere,
+#: and at the greatest length of the source.
+SPIKE_TIMES, SPIKE_AROUND, SPIKE_MEAN, SPIKE_CHANCE, SPIKE_CHANCE_AT_MOST = 8.0, 50, 0.1, 1e-6, 1e-2
 #: Words of context that tell whether an ending is complete.
 CONTEXT = 7
 #: Longest line that may be a list entry, heading, reference or signature.
@@ -64,15 +68,21 @@ def length_spikes(rows: DataFrame) -> DataFrame:
     """(source, unit, size): lengths in `chars` or `bytes` at which a source's texts pile up.
 
     `rows` has source, chars, bytes. The histogram is aggregated before it is looked at, and
-    each length is compared with those within `SPIKE_AROUND` of it.
+    each length is compared with those within `SPIKE_AROUND` of it. Chance is bounded by
+    Chernoff's bound of the Poisson tail, so the test needs no least count.
     """
     sizes = rows.select("source", F.explode(F.map_from_arrays(F.array(F.lit("chars"), F.lit("bytes")), F.array("chars", "bytes"))).alias("unit", "size"))
     histogram = sizes.groupBy("source", "unit", "size").agg(F.count(F.lit(1)).alias("n"))
-    around = Window.partitionBy("source", "unit").orderBy("size").rangeBetween(-SPIKE_AROUND, SPIKE_AROUND)
+    whole = Window.partitionBy("source", "unit")
+    around = whole.orderBy("size").rangeBetween(-SPIKE_AROUND, SPIKE_AROUND)
     # a limit leaves nothing above it: the mean is over the lengths below and above separately
-    mean = (F.sum("n").over(around) - F.col("n")) / F.lit(SPIKE_AROUND)
-    tested = histogram.withColumn("mean", mean)
-    return tested.where((F.col("n") >= SPIKE_LEAST) & (F.col("n") >= SPIKE_TIMES * F.col("mean"))).select("source", "unit", "size")
+    others = F.sum("n").over(around) - F.col("n")
+    tested = histogram.withColumn("others", others).withColumn("mean", F.greatest(others / F.lit(SPIKE_AROUND), F.lit(SPIKE_MEAN))).withColumn("greatest", F.max("size").over(whole))
+    surprise = F.col("n") * F.log(F.col("n") / F.col("mean")) - F.col("n") + F.col("mean")
+    # a greatest length without others near it may be the only length there is
+    lenient = (F.col("size") == F.col("greatest")) & (F.col("others") > 0)
+    enough = F.when(lenient, F.lit(-math.log(SPIKE_CHANCE_AT_MOST))).otherwise(F.lit(-math.log(SPIKE_CHANCE)))
+    return tested.where((F.col("n") >= SPIKE_TIMES * F.col("mean")) & (surprise >= enough)).select("source", "unit", "size")
 
 
 # --- digests, by array operations ---------------------------------------------------------------

@@ -71,3 +71,22 @@ def test_no_line_clears_a_text_at_a_spike(spark):
     rows = [(k, f"{SENTENCES[k % 4]}{' Good.' * (k % 9)}", "a") for k in range(90)] + [(100 + k, "See also: Foll", "b") for k in range(12)]
     df = spark.createDataFrame(rows, "id long, text string, src string")
     assert {(r.id, r.reason) for r in cut_texts(df, "id", "text", "src").collect()} == {(100 + k, "limit") for k in range(12)}
+
+
+def test_limits_do_not_depend_on_the_number_of_texts(spark):
+    """The same limits from a tenth of the texts; chance alone gives none."""
+    rng = random.Random(7)
+    rows = [(s, n, n) for s, most in (("a", 400), ("b", 900)) for n in (min(most, int(rng.gauss(0.8 * most, 0.2 * most))) for _ in range(1500)) if n > 0]
+    rows += [("c", n, n) for n in (rng.randrange(100, 700) for _ in range(3000))]
+    want = {("a", "chars", 400), ("a", "bytes", 400), ("b", "chars", 900), ("b", "bytes", 900)}
+    for part in (rows, rows[::10]):
+        got = {tuple(r) for r in length_spikes(spark.createDataFrame(part, "source string, chars int, bytes int")).collect()}
+        assert got == want
+
+
+def test_digests_see_whole_lines_and_words(spark):
+    """A very long line and clashing column names; a context reaches over no line break."""
+    long = "word " * 20000
+    rows = [(1, long + "end.", "a", 1), (2, "One two\nthree fo", "a", 1), (3, "One two\rthree fo", "a", 1), (4, "Figures 12 and 4.", "a", 1)]
+    df = spark.createDataFrame(rows, "key long, text string, source string, digest int")
+    assert {r.key for r in cut_texts(df, "key", "text", "source").collect()} == {2, 3}
