@@ -4,14 +4,20 @@ Layout: running headers (the document's title, also shortened or reordered, or i
 name) and page-number lines are told apart from body text; words divided at line ends are
 joined, and keep their hyphen if the corpus writes it.
 
-Noisy channel: each token may be a misreading of a word from which it differs by up to
-`MAX_SITES` known character confusions. Candidates must be corpus words; a token that some
-candidate outnumbers `DOMINANT` times counts as unknown. The sequence of candidates with the
-greatest product of confusion probabilities and corpus bigram likelihood is decoded by
-Viterbi, line by line, each line beginning with the last word of the line before.
-
-Counts are over all records. Candidates, counts and bigrams meet in joins on words; nothing
-that grows with the corpus is broadcast unless counted to be small.
+Noisy channel. A form may be a misreading of another form of the corpus if both have the same
+spelling once confusable characters are alike (`spread`, an equality join) and an alignment
+shows which confusions it takes, whatever their number. The probability of each confusion is
+estimated from all records by expectation maximisation: misreadings over opportunities. A count
+is a true count only beyond what misreadings of other forms explain (`beyond`); this holds for
+words and, inside a lattice, for bigrams, so a word that the corpus really writes keeps its
+likelihood and a repeated misreading has none. All of a form's possible meanings are options
+beside the form as it stands; the sequence with the greatest product of confusion probabilities
+and bigram likelihood is decoded by Viterbi. Words without options cut a line's lattice into
+parts that are decoded apart with the same result, so each distinct part of the corpus is
+decoded once.
+
+Counts are over all records. What grows with the corpus meets in joins; two bitmaps of fixed
+size let only words with options, and only bigrams that a lattice asks for, leave the passes over the text.
 
 Null and empty texts have no noise and stay as they are. A record delivered again counts once. A
 null title, short name or page only means that such a line can't be recognised.
@@ -25,17 +31,23 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.llm.digests import ODD, bitmap, broadcast_filter, mixed, parts, passes, word_digest
 from leafmill.session import counted_side, cut
 
-MAX_SITES = 3
-DOMINANT = 30
-LEAST_COUNT = 3
-#: Probability of one confusion; weight of the unigram in the bigram estimate.
-CONFUSION_P, SMOOTH = 0.02, 5.0
+#: Prior probability of one confusion, worth `PRIOR_WEIGHT` opportunities; steps of the estimate.
+CONFUSION_P, PRIOR_WEIGHT, STEPS = 0.001, 1000.0, 3
+#: Misreadings of one word may differ from their expected number by so many standard deviations,
+#: where the rate itself varies from word to word by so many times its size (figures: in few places).
+DEVIATIONS, VARIES, FIGURES_VARY = 3.0, 3.0, 30.0
+#: Weight of the unigram in the bigram estimate.
+SMOOTH = 5.0
 NUMBER = "<num>"
 
 # Fixed values: "seen=meant" character confusions of scanned print.
@@ -72,6 +84,28 @@ def _names(title: str, short_name: str) -> tuple[frozenset[str], str]:
     return frozenset(w for w in _LETTERS.findall(skeleton(title)) if w not in _SMALL_WORDS), "".join(_LETTERS.findall(skeleton(short_name)))
 
 
+@lru_cache(maxsize=200_000)
+def _skeleton_words(token: str) -> tuple[str, ...]:
+    return tuple(_LETTERS.findall(skeleton(token)))
+
+
+@lru_cache(maxsize=200_000)
+def _of_title(title: str, short_name: str, word: str) -> bool:
+    """Whether a word is one of the title's, perhaps misread."""
+    names, _ = _names(title, short_name)
+    return word in names or any(near(word, n) for n in names)
+
+
+def _spells(tokens: list[str], short: str) -> bool:
+    """Whether the tokens' letters and figures are the short name, also spaced out."""
+    letters = ""
+    for t in tokens:
+        letters += "".join(_skeleton_words(t))
+        if not short.startswith(letters):
+            return False
+    return letters == short
+
+
 def near(a: str, b: str) -> bool:
     """Whether two words differ by few enough edits to be the same misread word."""
     room = 0 if len(b) < 4 else 1 if len(b) < 8 else 2
@@ -85,14 +119,16 @@ def near(a: str, b: str) -> bool:
     return row[-1] <= room
 
 
+@lru_cache(maxsize=200_000)
 def core_of(token: str) -> str:
     """A token without the punctuation around it."""
     return _CORE.match(token)[1]
 
 
+@lru_cache(maxsize=200_000)
 def normal(core: str) -> str:
-    """The form under which a token is counted."""
-    return NUMBER if _NUMBER.fullmatch(core) else core.lower()
+    """The form under which a token is counted: figures are one form, unless letters stand among them."""
+    return NUMBER if _NUMBER.fullmatch(core) else core if _ODD_NUMBER.fullmatch(core) else core.lower()
 
 
 _PAGE_LINE = re.compile(r"[\W_]*(?:page|p|pg|pag|página)?[\s.:]*(?<!\d)(\d+)(?!\d)(?:\s*(?:of|/|de|sur)\s*\d+)?[\W_]*", re.I)
@@ -130,13 +166,14 @@ def read_layout(text: str, page: int | None, title: str | None, short_name: str
         is_header = False
         if names or short:
             rest = _without_page(flat, number)
-            seen = skeleton(rest)
-            if short and _LETTERS.findall(seen) and "".join(_LETTERS.findall(seen)) == short:
+            tokens = rest.split()
+            if short and _spells(tokens, short):
                 is_header = True
             elif names and rest and rest[-1] not in ".,;" and (rest[0].isupper() or not rest[0].isalpha()):
-                words = [w for w in _LETTERS.findall(seen) if w not in _SMALL_WORDS]
-                if 2 * len(words) >= len(names) and sum(not w.isdigit() for w in words) >= 2 and any(w in names for w in words):
-                    is_header = all(w in names or any(near(w, n) for n in names) for w in words)
+                # most lines end at their first word
+                if all(w in _SMALL_WORDS or _of_title(title or "", short_name or "", w) for t in tokens for w in _skeleton_words(t)):
+                    words = [w for t in tokens for w in _skeleton_words(t) if w not in _SMALL_WORDS]
+                    is_header = 2 * len(words) >= len(names) and sum(not w.isdigit() for w in words) >= 2 and any(w in names for w in words)
             if is_header:
                 header = True
                 pageno |= rest != flat.strip()
@@ -174,64 +211,68 @@ def break_forms(token: str) -> tuple[str, str]:
     return core_of(a[:-1] + b).lower(), core_of(a[:-1] + "-" + b).lower()
 
 
-def candidates(word: str, most: int = MAX_SITES) -> dict[str, int]:
-    """Words that may have been meant by `word`, with the number of confusions."""
-    out: dict[str, int] = {}
-    if _ODD_NUMBER.fullmatch(word) and not _NUMBER.fullmatch(word):
-        letters = sum(c in _FIGURE for c in word)
-        if len(word) <= 4 or 2 * letters <= len(word):
-            out[NUMBER] = letters
-        if word[0] not in "1508639" and word[0].isdigit():
-            return out
-    sites = [(m.start(), seen, meant) for seen, meant in _PAIRS for m in re.finditer(f"(?={re.escape(seen)})", word)]
-    strange = [s for s in sites if not s[1].isalpha() or s[1] in "†ſ"]
-    odd = {s[0] for s in strange}
-    for k in range(1, most + 1):
-        for chosen in itertools.combinations(sites, k):
-            at = [c[0] for c in chosen]
-            if odd - set(at) or len(set(at)) < k:  # every strange character must be explained
-                continue
-            ordered = sorted(chosen)
-            if any(p[0] + len(p[1]) > q[0] for p, q in itertools.pairwise(ordered)):
-                continue
-            made, last = [], 0
-            for start, seen, meant in ordered:
-                made.append(word[last:start] + meant)
-                last = start + len(seen)
-            got = ("".join(made) + word[last:]).lower()
-            if got.isalpha() or all(p.isalpha() for p in re.split(r"[-'’/]", got) if p):
-                out.setdefault(got, k)
-    out.pop(word.lower(), None)
+# --- the channel -------------------------------------------------------------------------------
+
+#: Confusable characters to one; then characters to the pairs that they are confused with.
+_ALIKE = ("c3€i1|@†05$ſf968", "eeelllatossssgbb")
+_WIDE = (("d", "el"), ("h", "ll"), ("u", "ll"), ("m", "rn"), ("w", "vv"))
+
+
+def spread(form: Column) -> Column:
+    """A spelling that is the same for all forms that confusions may turn into each other."""
+    out = F.translate(F.lower(form), *_ALIKE)
+    for one, two in _WIDE:
+        out = F.replace(out, F.lit(one), F.lit(two))
     return out
 
 
-LAYOUT = "rec_table string, rec_id string, text string, header boolean, pageno boolean, tokens array<string>, breaks array<string>"
+def confusions(seen: str, meant: str) -> tuple[str, ...] | None:
+    """The fewest confusions ("seen=meant") that turn `meant` into `seen`; None if none do."""
+    low = seen.lower()
+    best: dict[tuple[int, int], tuple[int, tuple[str, ...]]] = {(0, 0): (0, ())}
+    for i in range(len(seen) + 1):
+        for j in range(len(meant) + 1):
+            if (here := best.get((i, j))) is None:
+                continue
+            steps = [(i + 1, j + 1, None)] if i < len(seen) and j < len(meant) and low[i] == meant[j] else []
+            steps += [(i + len(a), j + len(b), f"{a}={b}") for a, b in _PAIRS if low.startswith(a, i) and meant.startswith(b, j)]
+            for x, y, name in steps:
+                made = here if name is None else (here[0] + 1, (*here[1], name))
+                if (x, y) not in best or made[0] < best[x, y][0]:
+                    best[x, y] = made
+    got = best.get((len(seen), len(meant)))
+    return got[1] if got else None
 
 
-def _layout(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        out = []
-        for table, id_, text, page, title, short in zip(b["rec_table"], b["rec_id"], b["text"], b["page"], b["title"], b["short_name"], strict=True):
-            lines, header, pageno = read_layout(text, None if pd.isna(page) else int(page), title, short)
-            flat = [t for line in lines for t in line]
-            tokens = ["" if BREAK in t else c for t in flat if (c := core_of(t)) or BREAK in t]
-            out.append((table, id_, "\n".join(" ".join(x) for x in lines), header, pageno, tokens, [t for t in flat if BREAK in t]))
-        yield pd.DataFrame(out, columns=["rec_table", "rec_id", "text", "header", "pageno", "tokens", "breaks"])
+def figures_meant(form: str) -> tuple[str, tuple[str, ...]] | None:
+    """(number, confusions) that a form with letters among its figures may stand for."""
+    if _NUMBER.fullmatch(form) or not _ODD_NUMBER.fullmatch(form):
+        return None
+    odd = [c for c in form if c in _FIGURE]
+    if len(form) > 4 and 2 * len(odd) > len(form):
+        return None
+    return "".join(_FIGURE.get(c, c) for c in form), tuple(f"#{c}={_FIGURE[c]}" for c in odd)
 
 
-def _halves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        yield pd.DataFrame([(t, *break_forms(t)) for t in b["token"]], columns=["token", "joined", "hyphened"])
+_FORM = re.compile(r"[^\W\d_]+(?:[-'’/][^\W\d_]*)*")
 
 
-def _spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        out = [(w, n, c, k) for w, n in zip(b["word"], b["n"], strict=True) for c, k in candidates(w).items()]
-        yield pd.DataFrame(out, columns=["word", "n", "cand", "sites"])
+def is_word(form: str) -> bool:
+    """Whether a form may be meant: letters, perhaps with hyphens, apostrophes or bars inside."""
+    return _FORM.fullmatch(form) is not None
+
 
+def _beyond(n, explained, varies):
+    return n - (explained + DEVIATIONS * (explained + (varies * explained) ** 2) ** 0.5 + 1.0)
 
-def viterbi(options: list[list[tuple[str, int]]], bigrams: dict[tuple[str, str], float], counts: dict[str, float], total: float, first: str | None) -> list[int]:
-    """Index of the best option at each place; an option is (counted form, confusions)."""
+
+def beyond(n: float, explained: float, varies: float = VARIES) -> float:
+    """The part of a count that `explained` expected misreadings can't make up."""
+    return max(0.0, _beyond(n, explained, varies))
+
+
+def viterbi(options: list[list[tuple[str, float]]], bigrams: dict[tuple[str, str], float], counts: dict[str, float], total: float, first: str | None) -> list[int]:
+    """Index of the best option at each place; an option is (counted form, cost in confusions of `CONFUSION_P`)."""
 
     def word_p(w: str) -> float:
         return (counts.get(w, 0.0) + 0.1) / (total + 1.0)
@@ -265,40 +306,6 @@ def _meant(seen: str, form: str) -> str:
     return form
 
 
-class Decoder:
-    """Decodes one record; `known` maps words to options, `joins` divided words to choices."""
-
-    def __init__(self, known: dict[str, list[tuple[str, int]]], joins: dict[str, bool], bigrams: dict, counts: dict, total: float) -> None:
-        self.known, self.joins, self.bigrams, self.counts, self.total = known, joins, bigrams, counts, total
-
-    def whole(self, token: str) -> str:
-        if BREAK not in token:
-            return token
-        a, b = token.split(BREAK, 1)
-        b = b.replace(BREAK, "")
-        return a[:-1] + ("" if self.joins.get(token, True) else "-") + b
-
-    def options(self, core: str) -> list[tuple[str, int]]:
-        return [(normal(core), 0), *self.known.get(core, ())]
-
-    def line(self, tokens: list[str], before: str | None) -> tuple[list[str], bool, str | None]:
-        whole = [self.whole(t) for t in tokens]
-        at = [i for i, t in enumerate(whole) if core_of(t)]
-        if not at:
-            return whole, False, before
-        cores = [core_of(whole[i]) for i in at]
-        options = [self.options(c) for c in cores]
-        if all(len(o) == 1 for o in options):
-            return whole, False, options[-1][0][0]
-        picks = viterbi(options, self.bigrams, self.counts, self.total, before)
-        wrong = False
-        for i, core, o, p in zip(at, cores, options, picks, strict=True):
-            if p:
-                wrong = True
-                whole[i] = whole[i].replace(core, _meant(core, o[p][0]), 1)
-        return whole, wrong, options[-1][picks[-1]][0]
-
-
 def _paragraphs(lines: list[tuple[bool, list[str]]]) -> str:
     """Lines of words to paragraphs; table lines stay lines."""
     out: list[str] = []
@@ -319,111 +326,355 @@ def _paragraphs(lines: list[tuple[bool, list[str]]]) -> str:
     return "".join(out)
 
 
-REPAIRED = "rec_table string, rec_id string, hyphen boolean, misread boolean, header boolean, pageno boolean, repaired string"
 
 
-def _make_decode(total: float):
+REC = ["rec_table", "rec_id"]
+ROW = [*REC, "version"]
+LAYOUT = "rec_table string, rec_id string, version bigint, stream string, header boolean, pageno boolean"
+
+
+@lru_cache(maxsize=200_000)
+def _streamed(token: str) -> str:
+    """What a token leaves in the stream: a number as it stands, else the form of its core."""
+    core = core_of(token)
+    return core if _NUMBER.fullmatch(core) else normal(core)
+
+
+def _make_layout(whole: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["rec_table", "rec_id", "version", "stream", "header", "pageno", *(["text"] if whole else [])]
         for b in batches:
             out = []
-            for table, id_, text, header, pageno, opts, joins, grams, counts in zip(b["rec_table"], b["rec_id"], b["text"], b["header"], b["pageno"], b["options"], b["joins"], b["grams"], b["counts"], strict=True):
-                known: dict[str, list[tuple[str, int]]] = {}
-                dominated = set()
-                for o in opts if opts is not None else ():
-                    known.setdefault(o["word"], []).append((o["cand"], o["sites"]))
-                    dominated.add(normal(o["word"]))
-                choice = {j["token"]: j["joined"] for j in joins} if joins is not None else {}
-                uni = {c["w"]: float(c["n"]) for c in counts} if counts is not None else {}
-                uni = {w: n for w, n in uni.items() if w not in dominated}
-                bi = {(g["a"], g["b"]): float(g["n"]) for g in grams if g["a"] not in dominated and g["b"] not in dominated} if grams is not None else {}
-                d = Decoder(known, choice, bi, uni, total)
-                before, wrong, lines = None, False, []
-                for raw in text.split("\n"):
-                    tokens = raw.split()
-                    words, bad, before = d.line(tokens, before)
-                    wrong |= bad
-                    lines.append((raw[:1] == "|", words))
-                out.append((table, id_, any(choice.get(t, True) for raw in text.split("\n") for t in raw.split() if BREAK in t), wrong, header, pageno, _paragraphs(lines)))
-            yield pd.DataFrame(out, columns=["rec_table", "rec_id", "hyphen", "misread", "header", "pageno", "repaired"])
+            for table, id_, version, text, page, title, short in zip(b["rec_table"], b["rec_id"], b["version"], b["text"], b["page"], b["title"], b["short_name"], strict=True):
+                lines, header, pageno = read_layout(text, None if pd.isna(page) else int(page), title, short)
+                stream = " ".join([x for line in lines for t in line if (x := t if BREAK in t else _streamed(t))])
+                out.append((table, id_, version, stream, header, pageno, *(["\n".join(" ".join(x) for x in lines)] if whole else [])))
+            yield pd.DataFrame(out, columns=names)
 
     return run
 
 
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for part in parts(b.column(0)):
+            counted = pc.value_counts(pc.split_pattern(part, " ").flatten())
+            yield pa.RecordBatch.from_arrays([counted.field(0), counted.field(1)], names=["token", "n"])
+
+
+def _halves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        yield pd.DataFrame([(t, *break_forms(t)) for t in b["token"]], columns=["token", "joined", "hyphened"])
+
+
+PAIRS = "word string, n bigint, cand string, cn bigint, confs array<string>"
+
+
+def _aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        out = [(w, n, c, cn, list(got)) for w, n, c, cn in zip(b["word"], b["n"], b["cand"], b["cn"], strict=True) if (got := confusions(w, c))]
+        yield pd.DataFrame(out, columns=["word", "n", "cand", "cn", "confs"])
+
+
+def _figures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        out = [(w, n, *got) for w, n in zip(b["word"], b["n"], strict=True) if (got := figures_meant(w))]
+        yield pd.DataFrame([(w, n, meant, list(confs)) for w, n, meant, confs in out], columns=["word", "n", "meant", "confs"])
+
+
+IS_NUMBER = "^[0-9.,·]*[0-9][0-9.,·]*$"
+IS_WORD = "^\\p{L}[\\p{L}\\p{M}]*(?:[-'’/][\\p{L}\\p{M}]*)*$"
+
+
+def confusable(seen: DataFrame, counts: DataFrame, more: DataFrame) -> DataFrame:
+    """(word, n, cand, cn, confs): forms and what they may be misreadings of.
+
+    `seen` has token, n; `counts` w, n; `more` w: further forms to ask for.
+    """
+    asked = counts.select("w").union(more.select("w")).distinct().join(counts, "w", "left").select(F.col("w").alias("word"), F.coalesce("n", F.lit(0)).alias("n")).where(F.col("word") != NUMBER)
+    meant = counts.where(F.col("w").rlike(IS_WORD)).select(F.col("w").alias("cand"), F.col("n").alias("cn"), spread(F.col("w")).alias("s"))
+    near_ones = asked.withColumn("s", spread(F.col("word"))).join(meant, "s").where((F.col("word") != F.col("cand")) & (F.lower("word") != F.col("cand")))
+    letters = near_ones.select("word", "n", "cand", "cn").mapInPandas(_aligned, PAIRS)
+    odd = asked.where(F.col("word").rlike("[0-9]") & ~F.col("word").rlike(IS_NUMBER)).mapInPandas(_figures, "word string, n bigint, meant string, confs array<string>")
+    figures = odd.join(seen.select(F.col("token").alias("meant"), F.col("n").alias("cn")), "meant").select("word", "n", F.lit(NUMBER).alias("cand"), "cn", "confs")
+    return letters.union(figures)
+
+
+def _probability(probabilities: dict[str, float]) -> Column:
+    known = F.create_map(*(F.lit(x) for kv in probabilities.items() for x in kv))
+    return F.aggregate("confs", F.lit(1.0), lambda p, c: p * F.try_element_at(known, c))
+
+
+def _true_count(n: Column, explained: Column, figures: Column) -> Column:
+    v = F.when(figures, FIGURES_VARY).otherwise(VARIES)
+    return F.greatest(n - (explained + DEVIATIONS * F.sqrt(explained + F.pow(v * explained, F.lit(2.0))) + 1.0), F.lit(0.0))
+
+
+def _expected(pairs: DataFrame, probabilities: dict[str, float]) -> DataFrame:
+    """`pairs` with `l`, its expected misreadings, and by word `explained`, all expected ones, and `true`."""
+    each = pairs.withColumn("l", F.col("cn") * _probability(probabilities))
+    of_word = each.groupBy("word").agg(F.sum("l").alias("explained"), F.bool_or(F.col("cand") == NUMBER).alias("figures"))
+    return each.join(of_word, "word").withColumn("true", _true_count(F.col("n"), F.col("explained"), F.col("figures")))
+
+
+def estimate_confusions(pairs: DataFrame, seen: DataFrame) -> dict[str, float]:
+    """P(seen|meant) of each confusion, over the whole corpus; one entry a known confusion."""
+    names = {f"{a}={b}": b for a, b in _PAIRS} | {f"#{a}={b}": b for a, b in _FIGURE.items()}
+    number = F.col("token").rlike(IS_NUMBER)
+    wholes = seen.where(~F.contains("token", F.lit(BREAK)))
+
+    def places(of: str, digits: bool) -> Column:
+        times = (F.length("token") - F.length(F.replace("token", F.lit(of), F.lit("")))) / F.lit(len(of))
+        return F.coalesce(F.sum(F.when(number == digits, F.col("n") * times)), F.lit(0.0))
+
+    meant = sorted(set(names.values()))
+    row = wholes.agg(*(places(m, m.isdigit()).alias(f"m{i}") for i, m in enumerate(meant))).first()
+    chances = {m: float(row[f"m{i}"]) for i, m in enumerate(meant)}
+    p = dict.fromkeys(names, CONFUSION_P)
+    for _ in range(STEPS):
+        share = F.col("n") * F.col("l") / F.nullif(F.col("true") + F.col("explained"), F.lit(0.0))
+        misread = _expected(pairs, p).select(F.explode("confs").alias("c"), share.alias("e")).groupBy("c").agg(F.sum("e").alias("e"))
+        found = {r["c"]: r["e"] or 0.0 for r in misread.collect()}  # at most one row a known confusion
+        p = {k: (found.get(k, 0.0) + PRIOR_WEIGHT * CONFUSION_P) / (chances[m] + PRIOR_WEIGHT) for k, m in names.items()}
+    return p
+
+
+def _coded(part: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(distinct tokens, code of each token, row of each token)."""
+    lists = pc.split_pattern(part, " ")
+    rows = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    coded = lists.flatten().dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False), rows
+
+
+@lru_cache(maxsize=200_000)
+def _form_digest(token: str) -> int:
+    return word_digest(normal(token))
+
+
+SEGMENTS = "rec_table string, rec_id string, version bigint, at int, segment string"
+
+
+def _segments(bits):
+    """Runs of tokens with options, or divided ones, between the forms on their sides."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = bitmap(bits)
+        for b in batches:
+            base = 0
+            keys, places, texts = [], [], []
+            for part in parts(b.column("stream")):
+                names, codes, rows = _coded(part)
+                hit = passes(asked, np.array([_form_digest(t) for t in names], dtype=np.uint64)) if names else np.zeros(0, dtype=bool)
+                active = (hit | np.array([BREAK in t for t in names], dtype=bool))[codes] if names else hit
+                n = len(codes)
+                fresh = np.concatenate([[True], rows[1:] != rows[:-1]]) if n else active
+                starts = np.nonzero(active & (fresh | ~np.concatenate([[False], active[:-1]])))[0] if n else codes
+                stops = np.nonzero(active & (np.concatenate([fresh[1:], [True]]) | ~np.concatenate([active[1:], [False]])))[0] if n else codes
+                firsts = np.nonzero(fresh)[0]
+                begin = firsts[np.searchsorted(firsts, starts, side="right") - 1] if n else codes
+                for i, j, f in zip(starts.tolist(), stops.tolist(), begin.tolist(), strict=True):
+                    run_ = [names[c] if BREAK in names[c] else normal(names[c]) for c in codes[i : j + 1].tolist()]
+                    before = "" if fresh[i] else normal(names[codes[i - 1]])
+                    after = "" if j + 1 == n or fresh[j + 1] else normal(names[codes[j + 1]])
+                    keys.append(base + int(rows[i]))
+                    places.append(i - f)
+                    texts.append(" ".join([before, *run_, after]))
+                base += len(part)
+            took = pa.array(keys, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(took) for c in ROW), pa.array(places, pa.int32()), pa.array(texts, pa.string())], names=[*ROW, "at", "segment"])
+
+    return run
+
+
+_BIGRAM_SALT = 0x1B873593
+
+
+def _bigram_digest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mixed(a * ODD + b, _BIGRAM_SALT)
+
+
+def _bigrams(bits):
+    """(d, n): how often the bigrams that the filter lets through stand in a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = bitmap(bits)
+        for b in batches:
+            for part in parts(b.column(0)):
+                names, codes, rows = _coded(part)
+                if len(codes) < 2:
+                    continue
+                digests = np.array([_form_digest(t) for t in names], dtype=np.uint64)
+                whole = np.array([BREAK not in t and t != "" for t in names], dtype=bool)
+                a, c = codes[:-1], codes[1:]
+                d = _bigram_digest(digests[a], digests[c])
+                d = d[passes(asked, d) & (rows[:-1] == rows[1:]) & whole[a] & whole[c]]
+                one, n = np.unique(d, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(n.astype(np.int64))], names=["d", "n"])
+
+    return run
+
+
+def _options(items) -> list[list[tuple[str, float]]]:
+    """The lattice of a segment: the form as it stands first, then what it may mean."""
+    return [[(x["form"], 0.0), *((o["cand"], o["cost"]) for o in (x["options"] if x["options"] is not None else ()))] for x in items if x["form"] != ""]
+
+
 def _needed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Bigrams and words whose counts a record's lattice asks for."""
+    """Bigrams, with their digests, that the lattices ask for."""
     for b in batches:
         out = []
-        for table, id_, text, opts, joins in zip(b["rec_table"], b["rec_id"], b["text"], b["options"], b["joins"], strict=True):
-            known: dict[str, list[tuple[str, int]]] = {}
-            for o in opts if opts is not None else ():
-                known.setdefault(o["word"], []).append((o["cand"], o["sites"]))
-            d = Decoder(known, {j["token"]: j["joined"] for j in joins} if joins is not None else {}, {}, {}, 1.0)
-            cores = [core_of(d.whole(t)) for raw in text.split("\n") for t in raw.split()]
-            options = [[w for w, _ in d.options(c)] for c in cores if c]
-            pairs = {(x, y) for p, q in itertools.pairwise(options) if len(p) > 1 or len(q) > 1 for x in p for y in q}
-            out += [(table, id_, x, y) for x, y in pairs]
-        yield pd.DataFrame(out, columns=["rec_table", "rec_id", "a", "b"])
+        for segment, items in zip(b["segment"], b["items"], strict=True):
+            pairs = {(x, y) for p, q in itertools.pairwise(_options(items)) if len(p) > 1 or len(q) > 1 for x, _ in p for y, _ in q}
+            out += [(segment, x, y, _form_digest(x), _form_digest(y)) for x, y in pairs]
+        made = pd.DataFrame(out, columns=["segment", "a", "b", "x", "y"])
+        d = _bigram_digest(made["x"].to_numpy(dtype=np.uint64), made["y"].to_numpy(dtype=np.uint64)).view(np.int64)
+        yield made[["segment", "a", "b"]].assign(d=d)
+
+
+def true_bigrams(options: list[list[tuple[str, float]]], counts: dict[tuple[str, str], float]) -> dict[tuple[str, str], float]:
+    """Bigram counts of a lattice beyond what misreadings of its other bigrams explain."""
+    out: dict[tuple[str, str], float] = {}
+    for left, right in itertools.pairwise(options):
+        for i, (x, _) in enumerate(left):
+            for j, (y, _) in enumerate(right):
+                n = counts.get((x, y), 0.0)
+                # only a form as it stands may be a misreading, of its options
+                xs, ys = left if i == 0 else [(x, 0.0)], right if j == 0 else [(y, 0.0)]
+                others = [(p[0], q[0], p[1] + q[1]) for p in xs for q in ys if (p[0], q[0]) != (x, y)]
+                if n and others:
+                    explained = sum(counts.get((p, q), 0.0) * CONFUSION_P**k for p, q, k in others)
+                    n = beyond(n, explained, FIGURES_VARY if any(NUMBER in o[:2] for o in others) and NUMBER not in (x, y) else VARIES)
+                out[x, y] = n
+    return out
 
 
-REC = ["rec_table", "rec_id"]
+DECIDED = "segment string, hyphen boolean, misread boolean, changes array<struct<at int, joined boolean, form string>>, choices int, against int"
 
 
-def repair(records: DataFrame, guidelines: DataFrame) -> DataFrame:
-    """(rec_table, rec_id, hyphen, misread, header, pageno, repaired): one row per record with a text.
+def _make_decode(total: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for segment, items, grams, counts in zip(b["segment"], b["items"], b["grams"], b["counts"], strict=True):
+                options = _options(items)
+                bi = {(g["a"], g["b"]): float(g["n"]) for g in grams} if grams is not None else {}
+                uni = {c["w"]: float(c["n"]) for c in counts} if counts is not None else {}
+                picks = viterbi(options, true_bigrams(options, bi), uni, total, None)
+                chosen = iter(zip(options, picks, strict=True))
+                changes, choices, against = [], 0, 0
+                for k, x in enumerate(items):
+                    if x["form"] == "":
+                        continue
+                    o, pick = next(chosen)
+                    divided = BREAK in x["token"]
+                    if len(o) > 1:
+                        choices += 1
+                        against += pick != max(range(len(o)), key=lambda i, o=o: (uni.get(o[i][0], 0.0), -i))
+                    if pick or divided:
+                        changes.append({"at": k - 1, "joined": bool(x["joined"]) if divided else None, "form": o[pick][0] if pick else None})
+                out.append((segment, any(c["joined"] for c in changes), any(c["form"] is not None for c in changes), changes, choices, against))
+            yield pd.DataFrame(out, columns=["segment", "hyphen", "misread", "changes", "choices", "against"])
 
-    `records` has rec_table, rec_id, doc_id, page, text; `guidelines` doc_id, title, short_name.
-    """
+    return run
+
+
+def laid_out(records: DataFrame, guidelines: DataFrame, whole: bool = False) -> DataFrame:
+    """Records with a text, read once: stream of forms, header and page number; with `whole`, also the body."""
     names = guidelines.groupBy("doc_id").agg(F.max(F.struct("title", "short_name")).alias("g")).select("doc_id", "g.title", "g.short_name")
-    rows = records.where(F.length("text") > 0).select(*REC, "doc_id", "page", "text").dropDuplicates([*REC, "text"])
-    rows = rows.join(names, "doc_id", "left").select(*REC, "text", "page", "title", "short_name")
-    parsed = cut(rows.mapInPandas(_layout, LAYOUT))
-
-    form = lambda c: F.when(c.rlike("^[0-9.,·]*[0-9][0-9.,·]*$"), F.lit(NUMBER)).otherwise(F.lower(c))
-    words = parsed.select(F.explode("tokens").alias("seen")).where("seen <> ''")
-    seen = words.groupBy("seen").agg(F.count(F.lit(1)).alias("n"))
-    counts = cut(seen.groupBy(form(F.col("seen")).alias("w")).agg(F.sum("n").alias("n")))
+    rows = records.where(F.length("text") > 0).select(*REC, "doc_id", "page", "text", F.xxhash64("text").alias("version")).dropDuplicates([*REC, "text"])
+    rows = rows.join(names, "doc_id", "left").select(*ROW, "text", "page", "title", "short_name")
+    return cut(rows.mapInPandas(_make_layout(whole), LAYOUT + (", text string" if whole else "")))
+
+
+def decided_segments(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(segments by record, what was decided for each distinct segment)."""
+    seen = cut(parsed.select("stream").mapInArrow(_tally, "token string, n bigint").where("token <> ''").groupBy("token").agg(F.sum("n").alias("n")))
+    divided = F.contains("token", F.lit(BREAK))
+    counts = seen.where(~divided).groupBy(F.when(F.col("token").rlike(IS_NUMBER), F.lit(NUMBER)).otherwise(F.col("token")).alias("w")).agg(F.sum("n").alias("n"))
     total = float(counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    halves = cut(seen.where(divided).select("token").mapInPandas(_halves, "token string, joined string, hyphened string"))
+
+    # the channel
+    more = halves.select(F.col("joined").alias("w")).union(halves.select("hyphened"))
+    pairs = cut(confusable(seen, counts, more))
+    p = estimate_confusions(pairs, seen)
+    known = _expected(pairs, p)
+    true = known.groupBy("word").agg(F.max("true").alias("true"))
+    meant = counts.join(true, F.col("w") == F.col("word"), "left").select("w", F.coalesce("true", F.col("n").cast("double")).alias("n"))
+    cost = F.log(_probability(p)) / F.lit(math.log(CONFUSION_P))
+    kept = known.join(meant.where("n > 0").select(F.col("w").alias("cand"), F.col("n").alias("cand_true")), "cand")
+    options = cut(kept.select("word", "cand", cost.alias("cost"), "cand_true"))
 
     # divided words: which of the two forms the corpus writes, misread halves included
-    halves = cut(parsed.select(F.explode("breaks").alias("token")).distinct().mapInPandas(_halves, "token string, joined string, hyphened string"))
-    asked = seen.select("seen").union(halves.select("joined")).union(halves.select("hyphened")).distinct()
-    types = asked.withColumn("w", form(F.col("seen"))).join(counts, "w", "left").select(F.col("seen").alias("word"), F.coalesce("n", F.lit(0)).alias("n"))
-    spelt = types.where(F.length("word").between(2, 40)).mapInPandas(_spell, "word string, n bigint, cand string, sites int")
-    spelt = spelt.join(counts.select(F.col("w").alias("cand"), F.col("n").alias("cn")), "cand")
-    options = cut(spelt.where((F.col("cn") >= LEAST_COUNT) & (F.col("cn") >= DOMINANT * F.col("n"))).select("word", "cand", "sites", "cn"))
-    best = options.groupBy("word").agg(F.max("cn").alias("best"))
+    best = options.groupBy("word").agg(F.max("cand_true").alias("best"))
 
     def strength(name: str) -> DataFrame:
-        return (
-            halves.select("token", F.col(name).alias("w"))
-            .join(counts, "w", "left")
-            .join(best.withColumnRenamed("word", "w"), "w", "left")
-            .select("token", F.greatest(F.coalesce("n", F.lit(0)), F.coalesce("best", F.lit(0))).alias(name[:1] + "n"))
-        )
-
-    joins = cut(strength("joined").join(strength("hyphened"), "token").select("token", (F.col("jn") >= F.col("hn")).alias("joined"), "jn", "hn"))
-
-    # each record's options: its tokens and the chosen forms of its divided words
-    flat = parsed.select(*REC, F.explode(F.array_distinct("tokens")).alias("word"))
-    split_words = parsed.select(*REC, F.explode(F.array_distinct("breaks")).alias("token")).join(joins.join(halves.withColumnRenamed("joined", "jf"), "token"), "token")
-    flat = flat.union(split_words.select(*REC, F.when(F.col("joined"), F.col("jf")).otherwise(F.col("hyphened")).alias("word")))
-    mine = flat.join(counted_side(options), "word").groupBy(*REC).agg(F.collect_set(F.struct("word", "cand", "sites")).alias("options"))
-    cuts = split_words.groupBy(*REC).agg(F.collect_set(F.struct("token", "joined")).alias("joins"))
-    lattice = cut(parsed.select(*REC, "text", "header", "pageno").join(mine, REC, "left").join(cuts, REC, "left"))
+        told = halves.select("token", F.col(name).alias("w")).join(counts, "w", "left").join(best.withColumnRenamed("word", "w"), "w", "left")
+        return told.select("token", F.greatest(F.coalesce("n", F.lit(0)), F.coalesce("best", F.lit(0.0))).alias(name[:1] + "n"))
+
+    joins = strength("joined").join(strength("hyphened"), "token").join(halves, "token")
+    joins = joins.select("token", (F.col("jn") >= F.col("hn")).alias("is_joined"), F.when(F.col("jn") >= F.col("hn"), F.col("joined")).otherwise(F.col("hyphened")).alias("made"))
+
+    # places with options, and each distinct one's lattice
+    bits = broadcast_filter(options.select(F.xxhash64("word").alias("d")).distinct())
+    places = cut(parsed.select(*ROW, "stream").mapInArrow(_segments(bits), SEGMENTS))
+    items = places.select("segment").distinct().select("segment", F.posexplode(F.split("segment", " ")).alias("k", "token"))
+    resolved = items.join(joins, "token", "left").withColumn("form", F.coalesce("made", "token"))
+    choices = options.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("cand", "cost"))).alias("options"))
+    resolved = resolved.join(choices, F.col("form") == F.col("word"), "left")
+    lattice = cut(resolved.groupBy("segment").agg(F.array_sort(F.collect_list(F.struct("k", "token", "form", F.col("is_joined").alias("joined"), "options"))).alias("items")))
 
     # counts of the words and bigrams that the lattices ask for
-    needed = cut(lattice.where("options is not null").select(*REC, "text", "options", "joins").mapInPandas(_needed, "rec_table string, rec_id string, a string, b string"))
-    pairs = counted_side(needed.select(F.xxhash64("a", "b").alias("h")).distinct())
-    forms_in_order = F.transform(F.filter("tokens", lambda t: t != ""), form)
-    size = F.size(forms_in_order)
-    spread = parsed.where(F.size("tokens") > 1).select(
-        F.inline(F.arrays_zip(F.slice(forms_in_order, 1, F.greatest(size - 1, F.lit(0))).alias("a"), F.slice(forms_in_order, 2, F.greatest(size, F.lit(1))).alias("b"))).alias("a", "b")
-    )
-    grams = spread.select(F.xxhash64("a", "b").alias("h")).join(pairs, "h", "left_semi").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    told = needed.withColumn("h", F.xxhash64("a", "b")).join(grams, "h").groupBy(*REC).agg(F.collect_list(F.struct("a", "b", "n")).alias("grams"))
-    singles = needed.select(*REC, F.explode(F.array("a", "b")).alias("w")).distinct().join(counts, "w").groupBy(*REC).agg(F.collect_list(F.struct("w", "n")).alias("counts"))
-    ready = lattice.join(told, REC, "left").join(singles, REC, "left")
-    return ready.mapInPandas(_make_decode(total), REPAIRED)
+    needed = cut(lattice.mapInPandas(_needed, "segment string, a string, b string, d bigint"))
+    bits = broadcast_filter(needed.select("d").distinct())
+    grams = parsed.select("stream").mapInArrow(_bigrams(bits), "d bigint, n bigint").groupBy("d").agg(F.sum("n").alias("n"))
+    told = needed.join(counted_side(grams), "d").groupBy("segment").agg(F.collect_list(F.struct("a", "b", "n")).alias("grams"))
+    singles = needed.select("segment", F.explode(F.array("a", "b")).alias("w")).distinct().join(meant, "w").groupBy("segment").agg(F.collect_list(F.struct("w", "n")).alias("counts"))
+    ready = lattice.join(told, "segment", "left").join(singles, "segment", "left")
+    return places, cut(ready.mapInPandas(_make_decode(total), DECIDED))
+
+
+def _render(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Texts with the decided changes, as paragraphs."""
+    for b in batches:
+        out = []
+        for table, id_, text, header, pageno, hyphen, misread, changes in zip(*(b[c] for c in ("rec_table", "rec_id", "text", "header", "pageno", "hyphen", "misread", "changes")), strict=True):
+            by_place = {c["at"]: c for c in changes} if changes is not None else {}
+            at, lines = 0, []
+            for raw in text.split("\n"):
+                words = raw.split()
+                for k, token in enumerate(words):
+                    divided = BREAK in token
+                    if not divided and not core_of(token):
+                        continue
+                    c = by_place.get(at)
+                    at += 1
+                    if divided:
+                        a, z = token.split(BREAK, 1)
+                        token = a[:-1] + ("" if c is None or c["joined"] else "-") + z.replace(BREAK, "")
+                    if c is not None and c["form"] is not None:
+                        core = core_of(token)
+                        token = token.replace(core, _meant(core, c["form"]), 1)
+                    words[k] = token
+                lines.append((raw[:1] == "|", words))
+            out.append((table, id_, bool(hyphen), bool(misread), header, pageno, _paragraphs(lines)))
+        yield pd.DataFrame(out, columns=["rec_table", "rec_id", "hyphen", "misread", "header", "pageno", "repaired"])
+
+
+REPAIRED = "rec_table string, rec_id string, hyphen boolean, misread boolean, header boolean, pageno boolean, repaired string"
+
+
+def repair(records: DataFrame, guidelines: DataFrame) -> DataFrame:
+    """(rec_table, rec_id, hyphen, misread, header, pageno, repaired): one row per record with a text.
+
+    `records` has rec_table, rec_id, doc_id, page, text; `guidelines` doc_id, title, short_name.
+    """
+    parsed = laid_out(records, guidelines, whole=True)
+    places, decided = decided_segments(parsed)
+    found = places.join(counted_side(decided.where(F.size("changes") > 0)), "segment")
+    moved = found.select(*ROW, "hyphen", "misread", F.explode("changes").alias("c"), "at").withColumn("c", F.struct((F.col("c.at") + F.col("at")).alias("at"), "c.joined", "c.form"))
+    mine = moved.groupBy(*ROW).agg(F.bool_or("hyphen").alias("hyphen"), F.bool_or("misread").alias("misread"), F.collect_list("c").alias("changes"))
+    return parsed.drop("stream").join(mine, ROW, "left").select(*REC, "text", "header", "pageno", "hyphen", "misread", "changes").mapInPandas(_render, REPAIRED)
 
 
 def continuous_text(records: DataFrame, guidelines: DataFrame) -> DataFrame:
@@ -434,5 +685,21 @@ def continuous_text(records: DataFrame, guidelines: DataFrame) -> DataFrame:
 
 def noise_kinds(repaired: DataFrame) -> DataFrame:
     """(rec_table, rec_id, noise_kind)."""
-    kinds = F.array_compact(F.array(*(F.when(F.col(k), F.lit(k)) for k in ("hyphen", "misread", "header", "pageno"))))
+    kinds = F.array_compact(F.array(*(F.when(F.col(k), F.lit(k)) for k in ("hyphen", "misread", "header", "pageno") if k in repaired.columns)))
     return repaired.select(*REC, F.explode(kinds).alias("noise_kind")).distinct()
+
+
+def found_noise(records: DataFrame, guidelines: DataFrame) -> DataFrame:
+    """(rec_table, rec_id, noise_kind), as `noise_kinds` of `repair`, without making the texts."""
+    parsed = laid_out(records, guidelines)
+    places, decided = decided_segments(parsed)
+    wrong = decided.where("hyphen or misread").select("segment", "hyphen", "misread")
+    return noise_kinds(places.join(counted_side(wrong), "segment")).union(noise_kinds(parsed.select(*REC, "header", "pageno"))).distinct()
+
+
+def decisions(records: DataFrame, guidelines: DataFrame) -> DataFrame:
+    """(choices, changed, against): over the distinct places with several options, how many there are,
+    how many the decoder changed, and how often it chose another than the most frequent option."""
+    _, decided = decided_segments(laid_out(records, guidelines))
+    changed = F.size(F.filter("changes", lambda c: c["form"].isNotNull()))
+    return decided.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in (("choices", F.col("choices")), ("changed", changed), ("against", F.col("against")))))

@@ -21,7 +21,7 @@ def _scans(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """Records and the kinds of scan noise in their text."""
-    return ocr.noise_kinds(ocr.repair(*_scans(spark, folder)))
+    return ocr.found_noise(*_scans(spark, folder))
 
 
 def p1_text(spark: SparkSession, folder: str) -> DataFrame:
@@ -29,6 +29,11 @@ def p1_text(spark: SparkSession, folder: str) -> DataFrame:
     return ocr.continuous_text(*_scans(spark, folder))
 
 
+def p1_decisions(spark: SparkSession, folder: str) -> DataFrame:
+    """How often the decoder had a choice, changed a form, and went against the most frequent option."""
+    return ocr.decisions(*_scans(spark, folder))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Readings of one page that print alike but are stored with different characters."""
     report = table(spark, folder, "cross_validation_report").select("report_id", "doc_id", "page", "markdown", "headers")
@@ -95,6 +100,7 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_text": p1_text,
+    "p1_decisions": p1_decisions,
     "p2_found": p2_found,
     "p2_canonical": p2_canonical,
     "p2_headers": p2_headers,

@@ -17,9 +17,8 @@ elsewhere (one word alone only if it is long and frequent) (messages without ful
 
 The evidence is one pass over the corpus in Arrow batches: digests of line beginnings and of
 word contexts are worked out by array operations and counted per batch. Only digests that some
-open ending asks for leave the pass: a bitmap of fixed size (`FILTER_BITS`), made from all asked
-digests, filters them as a runtime filter does; what it lets through by chance is dropped by the
-join on the digest, so its size changes no result.
+open ending asks for leave the pass: a bitmap of fixed size, made from all asked
+digests, filters them (`digests`).
 
 Null, empty and blank texts are never cut. A text that ends in a replacement character was cut
 inside a character, an open ending followed by white space before the next word. All counts are over all rows.
@@ -38,6 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
+from leafmill.llm.digests import ODD, bitmap, broadcast_filter, mixed, parts, passes, word_digest
 from leafmill.session import counted_side, cut
 
 #: A spike has so many times the texts of the mean length around it (within SPIKE_AROUND, a
@@ -48,8 +48,6 @@ SPIKE_TIMES, SPIKE_AROUND, SPIKE_MEAN, SPIKE_CHANCE, SPIKE_CHANCE_AT_MOST = 8.0,
 CONTEXT = 7
 #: Longest line that may be a list entry, heading, reference or signature.
 SHORT_LINE = 80
-#: Bits of the filter of asked digests, as a power of two (8 MB).
-FILTER_BITS = 26
 
 _SPACES = " \t\n\x0b\x0c\r\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _STOPS, _AFTER_STOP, _CLOSERS = ".!?…。！？।؟", "\"'»”’)]*_", ")]»”\""
@@ -90,25 +88,9 @@ def length_spikes(rows: DataFrame) -> DataFrame:
 _BARE = re.compile(r"^[\"'(«“\[*_]+|[.,;:!?…\"')»”\]*_]+$")
 _ENDED = re.compile(rf"[{re.escape(_STOPS)}][{re.escape(_AFTER_STOP)}]*$|[{re.escape(_CLOSERS)}]$")
 _BREAK, _TABLE_ROW = "\x01", "\x02"
-_ODD, _LINES_SALT, _WORDS_SALT = np.uint64(0x9E3779B97F4A7C15), 0x51ED27, 0xA24BAED4
-#: Rows and bytes of text worked on at once, and words whose digests are kept between batches.
-_ROWS, _BYTES, _KEPT = 2_000, 4_000_000, 200_000
-
-
-def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
-    x = (x ^ np.uint64(salt * 0x2545F4914F6CDD1D & (2**64 - 1))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def _parts(texts: pa.Array) -> Iterator[pa.Array]:
-    """Slices of a bounded number of rows and, but for single texts, of bytes."""
-    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-    at = 0
-    while at < len(texts):
-        n = max(1, int(np.searchsorted(np.cumsum(sizes[at : at + _ROWS]), _BYTES, side="right")))
-        yield texts.slice(at, n)
-        at += n
+_LINES_SALT, _WORDS_SALT = 0x51ED27, 0xA24BAED4
+#: Words whose digests are kept between batches.
+_KEPT = 200_000
 
 
 def _plain(texts: pa.Array) -> pa.Array:
@@ -124,8 +106,8 @@ def _prefix_digests(lines: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndar
     state, at = np.zeros(len(lines), dtype=np.uint64), np.arange(len(lines))
     for k in range(min(SHORT_LINE, int(sizes.max(initial=0)))):
         at = at[sizes[at] > k]
-        state[at] = state[at] * _ODD + points[starts[at] + k] + np.uint64(1)
-        yield k + 1, at, _mixed(state[at], _LINES_SALT + k)
+        state[at] = state[at] * ODD + points[starts[at] + k] + np.uint64(1)
+        yield k + 1, at, mixed(state[at], _LINES_SALT + k)
 
 
 class _Words:
@@ -135,8 +117,6 @@ class _Words:
         self.known: dict[str, tuple[int, bool, int]] = {}
 
     def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        from xxhash import xxh64_intdigest
-
         if len(self.known) > _KEPT:
             self.known.clear()
         out = []
@@ -144,7 +124,7 @@ class _Words:
             got = self.known.get(w)
             if got is None:
                 bare = _BARE.sub("", w)
-                got = self.known[w] = (xxh64_intdigest(bare.encode("utf-8", "surrogatepass")), _ENDED.search(w) is not None, len(bare))
+                got = self.known[w] = (word_digest(bare), _ENDED.search(w) is not None, len(bare))
             out.append(got)
         digests, ended, long = zip(*out, strict=True) if out else ((), (), ())
         return np.array(digests, dtype=np.uint64), np.array(ended, dtype=bool), np.array(long, dtype=np.int64)
@@ -186,8 +166,8 @@ def _context_digests(w: dict[str, np.ndarray]) -> Iterator[tuple[int, np.ndarray
     for k in range(CONTEXT):
         if k:
             at = at[w["place"][at] >= k]
-            state[at] += w["digest"][at - k] * np.uint64(pow(int(_ODD), k, 2**64))
-        yield k + 1, at, _mixed(state[at], _WORDS_SALT + k)
+            state[at] += w["digest"][at - k] * np.uint64(pow(int(ODD), k, 2**64))
+        yield k + 1, at, mixed(state[at], _WORDS_SALT + k)
 
 
 def _asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +176,7 @@ def _asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         lines = b.column("line")
         shapes, contexts, longs = [], [], []
-        for part in _parts(lines):
+        for part in parts(lines):
             plain = _plain(part)
             trimmed = pc.utf8_trim_whitespace(plain).to_pylist()
             shape: list[int | None] = [None] * len(trimmed)
@@ -228,11 +208,7 @@ def _telling(bits):
     times, ends), for the digests that the filter `bits` holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, cache = np.frombuffer(bits.value, dtype=np.uint64), _Words()
-
-        def asked(d: np.ndarray) -> np.ndarray:
-            bit = d >> np.uint64(64 - FILTER_BITS)
-            return (words[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+        asked_bits, cache = bitmap(bits), _Words()
 
         def summed(kind: int, found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
             d, a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
@@ -242,7 +218,7 @@ def _telling(bits):
 
         for batch in batches:
             lines_found, words_found = [], []
-            for part in _parts(batch.column(0)):
+            for part in parts(batch.column(0)):
                 plain = _plain(part)
                 lines = pc.utf8_trim_whitespace(pc.split_pattern_regex(plain, pattern=r"\r\n|\r|\n").flatten())
                 # one character more tells a longer line from an equal one
@@ -250,7 +226,7 @@ def _telling(bits):
                 held, n = counted.field(0).to_pylist(), counted.field(1).to_numpy(zero_copy_only=False)
                 sizes = np.array([len(x) for x in held], dtype=np.int64)
                 for k, at, d in _prefix_digests(held):
-                    hit = asked(d)
+                    hit = passes(asked_bits, d)
                     if hit.any():
                         equal = sizes[at[hit]] == k
                         lines_found.append((d[hit], np.where(equal, n[at[hit]], 0), np.where(equal, 0, n[at[hit]])))
@@ -259,7 +235,7 @@ def _telling(bits):
                 # how an open text would have gone on isn't known
                 known = ~(w["tail"] & ~w["ended"])
                 for _, at, d in _context_digests(w):
-                    hit = asked(d) & known[at]
+                    hit = passes(asked_bits, d) & known[at]
                     words_found.append((d[hit], np.ones(int(hit.sum())), ends[at[hit]].astype(np.float64)))
             yield summed(0, lines_found)
             yield summed(1, words_found)
@@ -267,16 +243,6 @@ def _telling(bits):
     return run
 
 
-def _filter_of(digests: DataFrame):
-    """A broadcast bitmap of the digests in column `d`: 2**FILTER_BITS bits, whatever their number."""
-    bit = F.shiftrightunsigned("d", 64 - FILTER_BITS)
-    words = digests.select(F.shiftright(bit, 6).alias("at"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(d, {64 - FILTER_BITS}) & 63 as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits"))
-    got = words.toArrow()  # at most 2**(FILTER_BITS - 6) rows
-    bits = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
-    bits[got.column("at").to_numpy()] = got.column("bits").to_numpy()
-    return digests.sparkSession.sparkContext.broadcast(bits.tobytes())
-
-
 def cut_texts(documents: DataFrame, key: str, text: str, source: str) -> DataFrame:
     """(key, source, reason): texts that were cut; `reason` is `limit` or `transfer`."""
     col = F.col(f"`{text}`")
@@ -303,7 +269,7 @@ def cut_texts(documents: DataFrame, key: str, text: str, source: str) -> DataFra
     placed = open_ends.join(limits, F.col("source").eqNullSafe(F.col("limit_source")), "left").select("key", "source", "broken", "shape", "contexts", "long", spiked.alias("spiked"))
 
     # one pass over the corpus for all evidence
-    bits = _filter_of(open_ends.select(F.explode(F.array_compact(F.concat("contexts", F.array("shape")))).alias("d")))
+    bits = broadcast_filter(open_ends.select(F.explode(F.array_compact(F.concat("contexts", F.array("shape")))).alias("d")))
     told = cut(rows.select("text").mapInArrow(_telling(bits), TOLD).groupBy("kind", "digest").agg(F.sum("a").alias("a"), F.sum("b").alias("b")))
 
     # evidence 1: other lines equal to the ending, against all lines that begin with it and go on

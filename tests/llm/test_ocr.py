@@ -2,7 +2,10 @@ import itertools
 import math
 import random
 
+from pyspark.sql import functions as F
+
 from leafmill.llm import ocr
+from leafmill.llm.digests import word_digest
 
 SENTENCES = ["The clinical officer should refer without delay when fever lasts longer than 14 days.", "Store the ampoules below thirty degrees and protect them from light.", "Give 250 mg twice-daily for 10 days and write the result on the chart.", "Supervision visits verify that every midwife can repeat the observation."]
 TITLE, SHORT = "Regional handbook for marsh fever, edition 1", "REG-MF-1H"
@@ -30,10 +33,25 @@ def test_misread_headers_and_page_forms():
         assert not ocr.read_layout("Text.\n" + line, 17, TITLE, SHORT)[2], line
 
 
-def test_candidates():
-    for seen, meant in {"fcver": "fever", "†es†": "test", "wliether": "whether", "recluced": "reduced", "retum": "return", "bl0od": "blood", "1oss": "loss", "1O": ocr.NUMBER, "l4": ocr.NUMBER, "5O0": ocr.NUMBER}.items():
-        assert meant in ocr.candidates(seen), seen
-    assert ocr.candidates("G6PD").get(ocr.NUMBER) is None and "14" not in ocr.candidates("14")
+def test_confusions():
+    for seen, meant in {"fcver": "fever", "†es†": "test", "wliether": "whether", "recluced": "reduced", "retum": "return", "bl0od": "blood", "1oss": "loss"}.items():
+        assert ocr.confusions(seen, meant), seen
+    for seen, number in {"1O": "10", "l4": "14", "5O0": "500"}.items():
+        assert ocr.figures_meant(seen)[0] == number
+    assert ocr.figures_meant("G6PD") is None and ocr.figures_meant("14") is None and ocr.confusions("cat", "dog") is None
+    # any number of them, in words of any length
+    assert ocr.confusions("rninirnurn" * 9, "minimum" * 9) == ("rn=m",) * 27
+    assert ocr.confusions("l", "i") == ("l=i",)
+
+
+def test_counts_beyond_misreadings():
+    assert ocr.beyond(7.0, 7.0) == 0.0 and ocr.beyond(500.0, 1.0) > 480.0
+    options = [[("the", 0.0)], [("lie", 0.0), ("he", 1.0)], [("down", 0.0)]]
+    counts = {("the", "lie"): 40.0, ("the", "he"): 50.0, ("he", "down"): 1.0, ("lie", "down"): 40.0}
+    assert ocr.true_bigrams(options, counts)["the", "lie"] > 30.0
+    assert ocr.true_bigrams(options, counts | {("the", "lie"): 1.0})["the", "lie"] == 0.0
+    n = {"the": 900.0, "lie": 40.0, "he": 3000.0, "down": 90.0}
+    assert ocr.viterbi(options, ocr.true_bigrams(options, counts), n, 9000.0, None) == [0, 0, 0]
 
 
 def test_viterbi_is_exact():
@@ -109,8 +127,34 @@ def test_mostly_misread_and_long_headers():
     assert not ocr.read_layout("Marsh fever in children is treated without delay at the nearest health post. " * 3, 17, title, SHORT)[1]
 
 
-def test_candidates_of_repeated_confusions():
-    assert ocr.candidates("ciinicai").get("clinical") == 2
+def test_repeated_confusions():
+    assert ocr.confusions("ciinicai", "clinical") == ("i=l", "i=l")
+
+
+def test_spellings_meet(spark):
+    pairs = [("ciinicai", "clinical"), ("fcver", "fever"), ("wliether", "whether"), ("recluced", "reduced"), ("retum", "return"), ("revievv", "review"), ("ſor", "for"), ("vi5i†s", "visits")]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    assert df.where(ocr.spread(F.col("a")) == ocr.spread(F.col("b"))).count() == len(pairs)
+
+
+def test_digest_is_that_of_sql(spark):
+    words = ["fever", "", "sévère", "a" * 100, "<num>"]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    assert {r.w: r.d % 2**64 for r in df.select("w", F.xxhash64("w").alias("d")).collect()} == {w: word_digest(w) for w in words}
+
+
+def test_a_real_word_beside_its_look_alike_stays(spark):
+    """`ear` and `car` may be misread for each other, but the corpus writes both; `eai` it doesn't."""
+    rows = [("chunk", f"a{k}", "D", 3, "The nurse looks into the ear of the child. The family comes by car to the ward.") for k in range(300)]
+    rows += [("chunk", "odd", "D", 3, "The family comes by ear to the ward."), ("chunk", "even", "D", 3, "The nurse looks into thc ear of the chi1d.")]
+    df = spark.createDataFrame(rows, "rec_table string, rec_id string, doc_id string, page int, text string")
+    guides = spark.createDataFrame([("D", TITLE, SHORT)], "doc_id string, title string, short_name string")
+    text = {r.rec_id: r.repaired for r in ocr.repair(df, guides).collect()}
+    assert text["a7"] == rows[7][4] and text["even"] == "The nurse looks into the ear of the child."
+    assert text["odd"] == "The family comes by car to the ward."
+    told = ocr.decisions(df, guides).first()
+    assert told.choices >= told.changed >= 2
+    assert {(r.rec_id, r.noise_kind) for r in ocr.found_noise(df, guides).collect()} == {("odd", "misread"), ("even", "misread")}
 
 
 def test_text_of_every_record(spark):
