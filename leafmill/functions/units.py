@@ -92,6 +92,8 @@ _NOTE_UNIT = re.compile(rf"\b(?:in|en)\s+({_UNIT_TEXT.pattern})\s*\.?\s*$", re.I
 _RULE_LINE = re.compile(r"^\|?[\s:|-]*-[\s:|-]*\|?$")
 _SPACE = re.compile(r"\s+")
 _DIGIT = re.compile(r"\d")
+#: A power of ten: a count, not a quantity.
+_POWER = re.compile(r"×\s*10\s*(?:\^|[⁰¹²³⁴-⁹])")
 
 
 #: Codes from here on: a unit per N of its denominator ("mg/5 mL"), N times this plus the unit's code.
@@ -162,7 +164,7 @@ def _cells(line: str) -> list[str]:
 @lru_cache(maxsize=200_000)
 def _read_cell(cell: str, kind: str | None) -> tuple[str, tuple[tuple[float, int | None], ...]] | None:
     """(cell without numbers and units, its quantities), None if it states no quantity."""
-    if "×" in cell or not _DIGIT.search(cell):
+    if not _DIGIT.search(cell) or ("×" in cell and _POWER.search(cell)):
         return None
     found: list[tuple[float, int | None]] = []
     rest, at = [], 0

@@ -4,19 +4,25 @@
    and units) and the quantities with the unit named in the cell, the header or a note.
 2. Readings of one source and skeleton form a history, ordered by time. Each quantity's
    log values are segmented by exact penalised changepoint search (optimal partitioning,
-   squared error). A level shift against the history's anchor (its first reading) that
-   equals the factor between two units of the kind marks a unit change; where a reading
-   names no unit, the marked factor is reversed, elsewhere the named unit is.
-3. Readings of one history whose common values agree within a tolerance while a unit
-   differs are pairs (`same_in_other_units`).
-
-Histories of any length are cut into blocks of about `BLOCK` readings, each of which
-carries the anchor, so a history that holds a third of all rows is spread over tasks.
+   squared error). A level shift that equals the factor between two units of the kind
+   proposes a unit change, counted from the first reading whose unit is named. Where a
+   reading names no unit the proposed change is reversed; where it names one, the name
+   confirms or refutes the proposal.
+3. Readings of one history whose common values agree within a tolerance are pairs
+   (`same_in_other_units`) by one of two kinds of evidence: `shift`, confirmed unit changes at
+   a level shift between them; or `name`, for what no factor can tell: units of one size
+   (mg/mL and g/L), degrees Fahrenheit, and changes that no level shift marks.
+
+A history longer than `BLOCK` readings is cut into consecutive stretches of time, each searched
+with `OVERLAP` readings of its neighbours and with the history's first reading, so a history that
+holds a third of all rows is spread over tasks. Places in time are counted by slices of time,
+never in one task for the history. Levels of a segment that reaches over more than one stretch
+are means of the part that the stretch sees.
 Stored variants (values and units) are paired, not rows, with a band join on the first
 quantity; rows are expanded last.
 
 Null or empty tables, and tables without quantities, are in no history. A reading delivered
-again counts once. A null id, source or page never pairs.
+again counts once. A reading without time comes last. A null id, source or page never pairs.
 """
 
 from __future__ import annotations
@@ -24,17 +30,18 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions.units import ALL_UNITS, COMMON, PER, factor_of, parse_table
-from leafmill.session import cut
+from leafmill.session import counted_side, cut
 
-#: Readings of one history that one changepoint search takes at a time.
-BLOCK = 64
+#: Readings of one history that one changepoint search takes at a time, and more on both sides.
+BLOCK, OVERLAP = 64, 16
 #: Cost of a further segment, in squared log units; a shift of five per cent pays for itself.
 PENALTY = 0.001
 #: Relative difference up to which two values are the same.
@@ -111,6 +118,7 @@ for _u in ALL_UNITS:
     _BY_KIND.setdefault(_u.kind, []).append(_u)
 
 
+@lru_cache(maxsize=50_000)
 def unit_from_shift(kind: str, code: int, shift: float, tolerance: float = TOLERANCE) -> int:
     """The unit whose values lie `shift` (log) above those of unit `code`, -1 if none does."""
     if code < 0 or ALL_UNITS[code % PER].name == "°F":
@@ -121,70 +129,114 @@ def unit_from_shift(kind: str, code: int, shift: float, tolerance: float = TOLER
     return -1
 
 
+def proposed_units(codes: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """Units that the level shifts of a history propose, -1 where they propose none.
+
+    Both are (readings, quantities); each quantity's shifts are counted from the first reading
+    that names its unit. A reading at that level is proposed the same unit.
+    """
+    out = np.full(codes.shape, -1)
+    for j in range(codes.shape[1]):
+        named = np.nonzero(codes[:, j] >= 0)[0]
+        if not len(named):
+            continue
+        code = int(codes[named[0], j])
+        shift = levels[:, j] - levels[named[0], j]
+        out[np.abs(shift) <= TOLERANCE, j] = code
+        for i in np.nonzero(np.abs(shift) > TOLERANCE)[0]:
+            out[i, j] = unit_from_shift(ALL_UNITS[code % PER].kind, code, round(float(shift[i]), 4))
+    return out
+
+
 def _mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per block of a history: segment, mark level shifts, reverse them where no unit is named."""
+    """Per stretch of a history: segment, propose units by level shifts, confirm them by the named units."""
     factors = np.array([u.factor for u in ALL_UNITS])
     fahrenheit = next(u.code for u in ALL_UNITS if u.name == "°F")
     for b in batches:
         blocks, by_size = [], {}
         for k, (rows, anchor) in enumerate(zip(b["readings"], b["anchor"], strict=True)):
-            rows = sorted(rows, key=lambda r: (r["at"] is None, r["at"], r["id"]))
+            rows = sorted(rows, key=lambda r: (r["at"], r["id"]))
             if anchor is not None:
-                rows.insert(0, {"id": None, **anchor})
+                rows.insert(0, {"id": None, "own": False, **anchor})
             blocks.append(rows)
             by_size.setdefault(len(rows), []).append(k)
-        for size, ks in by_size.items():
+        out = []
+        for ks in by_size.values():
             logs = np.concatenate([np.stack([r["raws"] for r in blocks[k]]) for k in ks], axis=1)
-            shift = segment_levels(np.log(np.maximum(np.abs(logs), 1e-9)))
-            shift -= shift[0]
-            at, out = 0, []
+            levels = segment_levels(np.log(np.maximum(np.abs(logs), 1e-9)))
+            at = 0
             for k in ks:
-                rows, first = blocks[k], blocks[k][0]
-                width = len(first["raws"])
-                part = shift[:, at : at + width]
-                at += width
-                moved = (np.abs(part) > TOLERANCE).any(axis=1)
-                for i, r in enumerate(rows):
-                    if r["id"] is None:
-                        continue
-                    codes, raws = np.array(r["codes"]), np.asarray(r["raws"])
-                    for j in np.nonzero((codes < 0) & (np.asarray(first["codes"]) >= 0))[0]:
-                        # no unit named here: the marked level shift tells it
-                        codes[j] = unit_from_shift(ALL_UNITS[first["codes"][j] % PER].kind, int(first["codes"][j]), float(part[i][j]))
-                    common = raws * factors[codes % PER] / np.maximum(1, codes // PER)
-                    common = np.where(codes == fahrenheit, (raws - 32.0) / 1.8, common)
-                    out.append((r["id"], b["page"][k], b["history"][k], codes, np.where(codes < 0, np.nan, common), bool(moved[i])))
-            yield pd.DataFrame(out, columns=["id", "page", "history", "codes", "commons", "shifted"])
-
-
-MARKED = "id bigint, page int, history bigint, codes array<int>, commons array<double>, shifted boolean"
+                rows = blocks[k]
+                named = np.stack([r["codes"] for r in rows])
+                raws = np.stack([r["raws"] for r in rows])
+                part = levels[:, at : at + named.shape[1]]
+                at += named.shape[1]
+                proposed = proposed_units(named, part)
+                codes = np.where(named < 0, proposed, named)
+                size, told = (factors[np.maximum(c, 0) % PER] / np.maximum(1, c // PER) for c in (codes, proposed))
+                alike = np.abs(size - told) <= 1e-9 * size
+                # a proposal that the name refutes marks nothing
+                marks = np.where((proposed >= 0) & ((named < 0) | (alike & (codes != fahrenheit))), proposed, -1)
+                common = np.where(codes == fahrenheit, (raws - 32.0) / 1.8, raws * size)
+                common = np.where(codes < 0, np.nan, common)
+                out += [(r["id"], b["page"][k], b["history"][k], c, m, v) for r, c, m, v in zip(rows, codes, marks, common, strict=True) if r["own"]]
+        yield pd.DataFrame(out, columns=["id", "page", "history", "codes", "marks", "commons"])
+
+
+MARKED = "id bigint, page int, history bigint, codes array<int>, marks array<int>, commons array<double>"
 KEYS = ["page", "history"]
+_NO_TIME = 2**62
+
+
+def in_stretches(timed: DataFrame, sizes: DataFrame, block: int) -> DataFrame:
+    """Readings of long histories with their consecutive stretch of time, and those beside it.
+
+    `timed` has the keys, id and at; `sizes` the keys, n, lo and hi. Places are counted in
+    slices of time of about a stretch each, then the slices' offsets are added.
+    """
+    share = (F.col("at") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1)
+    sliced = timed.join(counted_side(sizes), KEYS).withColumn("slice", F.floor(share * F.ceil(F.col("n") / block)))
+    before = Window.partitionBy(*KEYS).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sliced.groupBy(*KEYS, "slice").agg(F.count(F.lit(1)).alias("m")).withColumn("offset", F.coalesce(F.sum("m").over(before), F.lit(0))).drop("m")
+    inside = F.row_number().over(Window.partitionBy(*KEYS, "slice").orderBy("at", "id")) - 1
+    placed = sliced.withColumn("inside", inside).join(offsets, [*KEYS, "slice"]).withColumn("place", F.col("inside") + F.col("offset"))
+    own, rest = F.floor(F.col("place") / block), F.pmod("place", F.lit(block))
+    near = F.array_compact(F.array(own, F.when((rest < OVERLAP) & (own > 0), own - 1), F.when(rest >= block - OVERLAP, own + 1)))
+    return placed.withColumn("mine", own).withColumn("block", F.explode(near)).withColumn("own", F.col("block") == F.col("mine"))
 
 
 def mark_unit_changes(parsed: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Each reading's units and common values after segmentation of its history.
+    """Each reading's units, confirmed marks and common values after segmentation of its history.
 
-    `shifted` tells that a quantity's level differs from the history's first reading. `parsed`
-    should be checkpointed: it is read twice. Readings delivered again may come out again.
+    `marks` has the unit that a level shift proposes, where the named unit doesn't refute it,
+    else -1. `parsed` should be checkpointed: it is read more than once.
     """
-    one = parsed.select(*KEYS, "id", "at", "codes", "raws")
-    # only histories longer than a block need an anchor and more than one block
-    long = parsed.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("at", "id"))["id"].alias("id")).where(F.col("n") > block)
-    anchors = long.join(one, [*KEYS, "id"]).groupBy(*KEYS).agg(F.max("n").alias("n"), F.any_value(F.struct("codes", "raws")).alias("anchor"))
-    blocks = (
-        one.join(anchors, KEYS, "left")
-        .withColumn("block", F.coalesce(F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / block)), F.lit(0)))
-        .groupBy(*KEYS, "block")
-        .agg(F.collect_list(F.struct("at", "id", "codes", "raws")).alias("readings"), F.any_value("anchor").alias("anchor"))
-    )
+    one = parsed.select(*KEYS, "id", F.coalesce(F.unix_micros("at"), F.lit(_NO_TIME)).alias("at"), "codes", "raws").dropDuplicates([*KEYS, "id"])
+    timed = parsed.select(*KEYS, "id", F.coalesce(F.unix_micros("at"), F.lit(_NO_TIME)).alias("at"))
+    first = F.min(F.struct("at", "id"))["id"].alias("id")
+    sizes = cut(timed.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("lo"), F.max(F.when(F.col("at") < _NO_TIME, F.col("at"))).alias("hi"), first).where(F.col("n") > block))
+    reading = F.collect_list(F.struct("at", "id", "codes", "raws", "own")).alias("readings")
+    if sizes.isEmpty():
+        whole = one.withColumn("own", F.lit(True)).groupBy(*KEYS).agg(reading)
+        return whole.withColumn("anchor", F.lit(None).cast("struct<codes:array<int>,raws:array<double>>")).select(*KEYS, "readings", "anchor").mapInPandas(_mark, MARKED)
+    # only histories longer than a stretch need the first reading beside it
+    keys = counted_side(sizes.select(*KEYS))
+    short = one.join(keys, KEYS, "left_anti").select("*", F.lit(0).cast("bigint").alias("block"), F.lit(True).alias("own"))
+    bounds = sizes.select(*KEYS, "n", "lo", F.coalesce("hi", "lo").alias("hi"))
+    long = in_stretches(one, bounds, block).select(*short.columns)
+    anchors = sizes.select(*KEYS, "id").join(one, [*KEYS, "id"]).select(*KEYS, F.struct("codes", "raws").alias("anchor"))
+    blocks = short.unionByName(long).groupBy(*KEYS, "block").agg(reading).join(counted_side(anchors), KEYS, "left")
     return blocks.select(*KEYS, "readings", "anchor").mapInPandas(_mark, MARKED)
 
 
 def same_in_other_units(marked: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
-    """(a, b), a < b: readings of one history with equal quantities, one of them in another unit."""
+    """(a, b, evidence), a < b: readings of one history with equal quantities, one of them in another unit.
+
+    `evidence` is `shift` if a confirmed unit change at a level shift lies between the two, else `name`.
+    """
     keys = KEYS
-    rows = marked.where(~F.exists("commons", lambda v: v.isNull() | F.isnan(v))).withColumn("variant", F.xxhash64("codes", "commons"))
-    variants = rows.groupBy(*keys, "variant").agg(F.any_value("codes").alias("codes"), F.any_value("commons").alias("commons"))
+    rows = marked.where(~F.exists("commons", lambda v: v.isNull() | F.isnan(v))).withColumn("variant", F.xxhash64("codes", "marks", "commons"))
+    variants = rows.groupBy(*keys, "variant").agg(*(F.any_value(c).alias(c) for c in ("codes", "marks", "commons")))
     first = F.element_at("commons", 1)
     width = -math.log(1.0 - tolerance)
     band = F.when(first > 0, F.floor(F.log(first) / width)).otherwise(F.lit(None))
@@ -196,11 +248,16 @@ def same_in_other_units(marked: DataFrame, tolerance: float = TOLERANCE) -> Data
         on &= F.col(f"a.{k}") == F.col(f"b.{k}")
     on &= (F.col("a.variant") < F.col("b.variant")) & (F.size("a.commons") == F.size("b.commons")) & (F.col("a.codes") != F.col("b.codes"))
     gap = F.zip_with("a.commons", "b.commons", lambda x, y: F.abs(x - y) <= tolerance * F.greatest(F.abs(x), F.abs(y)) + 1e-12)
-    alike = a.join(b, on).where(F.forall(gap, lambda ok: ok)).select(*(F.col(f"a.{k}").alias(k) for k in keys), F.col("a.variant").alias("va"), F.col("b.variant").alias("vb"))
+    sizes = F.create_map(*(F.lit(x) for u in ALL_UNITS for x in (u.code, u.factor)))
+    size = lambda c: F.try_element_at(sizes, F.pmod(c, F.lit(PER))) / F.greatest(F.lit(1), F.floor(c / F.lit(PER)))
+    moved = F.zip_with("a.marks", "b.marks", lambda x, y: (x >= 0) & (y >= 0) & (x != y) & (F.abs(F.log(size(x) / size(y))) > tolerance))
+    evidence = F.when(F.exists(moved, lambda m: m), "shift").otherwise("name").alias("evidence")
+    alike = a.join(b, on).where(F.forall(gap, lambda ok: ok)).select(*(F.col(f"a.{k}").alias(k) for k in keys), F.col("a.variant").alias("va"), F.col("b.variant").alias("vb"), evidence)
     members = rows.select(*keys, "variant", "id")
     left = alike.join(members.withColumnRenamed("variant", "va").withColumnRenamed("id", "ia"), [*keys, "va"])
     both = left.join(members.withColumnRenamed("variant", "vb").withColumnRenamed("id", "ib"), [*keys, "vb"])
-    return both.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b")).where("a < b").distinct()
+    found = both.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), "evidence").where("a < b")
+    return found.groupBy("a", "b").agg(F.max("evidence").alias("evidence"))
 
 
 def common_quantities(parsed: DataFrame, marked: DataFrame) -> DataFrame:

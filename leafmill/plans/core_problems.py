@@ -20,6 +20,11 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select(F.col("a").alias("report_id_a"), F.col("b").alias("report_id_b"))
 
 
+def p3_evidence(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of `p3_found` by what tells the other unit: a marked level shift, or the name alone."""
+    return units.unit_pairs(table(spark, folder, "cross_validation_report"), READING).groupBy("evidence").agg(F.count(F.lit(1)).alias("pairs"))
+
+
 def p3_values(spark: SparkSession, folder: str) -> DataFrame:
     """Every quantity of every reading in the common unit of its kind."""
     parsed = cut(units.parse_readings(units.readings(table(spark, folder, "cross_validation_report"), *READING), keep_places=True))
@@ -49,7 +54,7 @@ def _latest(name: str, version: str) -> str:
     )
 
 
-QUERIES = {"p3_found": p3_found, "p3_values": p3_values, "p5_found": p5_found}
+QUERIES = {"p3_found": p3_found, "p3_evidence": p3_evidence, "p3_values": p3_values, "p5_found": p5_found}
 SQL = {
     "p5_found": f"with a as {_latest('cross_validation_report', 'loaded_at')}, b as {_latest('cross_validation_mirror', 'synced_at')} "
     "select report_id, 'only_report' as difference from a where report_id not in (select report_id from b) "

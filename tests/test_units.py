@@ -119,3 +119,52 @@ def test_long_cells_and_notes_name_their_units():
     for note in (f"{told}Body weights are given in grams.", "Body weights, " + "as they were told by the staff of the ward, " * 4 + "are given in grams."):
         _, quantities = parse_table(table(["Weight", "Dose (mg)"], [["15000", "20"]], f"\n\n{note}"))
         assert [ALL_UNITS[q.code].name for q in quantities] == ["g", "mg"]
+
+
+def test_units_left_unnamed_in_a_long_history(spark):
+    """The search alone tells the units, over more readings than a stretch, whatever their ids."""
+    rng = random.Random(3)
+    kg = table(["Weight (kg)", "Dose (mg)"], [["< 15", "20"], ["15 to < 25", "40"]])
+    bare_kg = table(["Weight", "Dose (mg)"], [["< 15", "20"], ["15 to < 25", "40"]])
+    bare_g = table(["Weight", "Dose (mg)"], [["< 15000", "20"], ["15000 to < 25000", "40"]])
+    ids = list(range(1, 201))
+    rng.shuffle(ids)
+    in_grams = {k for k in range(200) if 40 <= k < 75 or 120 <= k < 190 or k == 100}
+    rows = [(ids[k], "A", 1, T0 + timedelta(hours=k), kg if k == 0 else bare_g if k in in_grams else bare_kg, "") for k in range(200)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = units.unit_pairs(df, COLUMNS).collect()
+    grams = {ids[k] for k in in_grams}
+    assert {(r.a, r.b) for r in got} == {(min(a, b), max(a, b)) for a in grams for b in set(ids) - grams}
+    assert {r.evidence for r in got} == {"shift"}
+    parsed = units.parse_readings(units.readings(df, *COLUMNS), keep_places=True)
+    out = units.common_quantities(parsed, units.mark_unit_changes(parsed)).where("col_no = 0 and row_no = 0")
+    assert {(r.value, r.unit) for r in out.collect()} == {(15.0, "kg")} and out.count() == 200
+
+
+def test_evidence_of_pairs(spark):
+    rows = [
+        (1, "A", 1, table(["Weight (kg)", "Level (g/L)"], [["15", "20"]])),
+        (2, "A", 1, table(["Weight (g)", "Level (g/L)"], [["15000", "20"]])),
+        (3, "B", 1, table(["Concentration (mg/mL)"], [["20"]])),
+        (4, "B", 1, table(["Concentration (g/L)"], [["20"]])),
+        (5, "C", 1, table(["Temperature (°C)"], [["40"]])),
+        (6, "C", 1, table(["Temperature (°F)"], [["104"]])),
+    ]
+    df = spark.createDataFrame([(i, d, p, T0 + timedelta(days=i), m, "") for i, d, p, m in rows], SCHEMA)
+    assert {tuple(r) for r in units.unit_pairs(df, COLUMNS).collect()} == {(1, 2, "shift"), (3, 4, "name"), (5, 6, "name")}
+
+
+def test_time_stretches_are_consecutive(spark):
+    rows = [(1, 7, k, 1000 * (k % 90) + k) for k in range(300)] + [(1, 8, k, 5) for k in range(150)]
+    df = spark.createDataFrame(rows, "page int, history long, id long, at long")
+    sizes = df.groupBy("page", "history").agg({"at": "min", "id": "count"}).toDF("page", "history", "lo", "n").join(df.groupBy("page", "history").agg({"at": "max"}).toDF("page", "history", "hi"), ["page", "history"])
+    got = units.in_stretches(df, sizes, 64).where("own").collect()
+    assert len(got) == 450
+    for h, n in ((7, 300), (8, 150)):
+        ordered = [r.block for r in sorted((r for r in got if r.history == h), key=lambda r: (r.at, r.id))]
+        assert ordered == [k // 64 for k in range(n)]
+
+
+def test_powers_of_ten_are_counts_and_products_are_not():
+    assert parse_table(table(["Criterion", "Threshold"], [["Count", "≥ 4 × 10³/µL"]])) is None
+    assert [q.raw for q in parse_table(table(["Weight (kg)", "Volume"], [["10", "2 × 5 mL"]]))[1]] == [10, 2, 5]
