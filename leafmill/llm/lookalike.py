@@ -3,14 +3,15 @@
 Look-alike-mapped values are grouped in SQL under the accent-sensitive Unicode collation;
 each class gets a deterministic canonical member (the stored value found most often, of
 equals the shortest in characters, then the smallest in code point order), which is joined
-back to every row.
+back to every row, on digests of the stored value (128 bits), so texts are grouped once and
+never the key of a join. Pairs are made between stored variants and expanded to rows last.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions.lookalike import COLLATION, fold, printed_as
@@ -29,13 +30,24 @@ def canonical_text(df: DataFrame, column: str, within: Sequence[str] = (), out:
     names = [f"_w{i}" for i in range(len(within))]
     col = F.col(f"`{column}`")
     stored = df.where(col.isNotNull()).groupBy(*keys, col.alias("_value")).agg(F.sum(F.col(f"`{times}`") if times else F.lit(1)).alias("_n"))
-    stored = stored.withColumn("_look", printed_as(F.col("_value")))
-    rank = F.struct((-F.col("_n")).alias("n"), F.length("_value").alias("l"), F.col("_value").alias("v"))
-    best = stored.groupBy(*names, "_look").agg(F.min(rank)["v"].alias(out))
-    on = F.col("_look").eqNullSafe(printed_as(F.col(f"d.`{column}`")))
+    looked = stored.select(*names, printed_as(F.col("_value")).alias("_look"), _rank("_n", ["_value"]).alias("_rank"), _digest(F.col("_value")).alias("_digest"))
+    classes = looked.groupBy(*names, "_look").agg(F.min("_rank")["t0"].alias(out), F.collect_list("_digest").alias("_members"))
+    # a form that is alone in its class is its own canonical member
+    best = classes.where(F.size("_members") > 1).select(*names, out, F.explode("_members").alias("_member"))
+    on = F.col("_member") == _digest(F.col(f"d.`{column}`"))
     for i, k in enumerate(within):
         on &= F.col(f"_w{i}").eqNullSafe(F.col(f"d.`{k}`"))
-    return df.alias("d").join(best, on, "left").select("d.*", best[out])
+    return df.alias("d").join(best, on, "left").select("d.*", F.coalesce(best[out], F.col(f"d.`{column}`")).alias(out))
+
+
+def _digest(text: Column) -> Column:
+    return F.struct(F.xxhash64(text).alias("x"), F.xxhash64(F.lit(1), text).alias("y"))
+
+
+def _rank(n: str, texts: Sequence[str]) -> Column:
+    """The canonical member has the least: most often, then shortest, then smallest in code points."""
+    length = sum((F.length(t) for t in texts), F.lit(0))
+    return F.struct((-F.col(n)).alias("n"), length.alias("l"), *(F.col(t).alias(f"t{i}") for i, t in enumerate(texts)))
 
 
 def canonical_elements(df: DataFrame, column: str, out: str = "canonical") -> DataFrame:
@@ -57,12 +69,11 @@ def canonical_elements(df: DataFrame, column: str, out: str = "canonical") -> Da
     return whole.select("d.*", F.coalesce(arrays[out], F.col(f"d.`{column}`")).alias(out))
 
 
-def classes_of_looks(df: DataFrame, key: str, within: Sequence[str], texts: Sequence[str]) -> DataFrame:
-    """(key, *within, variant, look): rows whose `texts` all print like another stored form's.
+def _variants(df: DataFrame, key: str, within: Sequence[str], texts: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows with their stored variant, variants of classes that hold more than one, with the class's `_look`).
 
-    `texts` are text or array-of-text columns without nulls. Rows are first aggregated to
-    their stored variants, so a form repeated in a third of all rows is one row here; the
-    collated grouping sees variants only. `look` is the canonical variant of the class.
+    Rows are first aggregated to their stored variants, so a form repeated in a third of all
+    rows is one row of the collated grouping. `_look` is the canonical variant.
     """
     kinds = dict(df.dtypes)
     as_text = [F.to_json(F.col(f"`{t}`")) if kinds[t].startswith("array") else F.col(f"`{t}`") for t in texts]
@@ -73,31 +84,35 @@ def classes_of_looks(df: DataFrame, key: str, within: Sequence[str], texts: Sequ
     )
     ws, ts = [f"_w{i}" for i in range(len(within))], [f"_t{i}" for i in range(len(texts))]
     rows = rows.withColumn("_variant", F.xxhash64(*ts))
-    variants = rows.groupBy(*ws, "_variant").agg(*(F.first(t).alias(t) for t in ts))
-    looked = variants.select(*ws, "_variant", *(F.collate(fold(F.col(t)), COLLATION).alias(f"_l{i}") for i, t in enumerate(ts)))
+    variants = rows.groupBy(*ws, "_variant").agg(*(F.first(t).alias(t) for t in ts), F.count(F.lit(1)).alias("_n"))
+    looked = variants.select(*ws, "_variant", _rank("_n", ts).alias("_rank"), *(F.collate(fold(F.col(t)), COLLATION).alias(f"_l{i}") for i, t in enumerate(ts)))
     looks = [f"_l{i}" for i in range(len(ts))]
-    classes = (
-        looked.groupBy(*ws, *looks)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min("_variant").alias("_look"), F.collect_list("_variant").alias("_variants"))
-        .where("_n > 1")
-    )
-    # the canonical member is joined back through the stored variants of its class
-    member = classes.select(*ws, F.explode("_variants").alias("_variant"), "_look")
-    return rows.select("_key", *ws, "_variant").join(member, [*ws, "_variant"]).distinct()
+    classes = looked.groupBy(*ws, *looks).agg(F.min_by("_variant", "_rank").alias("_look"), F.collect_list("_variant").alias("_variants")).where(F.size("_variants") > 1)
+    return rows.select("_key", *ws, "_variant"), classes.select(*ws, F.explode("_variants").alias("_variant"), "_look")
+
+
+def classes_of_looks(df: DataFrame, key: str, within: Sequence[str], texts: Sequence[str]) -> DataFrame:
+    """(key, class_id): rows whose `texts` all print like another stored form's, with the class's smallest key.
+
+    `texts` are text or array-of-text columns. Rows with a null key, text or `within` value are in no class.
+    """
+    rows, member = _variants(df.dropna(subset=[key, *within, *texts]), key, within, texts)
+    ws = [f"_w{i}" for i in range(len(within))]
+    m = rows.join(member, [*ws, "_variant"]).select("_key", *ws, "_look").distinct()
+    first = m.groupBy(*ws, "_look").agg(F.min("_key").alias("class_id"))
+    return m.join(first, [*ws, "_look"]).select(F.col("_key").alias(key), "class_id").distinct()
 
 
 def alike_pairs(df: DataFrame, key: str, within: Sequence[str], texts: Sequence[str]) -> DataFrame:
     """(a, b), a < b: rows that print alike in all `texts` but are stored differently in one.
 
     Rows with a null key, text or `within` value are in no pair. A row delivered again under the
-    same key counts once.
+    same key counts once. Variants are paired first, so rows of one variant never meet.
     """
-    whole = df.dropna(subset=[key, *within, *texts])
-    m = classes_of_looks(whole, key, within, texts)
+    rows, member = _variants(df.dropna(subset=[key, *within, *texts]), key, within, texts)
     ws = [f"_w{i}" for i in range(len(within))]
-    a, b = m.alias("a"), m.alias("b")
-    on = F.col("a._look") == F.col("b._look")
-    for w in ws:
-        on &= F.col(f"a.{w}") == F.col(f"b.{w}")
-    on &= (F.col("a._variant") != F.col("b._variant")) & (F.col("a._key") < F.col("b._key"))
-    return a.join(b, on).select(F.col("a._key").alias("a"), F.col("b._key").alias("b")).distinct()
+    left, right = (member.withColumnRenamed("_variant", v) for v in ("_va", "_vb"))
+    pairs = left.join(right, [*ws, "_look"]).where("_va < _vb").drop("_look")
+    a, b = (rows.withColumnRenamed("_variant", v).withColumnRenamed("_key", k) for v, k in (("_va", "_a"), ("_vb", "_b")))
+    both = pairs.join(a, [*ws, "_va"]).join(b, [*ws, "_vb"]).where("_a <> _b")
+    return both.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct()

@@ -41,6 +41,12 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select(F.col("a").alias("report_id_a"), F.col("b").alias("report_id_b"))
 
 
+def p2_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Readings in a class of several stored forms, with the class's smallest reading."""
+    report = table(spark, folder, "cross_validation_report").select("report_id", "doc_id", "page", "markdown", "headers")
+    return lookalike.classes_of_looks(report, "report_id", ["doc_id", "page"], ["markdown", "headers"])
+
+
 def p2_canonical(spark: SparkSession, folder: str) -> DataFrame:
     """Each reading with the canonical stored form of its markdown."""
     report = table(spark, folder, "cross_validation_report").select("report_id", "markdown").distinct()
@@ -102,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_text": p1_text,
     "p1_decisions": p1_decisions,
     "p2_found": p2_found,
+    "p2_classes": p2_classes,
     "p2_canonical": p2_canonical,
     "p2_headers": p2_headers,
     "p4_found": p4_found,
@@ -121,6 +128,7 @@ _LOOKS = (
 
 SQL: dict[str, str] = {
     "p2_found": _LOOKS + "select a.report_id as report_id_a, b.report_id as report_id_b from v a join v b on a.doc_id = b.doc_id and a.page = b.page and a.m = b.m and a.h = b.h and a.report_id < b.report_id where a.markdown <> b.markdown or a.stored <> b.stored",
+    "p2_classes": _LOOKS + "select report_id, min(report_id) over (partition by doc_id, page, m, h) as class_id from v where (doc_id, page, m, h) in (select (doc_id, page, m, h) from v group by doc_id, page, m, h having count(distinct (markdown, stored)) > 1)",
     "p2_canonical": f"with t as (select distinct report_id, markdown from cross_validation_report), n as (select markdown, {fold_sql('markdown')} as look, count(*) as n from t where markdown is not null group by 1), "
     "k as (select look, first(markdown order by n desc, length(markdown), markdown) as canonical from n group by 1) select report_id, t.markdown, canonical from t left join n on n.markdown = t.markdown left join k on k.look = n.look",
     "p4_found": "select distinct 'chunk' as rec_table, chunk_id as rec_id from chunk where length(text) > 2000 union select distinct 'cross_validation_report', report_id::varchar from cross_validation_report where length(markdown) > 2000",

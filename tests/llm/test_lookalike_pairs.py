@@ -42,3 +42,17 @@ def test_canonical_headers(spark, tmp_path):
     spark.createDataFrame(rows, "report_id long, headers array<string>").write.parquet(f"{tmp_path}/cross_validation_report.parquet")
     got = {r.report_id: r.canonical for r in QUERIES["p2_headers"](spark, str(tmp_path)).collect()}
     assert got == {1: ["Dose", "Age"], 2: ["Dose", "Age"], 3: ["Dose", "Age"], 4: ["Age", "Dose", None, "Dose"], 5: [], 6: None, 7: ["Dаy"], 8: ["Dаy"], 9: ["Dаy"], 10: ["a＂,＂b"]}
+
+
+def test_classes(spark):
+    rows = [(3, "A", 1, "abc", ["x"]), (2, "A", 1, "аbc", ["x"]), (9, "A", 1, "abc", ["x"]), (5, "A", 2, "abc", ["x"]), (6, "A", 1, "z", ["x"]), (7, "A", 1, None, ["x"]), (2, "A", 1, "аbc", ["x"])]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], SCHEMA)
+    got = lookalike.classes_of_looks(df, "id", ["doc", "page"], ["md", "heads"]).collect()
+    assert sorted((r.id, r.class_id) for r in got) == [(2, 2), (3, 2), (9, 2)]
+
+
+def test_a_hot_form_meets_only_other_forms(spark):
+    """One form in nearly all rows of a page, one row of another: as many pairs as rows."""
+    n = 20_000
+    df = spark.range(n).selectExpr("id", "'A' as doc", "1 as page", f"if(id = {n - 1}, 'аbc', 'abc') as md", "array('x') as heads", "'' as _look")
+    assert lookalike.alike_pairs(df, "id", ["doc", "page"], ["md", "heads"]).count() == n - 1
