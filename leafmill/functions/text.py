@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 TOKENS_PER_WORD = 1.3
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of `value`, which is worked out once, however often the body (or a lambda in it) uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Without white space at both ends (line ends and tabs included)."""
     return F.regexp_replace(text, "^\\s+|\\s+$", "")

@@ -9,7 +9,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions.text import clean_cell, norm_cell
-from leafmill.operators.markdown import table_cells
+from leafmill.operators.markdown import table_cells, table_lines, wide_cells
+
+
+def _grid(df: DataFrame, on: Sequence[str], key: str, markdown: str, side: str) -> DataFrame:
+    """(on, side_key, side_rows): each table's cells as an array of rows."""
+    rows = F.transform(table_lines(F.col(markdown)), wide_cells)
+    return df.select(*on, F.col(key).alias(f"{side}_key"), rows.alias(f"{side}_rows"))
 
 
 def cell_agreement(left: DataFrame, right: DataFrame, on: Sequence[str], key: str, markdown: str) -> DataFrame:
@@ -17,34 +23,35 @@ def cell_agreement(left: DataFrame, right: DataFrame, on: Sequence[str], key: st
 
     Tables of both sides that agree in `on` are compared place by place after normalisation; a
     cell missing on one side counts as empty. The right table with most matches is the best,
-    of equals the one with the smaller key. Tables without a partner have no row.
+    of equals the one with the smaller key. Tables without a partner have no row. A pair of tables
+    is one row, compared in one pass over their cells.
     """
-    def long(df: DataFrame, side: str) -> DataFrame:
-        cells = table_cells(df.select(F.struct(*on, key).alias("k"), markdown), "k", markdown, keep_empty=True)
-        return cells.select(*(F.col(f"k.{c}").alias(c) for c in on), F.col(f"k.{key}").alias(f"{side}_key"), "row_no", "col_no", norm_cell(F.col("cell")).alias(f"{side}_cell"))
-
-    a, b = long(left, "left"), long(right, "right")
-    size = lambda x, side: x.groupBy(*on, f"{side}_key").agg(F.count(F.lit(1)).alias(f"{side}_n"))
-    pairs = size(a, "left").join(size(b, "right"), list(on))
-    same = a.join(b, [*on, "row_no", "col_no"]).groupBy(*on, "left_key", "right_key").agg(
-        F.count(F.lit(1)).alias("both"), F.count_if(F.col("left_cell") == F.col("right_cell")).alias("matches")
-    )
-    scored = pairs.join(same, [*on, "left_key", "right_key"], "left").na.fill(0, ["both", "matches"])
-    total = F.col("left_n") + F.col("right_n") - F.col("both")
-    scored = scored.withColumn("total", total)
-    first = Window.partitionBy(*on, "left_key").orderBy(F.col("matches").desc(), "right_key")
-    best = scored.withColumn("rn", F.row_number().over(first)).where("rn = 1")
-    return best.select(*on, "left_key", "right_key", "matches", "total", F.round(100.0 * F.col("matches") / F.col("total"), 6).alias("agreement"))
+    normal = lambda df, side: _grid(df, on, key, markdown, side).withColumn(f"{side}_rows", F.transform(f"{side}_rows", lambda r: F.transform(r, norm_cell)))
+    count = lambda rows: F.aggregate(rows, F.lit(0).cast("bigint"), lambda n, r: n + F.size(r))
+    a = normal(left, "left").withColumn("left_n", count("left_rows")).where("left_n > 0")
+    b = normal(right, "right").withColumn("right_n", count("right_rows")).where("right_n > 0")
+    least = F.least(F.size("left_rows"), F.size("right_rows"))
+    lines = F.zip_with(F.slice("left_rows", F.lit(1), least), F.slice("right_rows", F.lit(1), least), lambda x, y: F.struct(
+        F.least(F.size(x), F.size(y)).alias("both"),
+        F.size(F.filter(F.zip_with(x, y, lambda p, q: F.coalesce(p == q, F.lit(False))), lambda same: same)).alias("same"),
+    ))
+    zero = F.struct(F.lit(0).cast("bigint").alias("both"), F.lit(0).cast("bigint").alias("matches"))
+    told = F.aggregate(lines, zero, lambda n, x: F.struct((n["both"] + x["both"]).alias("both"), (n["matches"] + x["same"]).alias("matches")))
+    scored = a.join(b, list(on)).select(*on, "left_key", "right_key", "left_n", "right_n", told.alias("told"))
+    rank = F.struct((-F.col("told.matches")).alias("worst"), "right_key")
+    best = scored.groupBy(*on, "left_key").agg(F.min_by(F.struct("right_key", "told.matches", (F.col("left_n") + F.col("right_n") - F.col("told.both")).alias("total")), rank).alias("b"))
+    return best.select(*on, "left_key", "b.right_key", "b.matches", "b.total", F.round(100.0 * F.col("b.matches") / F.col("b.total"), 6).alias("agreement"))
 
 
 def cell_differences(left: DataFrame, right: DataFrame, best: DataFrame, on: Sequence[str], key: str, markdown: str) -> DataFrame:
     """(left_key, right_key, row_no, col_no, left_cell, right_cell): places where best pairs differ."""
-    la = table_cells(left.select(key, markdown), key, markdown, keep_empty=True).withColumnRenamed(key, "left_key").withColumnRenamed("cell", "left_cell")
-    rb = table_cells(right.select(key, markdown), key, markdown, keep_empty=True).withColumnRenamed(key, "right_key").withColumnRenamed("cell", "right_cell")
-    pairs = best.select("left_key", "right_key")
-    place = ["left_key", "right_key", "row_no", "col_no"]
-    both = pairs.join(la, "left_key").join(pairs.join(rb, "right_key"), place, "full")
-    cells = both.select(*place, F.coalesce("left_cell", F.lit("")).alias("left_cell"), F.coalesce("right_cell", F.lit("")).alias("right_cell"))
+    a, b = _grid(left, [], key, markdown, "left"), _grid(right, [], key, markdown, "right")
+    pairs = best.select("left_key", "right_key").join(a, "left_key").join(b, "right_key")
+    none = F.array().cast("array<string>")
+    # zip_with fills the shorter side with nulls
+    lines = F.zip_with("left_rows", "right_rows", lambda x, y: F.zip_with(F.coalesce(x, none), F.coalesce(y, none), lambda p, q: F.struct(F.coalesce(p, F.lit("")).alias("left_cell"), F.coalesce(q, F.lit("")).alias("right_cell"))))
+    rows = pairs.select("left_key", "right_key", F.posexplode(lines).alias("row_no", "line"))
+    cells = rows.select("left_key", "right_key", "row_no", F.posexplode("line").alias("col_no", "c")).select("left_key", "right_key", "row_no", "col_no", "c.*")
     return cells.where(norm_cell(F.col("left_cell")) != norm_cell(F.col("right_cell")))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions.bands import band_strict, dose_values, midpoint
+from leafmill.functions.text import let
 from leafmill.operators.markdown import table_lines, tight_cells
 
 #: Largest gap between bands; ages covered; tolerance of dose bounds and of ratios.
@@ -44,15 +45,16 @@ def parse_dosing(df: DataFrame, key: str, markdown: str, drugs: Sequence[str] =
     heads = heads.withColumn("dose_cols", dose_cols)
 
     def row(line: Column) -> Column:
-        cells = tight_cells(line)
-        weight_cell = F.coalesce(F.get(cells, F.col("weight_col")), F.lit(""))
-        doses = F.transform("dose_cols", lambda c: F.coalesce(F.get(cells, c), F.lit("")))
-        return F.struct(
-            weight_cell.alias("weight_cell"),
-            F.when(weight_cell != "", band_strict(weight_cell)).alias("band"),
-            F.transform(doses, lambda d: F.struct(d.alias("cell"), dose_values(d).alias("values"))).alias("doses"),
-            F.size(cells).alias("n_cells"),
-        )
+        def read(cells: Column, weight_cell: Column) -> Column:
+            doses = F.transform("dose_cols", lambda c: F.coalesce(F.get(cells, c), F.lit("")))
+            return F.struct(
+                weight_cell.alias("weight_cell"),
+                F.when(weight_cell != "", band_strict(weight_cell)).alias("band"),
+                F.transform(doses, lambda d: F.struct(d.alias("cell"), dose_values(d).alias("values"))).alias("doses"),
+                F.size(cells).alias("n_cells"),
+            )
+
+        return let(tight_cells(line), lambda cells: let(F.coalesce(F.get(cells, F.col("weight_col")), F.lit("")), lambda w: read(cells, w)))
 
     data = F.slice("lines", F.lit(2), F.size("lines") - 1)
     body = F.filter(F.transform(data, row), lambda r: r["n_cells"] > 0)
@@ -63,40 +65,39 @@ def _count(flags: Column) -> Column:
     return F.size(F.filter(flags, lambda x: x))
 
 
-def _bands() -> Column:
-    return F.filter(F.transform("body", lambda r: r["band"]), lambda b: b.isNotNull())
+def with_arrays(parsed: DataFrame) -> DataFrame:
+    """`parsed` with `bands`, and `columns`: for each dose column, the array of value arrays by row.
+
+    All checks read these, so no check goes over the body again.
+    """
+    places = F.when(F.size("dose_cols") > 0, F.sequence(F.lit(0), F.size("dose_cols") - 1)).otherwise(F.array().cast("array<int>"))
+    columns = F.transform(places, lambda j: F.transform("body", lambda r: F.get(r["doses"], j)["values"]))
+    return parsed.withColumn("bands", F.filter(F.transform("body", lambda r: r["band"]), lambda b: b.isNotNull())).withColumn("columns", columns)
 
 
 def contiguity_issues() -> Column:
     """Gaps or overlaps of more than half a kilogram, and open bands before the last."""
-    b = _bands()
+    b = F.col("bands")
     bad = lambda x, y: x["high"].isNull() | (F.abs(x["high"] - y["low"]) > GAP_KG)
     pairs = F.zip_with(F.slice(b, F.lit(1), F.greatest(F.size(b) - 1, F.lit(0))), F.slice(b, F.lit(2), F.greatest(F.size(b) - 1, F.lit(0))), lambda x, y: F.coalesce(bad(x, y), F.lit(False)))
     return F.when(F.size(b) < 2, 0).otherwise(_count(pairs))
 
 
 def _per_dose_column(count: callable) -> Column:
-    places = F.when(F.size("dose_cols") > 0, F.sequence(F.lit(0), F.size("dose_cols") - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(F.transform(places, count), F.lit(0), lambda a, x: a + x)
-
-
-def _values(j: Column) -> Column:
-    """For the j-th dose column, the array of value arrays by row."""
-    return F.transform("body", lambda r: F.get(r["doses"], j)["values"])
+    return F.aggregate(F.transform("columns", count), F.lit(0), lambda a, x: a + x)
 
 
 def monotonic_issues() -> Column:
     """Strict decreases of a component against the last row that has it."""
 
-    def column(j: Column) -> Column:
-        vals = _values(j)
+    def column(vals: Column) -> Column:
         width = F.coalesce(F.array_max(F.transform(vals, F.size)), F.lit(0))
-        parts = F.when(width > 0, F.sequence(F.lit(0), width - 1)).otherwise(F.array().cast("array<int>"))
+        parts = let(width, lambda w: F.when(w > 0, F.sequence(F.lit(0), w - 1)).otherwise(F.array().cast("array<int>")))
 
         def part(k: Column) -> Column:
             line = F.transform(F.filter(vals, lambda v: F.size(v) > k), lambda v: F.get(v, k))
-            n = F.greatest(F.size(line) - 1, F.lit(0))
-            return _count(F.zip_with(F.slice(line, F.lit(1), n), F.slice(line, F.lit(2), n), lambda x, y: F.coalesce(y < x, F.lit(False))))
+            pairs = lambda x: F.zip_with(F.slice(x, F.lit(1), F.greatest(F.size(x) - 1, F.lit(0))), F.slice(x, F.lit(2), F.greatest(F.size(x) - 1, F.lit(0))), lambda p, q: F.coalesce(q < p, F.lit(False)))
+            return let(line, lambda x: _count(pairs(x)))
 
         return F.aggregate(F.transform(parts, part), F.lit(0), lambda a, x: a + x)
 
@@ -105,7 +106,7 @@ def monotonic_issues() -> Column:
 
 def coverage_issues() -> Column:
     """A first band that starts too high; a last one that ends too low or opens too early."""
-    b = _bands()
+    b = F.col("bands")
     low, last = F.get(b, F.lit(0))["low"], F.element_at(b, -1)
     late = (low > LOW_KG).cast("int")
     short = F.when(last["high"].isNotNull(), (last["high"] < HIGH_KG).cast("int")).otherwise((last["low"] < HIGH_KG * 0.5).cast("int"))
@@ -121,32 +122,35 @@ def bounds_issues(ranges: dict[str, tuple[float, float]]) -> Column:
         return F.lit(0)
     known = F.array(*(F.struct(F.lit(d.lower()).alias("d"), F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi")) for d, (lo, hi) in ranges.items()))
 
-    def column(j: Column) -> Column:
-        head = F.lower(F.get("heads", F.get("dose_cols", j)))
-        drugs = F.filter(known, lambda k: F.contains(head, k["d"]))
+    def column(vals: Column, j: Column) -> Column:
+        def checked(drugs: Column) -> Column:
+            def row(v: Column, r: Column) -> Column:
+                n = F.least(F.size(v), F.size(drugs))
+                out = lambda x, k, mid: (x > 0) & ((x / mid < k["lo"] / BOUND_TIMES) | (x / mid > k["hi"] * BOUND_TIMES))
+                bad = lambda mid: F.zip_with(F.slice(v, F.lit(1), n), F.slice(drugs, F.lit(1), n), lambda x, k: F.coalesce(out(x, k, mid), F.lit(False)))
+                return F.when(r["band"].isNull() | (n <= 0), 0).otherwise(let(midpoint(r["band"]), lambda mid: F.when(mid <= 0, 0).otherwise(_count(bad(mid)))))
 
-        def row(r: Column) -> Column:
-            vals = F.get(r["doses"], j)["values"]
-            n = F.least(F.size(vals), F.size(drugs))
-            mid = midpoint(r["band"])
-            out = lambda v, k: (v > 0) & ((v / mid < k["lo"] / BOUND_TIMES) | (v / mid > k["hi"] * BOUND_TIMES))
-            bad = F.zip_with(F.slice(vals, F.lit(1), n), F.slice(drugs, F.lit(1), n), lambda v, k: F.coalesce(out(v, k), F.lit(False)))
-            return F.when(r["band"].isNull() | (n <= 0) | (mid <= 0), 0).otherwise(_count(bad))
+            # tables of drugs that no range is known for need no look at their rows
+            return F.when(F.size(drugs) == 0, 0).otherwise(F.aggregate(F.zip_with(vals, F.col("body"), row), F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0))))
 
-        return F.aggregate(F.transform("body", row), F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0)))
+        return let(F.lower(F.get("heads", F.get("dose_cols", j))), lambda head: let(F.filter(known, lambda k: F.contains(head, k["d"])), checked))
 
-    return _per_dose_column(column)
+    return F.aggregate(F.transform("columns", column), F.lit(0), lambda a, x: a + x)
 
 
 def ratio_issues() -> Column:
     """Rows whose second to first component deviates from the upper median ratio."""
 
-    def column(j: Column) -> Column:
-        two = F.filter(_values(j), lambda v: F.size(v) >= 2)
-        ratios = F.transform(F.filter(two, lambda v: F.get(v, F.lit(0)) > 0), lambda v: F.get(v, F.lit(1)) / F.get(v, F.lit(0)))
-        mid = F.get(F.array_sort(ratios), F.floor(F.size(ratios) / F.lit(2)).cast("int"))
-        bad = F.transform(ratios, lambda r: F.abs(r - mid) / mid > RATIO_SHARE)
-        return F.when((F.size(two) < 2) | (F.size(ratios) == 0) | (mid <= 0), 0).otherwise(_count(bad))
+    def column(vals: Column) -> Column:
+        def judged(ratios: Column) -> Column:
+            mid = F.get(F.array_sort(ratios), F.floor(F.size(ratios) / F.lit(2)).cast("int"))
+            return let(mid, lambda m: F.when((F.size(ratios) == 0) | (m <= 0), 0).otherwise(_count(F.transform(ratios, lambda r: F.abs(r - m) / m > RATIO_SHARE))))
+
+        def of_two(two: Column) -> Column:
+            ratios = F.transform(F.filter(two, lambda v: F.get(v, F.lit(0)) > 0), lambda v: F.get(v, F.lit(1)) / F.get(v, F.lit(0)))
+            return F.when(F.size(two) < 2, 0).otherwise(let(ratios, judged))
+
+        return let(F.filter(vals, lambda v: F.size(v) >= 2), of_two)
 
     return _per_dose_column(column)
 
@@ -163,9 +167,9 @@ def positive_issues() -> Column:
 
 def dosing_checks(df: DataFrame, key: str, markdown: str, ranges: dict[str, tuple[float, float]], drugs: Sequence[str] = ()) -> DataFrame:
     """One row per table: parsed, bands, and the number of issues of each check."""
-    parsed = parse_dosing(df, key, markdown, drugs or tuple(ranges)).withColumn("parsed", F.col("weight_col").isNotNull())
+    parsed = with_arrays(parse_dosing(df, key, markdown, drugs or tuple(ranges))).withColumn("parsed", F.col("weight_col").isNotNull())
     counts = dict(zip(CHECKS, (contiguity_issues(), monotonic_issues(), coverage_issues(), bounds_issues(ranges), ratio_issues(), positive_issues()), strict=True))
-    out = parsed.select(key, "parsed", F.size(_bands()).alias("bands"), F.size("body").alias("body_rows"), *(F.when(F.col("parsed"), c).otherwise(0).alias(n) for n, c in counts.items()))
+    out = parsed.select(key, "parsed", F.size("bands").alias("bands"), F.size("body").alias("body_rows"), *(F.when(F.col("parsed"), c).otherwise(0).alias(n) for n, c in counts.items()))
     total = sum((F.col(n) for n in CHECKS), F.lit(0))
     return out.withColumn("passed", F.col("parsed") & (total == 0))
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.functions.text import strip
+from leafmill.functions.text import let, strip
 
 
 def table_lines(markdown: Column) -> Column:
@@ -43,20 +43,22 @@ def linearised(markdown: Column) -> Column:
 
     A row with one cell has no full stop; a text without header or data comes back unchanged.
     """
-    lines = table_lines(markdown)
-    heads = tight_cells(F.get(lines, F.lit(0)))
-
-    def sentence(line: Column) -> Column:
-        cells = tight_cells(line)
-        n = F.least(F.size(heads), F.size(cells))
-        pairs = F.zip_with(F.slice(heads, F.lit(1), n), F.slice(cells, F.lit(1), n), lambda h, c: F.concat(h, F.lit(" is "), c))
-        rest = F.array_join(F.slice(pairs, F.lit(2), F.greatest(n - 1, F.lit(0))), ", ")
-        tail = F.when(n > 1, F.concat(F.lit(", THEN "), rest, F.lit("."))).otherwise(F.lit(""))
-        return F.when(n > 0, F.concat(F.lit("IF "), F.get(pairs, F.lit(0)), tail))
-
-    data = F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))
-    made = F.array_join(F.array_compact(F.transform(data, sentence)), "\n")
-    return F.when(markdown.isNull(), None).when(F.size(lines) == 0, F.lit("")).when(F.size(lines) == 1, markdown).otherwise(made)
+    def sentence(line: Column, heads: Column) -> Column:
+        def told(cells: Column) -> Column:
+            n = F.least(F.size(heads), F.size(cells))
+            pairs = F.zip_with(F.slice(heads, F.lit(1), n), F.slice(cells, F.lit(1), n), lambda h, c: F.concat(h, F.lit(" is "), c))
+            rest = lambda x: F.array_join(F.slice(x, F.lit(2), F.greatest(F.size(x) - 1, F.lit(0))), ", ")
+            return let(pairs, lambda x: F.when(F.size(x) > 1, F.concat(F.lit("IF "), F.get(x, F.lit(0)), F.lit(", THEN "), rest(x), F.lit("."))).when(F.size(x) == 1, F.concat(F.lit("IF "), F.get(x, F.lit(0)))))
+
+        return let(tight_cells(line), told)
+
+    def whole(lines: Column) -> Column:
+        data = F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))
+        made = let(tight_cells(F.get(lines, F.lit(0))), lambda heads: F.array_join(F.array_compact(F.transform(data, lambda x: sentence(x, heads))), "\n"))
+        return F.when(F.size(lines) == 0, F.lit("")).when(F.size(lines) == 1, markdown).otherwise(made)
+
+    # the lines and the header's cells are worked out once a table, not once a row
+    return F.when(markdown.isNotNull(), let(table_lines(markdown), whole))
 
 
 def markdown_of(headers: Column, rows: Column) -> Column:
