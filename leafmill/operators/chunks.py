@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,7 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.config import Config, any_pattern
-from leafmill.functions.text import token_estimate, word_count
+from leafmill.functions.bands import band_loose
+from leafmill.functions.text import let, strip, token_estimate, word_count
+from leafmill.operators.markdown import tight_cells
 
 # Patterns of clinical metadata.
 AGE_UNDER = "(?i)children?\\s+(?:under|<|below|aged?)\\s*(\\d+)\\s*(years?|months?|yrs?)"
@@ -25,15 +28,29 @@ SPAN_PATTERNS = {
     ),
     "danger_signs": ("(?i)danger\\s+signs?\\s*[:;–-]\\s*([^.;]+)", "(?i)danger\\s+signs?\\s+include\\s*([^.;]+)"),
     "referral": ("(?i)refer\\s+(?:immediately|urgently)\\s+(?:if|when|to)\\s+([^.;]+)", "(?i)refer(?:ral)?\\s+(?:to|criteria)\\s*[:;–-]\\s*([^.;]+)"),
-    "populations": ("(?i)(pregnant\\s+women[^.;]*)", "(?i)(children\\s+(?:under|<|weighing\\s*<)\\s*[\\d]+\\s*(?:kg|years?|months?)[^.;]*)"),
+    "populations": (
+        "(?i)(pregnant\\s+women[^.;]*)",
+        "(?i)(children\\s+(?:under|<|weighing\\s*<)\\s*[\\d]+\\s*(?:kg|years?|months?)[^.;]*)",
+        "(?i)(infants?\\s*(?:<|under)\\s*[\\d]+\\s*(?:months?|weeks?)[^.;]*)",
+        "(?i)(HIV[^.;]*patients?[^.;]*)",
+    ),
+    "features": ("(?i)clinical\\s+features?\\s*[:;–-]\\s*([^.;]{10,})", "(?i)(?:signs?\\s+and\\s+symptoms?|presenting\\s+features?)\\s*[:;–-]\\s*([^.;]{10,})"),
 }
-SPAN_CUT = {"contraindications": 1000, "danger_signs": 120, "referral": 120, "populations": 100}
+SPAN_CUT = {"contraindications": 1000, "danger_signs": 120, "referral": 120, "populations": 100, "features": 150}
+AGES = (
+    "(?i)(children?\\s+(?:under|<|below|aged?)\\s*\\d+\\s*(?:years?|months?|yrs?)"
+    "|infants?\\s*(?:<|under)\\s*\\d+\\s*(?:months?|weeks?)"
+    "|(?:adults?|patients?)\\s*(?:>|≥|aged?\\s*≥?)\\s*\\d+\\s*(?:years?|yrs?)"
+    "|\\d+\\s*(?:to|–|-)\\s*\\d+\\s*(?:years?|months?))"
+)
+DRUG_OF_DOSE = "(?i)dose\\s*\\(mg\\)\\s*of\\s+(.+?)(?:\\s+given|\\s+dose|\\s*$)"
+DRUG_BEFORE_DOSE = "(?i)^[|]\\s*[^|]*[|]\\s*(.+?)(?:\\s+dose|\\s*\\()"
 DANGER_PHRASES = ("danger sign", "refer immediately", "refer urgently", "referral criteria")
 
 
-def spans(text: Column, kind: str, cut: int | None = None) -> Column:
-    """What the kind's patterns find in `text`: stripped, cut, distinct, sorted."""
-    found = F.flatten(F.array(*(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(p), F.lit(1)) for p in SPAN_PATTERNS[kind])))
+def spans(text: Column, kind: str, cut: int | None = None, more: tuple[str, ...] = ()) -> Column:
+    """What the kind's patterns, and `more`, find in `text`: stripped, cut, distinct, sorted."""
+    found = F.flatten(F.array(*(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(p), F.lit(1)) for p in (*SPAN_PATTERNS[kind], *more))))
     return F.array_sort(F.array_distinct(F.transform(found, lambda x: F.left(F.trim(x), F.lit(cut or SPAN_CUT[kind])))))
 
 
@@ -60,6 +77,50 @@ def clinical_metadata(text: Column) -> list[Column]:
     ]
 
 
+def biomarker_patterns(config: Config) -> tuple[str, ...]:
+    """Patterns of populations told by a deficiency of one of the collection's biomarkers."""
+    return tuple(f"(?i)({re.escape(b)}\\s+deficien[ct][^.;]*)" for b in config.biomarkers)
+
+
+def age_limits(text: Column) -> list[Column]:
+    """(age_min, age_max): the last mention that gives each, over all ways to write an age."""
+    mentions = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(AGES), F.lit(1))
+    one, two = "^\\D*(\\d+)\\s*([A-Za-z]+)$", "^(\\d+)\\s*(?:to|–|-)\\s*(\\d+)\\s*([A-Za-z]+)$"
+    last = lambda m, keep: F.try_element_at(F.filter(m, keep), F.lit(-1))
+
+    def limit(x: Column, of_range: int) -> Column:
+        whole = F.concat_ws(" ", F.regexp_extract(x, two, of_range), F.regexp_extract(x, two, 3))
+        return F.when(x.rlike(two), whole).when(x.isNotNull(), F.concat_ws(" ", F.regexp_extract(x, one, 1), F.regexp_extract(x, one, 2)))
+
+    low = let(mentions, lambda m: let(last(m, lambda x: x.rlike("(?i)^(?:adult|patient|\\d)")), lambda x: limit(x, 1)))
+    high = let(mentions, lambda m: let(last(m, lambda x: ~x.rlike("(?i)^(?:adult|patient)")), lambda x: limit(x, 2)))
+    return [low.alias("age_min"), high.alias("age_max")]
+
+
+def dosing_metadata(df: DataFrame, key: str, markdown: str) -> DataFrame:
+    """(key, drug, frequency, duration, route, summary, weight_min, weight_max): what a dosing table tells.
+
+    The drug stands in the header after "Dose (mg) of", or before "dose" in the second cell (more
+    than three letters). Weights are the least lower and greatest upper limit of the first cells; no
+    upper limit if all are open.
+    """
+    text = strip(F.col(markdown))
+    header = F.split_part(text, F.lit("\n"), F.lit(1))
+    named = F.nullif(F.trim(F.regexp_extract(header, DRUG_OF_DOSE, 1)), F.lit(""))
+    before = F.trim(F.rtrim(F.trim(F.regexp_extract(header, DRUG_BEFORE_DOSE, 1)), F.lit("|")))
+    drug = F.coalesce(named, F.when(F.length(before) > 3, before))
+    span = "(?i)(?:for|over)\\s+(\\d+)\\s+(days?|weeks?)"
+    frequency = F.nullif(F.trim(F.regexp_extract(text, FREQUENCY, 1)), F.lit(""))
+    duration = F.when(text.rlike(span), F.concat_ws(" ", F.regexp_extract(text, span, 1), F.regexp_extract(text, span, 2)))
+    lines = F.filter(F.transform(F.split(text, "\n"), strip), lambda x: F.startswith(x, F.lit("|")) & ~x.rlike("^\\|[-:\\s|]+\\|$"))
+    bands = F.filter(F.transform(lines, lambda x: band_loose(F.get(tight_cells(x), F.lit(0)))), lambda b: b.isNotNull())
+    told = df.select(key, drug.alias("drug"), frequency.alias("frequency"), duration.alias("duration"), F.lit("oral").alias("route"), bands.alias("_bands"))
+    parts = F.concat_ws(" ", "frequency", F.concat(F.lit("for "), F.col("duration")))
+    summary = F.when(F.col("frequency").isNotNull() | F.col("duration").isNotNull(), F.concat(F.lit("Weight-based, "), parts))
+    low, high = F.array_min(F.transform("_bands", lambda b: b["low"])), F.array_max(F.transform("_bands", lambda b: b["high"]))
+    return told.select(key, "drug", "frequency", "duration", "route", summary.alias("summary"), low.alias("weight_min"), high.alias("weight_max"))
+
+
 def care_levels(text: Column, config: Config) -> Column:
     """Level-of-care mentions in one spelling, distinct and sorted; empty without terms."""
     pattern = any_pattern(config.care_levels)
@@ -83,12 +144,29 @@ def preservation(kind: Column, final_class: Column, content: Column, config: Con
     return F.when(dosing | (kind == "clinical_table"), "verbatim").when(kind == "evidence_table", "high").when(prose & danger, "verbatim").when(prose & F.coalesce(high, F.lit(False)), "high").otherwise("standard")
 
 
+def numbered(df: DataFrame, doc: str, order: list[str], name: str) -> DataFrame:
+    """`df` with `name`: each row's number in its document, from 1, nulls first.
+
+    Rows are numbered within a document and first order column (a page), and the pages' offsets
+    are added, so a document that holds a third of all rows is not one task.
+    """
+    first, rest = order[0], order[1:] or order
+    page = F.struct(F.col(first).isNotNull().alias("known"), F.col(first).alias("page"))
+    paged = df.withColumn("_page", page)
+    sizes = paged.groupBy(doc, "_page").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(doc).orderBy("_page").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select(F.col(doc).alias("_doc"), F.col("_page").alias("_of"), F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = paged.withColumn("_in", F.row_number().over(Window.partitionBy(doc, "_page").orderBy(*rest)))
+    both = inside.join(offsets, F.col(doc).eqNullSafe(F.col("_doc")) & F.col("_page").eqNullSafe(F.col("_of")))
+    return both.withColumn(name, (F.col("_in") + F.col("_before")).cast("int")).drop("_page", "_in", "_doc", "_of", "_before")
+
+
 def chunk_records(df: DataFrame, doc: str, heading: str, level: str, text: str, order: list[str]) -> DataFrame:
     """`df` with chunk text under its heading, counts, token estimate and number in the document."""
     marked = F.concat(F.repeat(F.lit("#"), F.coalesce(F.col(level), F.lit(1))), F.lit(" "), F.coalesce(F.col(heading), F.lit("")))
     whole = F.when(F.col(heading).isNull(), F.col(text)).otherwise(F.concat(marked, F.lit("\n\n"), F.coalesce(F.col(text), F.lit(""))))
-    numbered = F.row_number().over(Window.partitionBy(doc).orderBy(*order))
-    return df.withColumn("content", whole).withColumn("n_chars", F.length("content")).withColumn("n_words", word_count(F.col("content"))).withColumn("n_tokens", token_estimate(F.col("content"))).withColumn("chunk_no", numbered)
+    counted = df.withColumn("content", whole).withColumn("n_chars", F.length("content")).withColumn("n_words", word_count(F.col("content"))).withColumn("n_tokens", token_estimate(F.col("content")))
+    return numbered(counted, doc, order, "chunk_no")
 
 
 def linked(chunks: DataFrame, doc: str, order: str, key: str, narrative: Column) -> DataFrame:

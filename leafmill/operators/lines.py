@@ -65,19 +65,32 @@ def section_table(lines: DataFrame, key: str) -> DataFrame:
     return out.withColumn("number", section_number(F.col("heading"))).withColumn("title", section_title(F.col("heading")))
 
 
-def with_hierarchy(sections: DataFrame, key: str, order: str, heading: str = "heading") -> DataFrame:
+def with_hierarchy(sections: DataFrame, key: str, order: str, heading: str = "heading", depth: Column | None = None) -> DataFrame:
     """`sections` with `hierarchy`: the open headings from the outermost to the own.
 
-    A numbered heading closes all of its depth or deeper; one without number inherits. The
-    stack is a fold over the headings up to the row, so it is a window and a projection.
+    A heading with a depth closes all of its depth or deeper; one without inherits. `depth` is a
+    column, by default the number of parts of the heading's number. One window gives for each
+    depth the last heading up to the row; it is open if none of a smaller depth came after it. The
+    number of depths is asked for first, so rows hold no more than one heading a depth.
     """
-    number = section_number(F.col(heading))
-    depth = F.when(number.isNotNull(), F.size(F.split(number, "\\.")))
-    upto = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    told = sections.withColumn("_heads", F.collect_list(F.when(depth.isNotNull(), F.struct(depth.alias("d"), F.col(heading).alias("h")))).over(upto))
-    empty = F.array().cast("array<struct<d int, h string>>")
-    stack = F.aggregate("_heads", empty, lambda acc, x: F.concat(F.filter(acc, lambda s: s["d"] < x["d"]), F.array(x)), lambda acc: F.transform(acc, lambda s: s["h"]))
-    return told.withColumn("hierarchy", stack).drop("_heads")
+    if depth is None:
+        number = section_number(F.col(heading))
+        depth = F.when(number.isNotNull(), F.size(F.split(number, "\\.")))
+    told = sections.withColumn("_depth", depth)
+    deepest = told.agg(F.max("_depth")).first()[0] or 0
+    w = Window.partitionBy(key).orderBy(order)
+    told = told.withColumn("_at", F.row_number().over(w))
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    for d in range(1, deepest + 1):
+        told = told.withColumn(f"_open{d}", F.last(F.when(F.col("_depth") == d, F.struct(F.col("_at").alias("at"), F.col(heading).alias("h"))), ignorenulls=True).over(upto))
+    stack = []
+    for d in range(1, deepest + 1):
+        still = F.col(f"_open{d}.at").isNotNull()
+        for smaller in range(1, d):
+            still &= F.coalesce(F.col(f"_open{smaller}.at"), F.lit(0)) < F.col(f"_open{d}.at")
+        stack.append(F.when(still, F.col(f"_open{d}.h")))
+    hierarchy = F.array_compact(F.array(*stack)) if stack else F.array().cast("array<string>")
+    return told.withColumn("hierarchy", hierarchy).drop("_depth", "_at", *(f"_open{d}" for d in range(1, deepest + 1)))
 
 
 def clinical_domain(hierarchy: Column) -> Column:

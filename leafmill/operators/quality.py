@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.functions.text import found_terms
+from leafmill.functions.text import let
+from leafmill.operators.chunks import numbered
 
 
 def share(part: Column, whole: Column, places: int = 1) -> Column:
@@ -16,15 +17,35 @@ def share(part: Column, whole: Column, places: int = 1) -> Column:
     return F.coalesce(F.round(F.try_divide(100.0 * part, whole), places), F.lit(0.0))
 
 
+#: Most words that one text is searched for at a time.
+WORDS = 1_000
+
+
+def held_words(items: DataFrame, spaces: DataFrame, on: list[str]) -> DataFrame:
+    """(on, word): the distinct words of items that some text of their search space holds, whatever the case.
+
+    Distinct words of a space are dealt to lists of about `WORDS`, so no row holds all of a hot
+    space's words; its texts stay rows of their own.
+    """
+    words = items.select(*on, F.explode("words").alias("word")).where("word <> ''").distinct()
+    n = words.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    dealt = words.join(n, on).withColumn("_list", F.pmod(F.xxhash64("word"), F.ceil(F.col("_n") / WORDS)))
+    lists = dealt.groupBy(*on, "_list").agg(F.collect_list("word").alias("_words")).drop("_list")
+    hits = let(F.lower("space"), lambda low: F.filter("_words", lambda w: F.contains(low, F.lower(w))))
+    return spaces.where("space is not null").join(lists, on).select(*on, F.explode(hits).alias("word")).distinct()
+
+
 def ground_truth(items: DataFrame, spaces: DataFrame, on: list[str], key: str) -> DataFrame:
     """(key, found, missing, passed): which of an item's words its search space holds.
 
-    `items` has key, the `on` columns and words (array); `spaces` the `on` columns and space.
-    An item without a space misses everything; one without words passes.
+    `items` has key, the `on` columns and words (array); `spaces` the `on` columns and space, any
+    number of rows. An item without a space misses everything but empty words; one without words passes.
     """
-    joined = items.join(spaces, on, "left")
-    hit = found_terms(F.coalesce("space", F.lit("")), F.col("words"))
-    return joined.select(key, F.size(hit).alias("found"), (F.size("words") - F.size(hit)).alias("missing"), (F.size(hit) == F.size("words")).alias("passed"))
+    held = held_words(items, spaces, on).withColumn("_held", F.lit(True))
+    asked = items.select(key, *on, F.explode_outer("words").alias("word"))
+    hit = F.coalesce("_held", F.col("word") == "", F.lit(False))
+    out = asked.join(held, [*on, "word"], "left").groupBy(key).agg(F.count_if(hit).cast("int").alias("found"), F.count("word").cast("int").alias("n"))
+    return out.select(key, "found", (F.col("n") - F.col("found")).alias("missing"), (F.col("n") == F.col("found")).alias("passed"))
 
 
 def accuracy(results: DataFrame) -> DataFrame:
@@ -43,11 +64,10 @@ def image_issues(ocr_text: Column, width: Column, height: Column, caption: Colum
     )
 
 
-def image_inventory(images: DataFrame, doc: str, order: str, least_side: int = 50) -> DataFrame:
+def image_inventory(images: DataFrame, doc: str, order: list[str], least_side: int = 50) -> DataFrame:
     """Images of at least `least_side` on both sides, numbered before the small ones go (so
     numbers have gaps)."""
-    n = F.row_number().over(Window.partitionBy(doc).orderBy(order))
-    return images.withColumn("number", n).where((F.col("width") >= least_side) & (F.col("height") >= least_side))
+    return numbered(images, doc, order, "number").where((F.col("width") >= least_side) & (F.col("height") >= least_side))
 
 
 def document_profile(pages: DataFrame, first_pages: int = 20) -> DataFrame:

@@ -43,7 +43,7 @@ def review_flags(spark, folder):
 
 
 def few_numbers(spark, folder):
-    return reports.few_numbers(t.readings(spark, folder), "report_id", "markdown", 8)
+    return reports.few_numbers(t.readings(spark, folder), "report_id", "markdown")
 
 
 def conditions(spark, folder):
@@ -91,7 +91,7 @@ _SQL = {
     "tables_without_chunk": f"with {t._R}, {x._C} select report_id, doc_id, page, num_rows from r where num_rows > 1 and not exists (select 1 from c where c.doc_id = r.doc_id and c.page = r.page)",
     "review_flags": f"with {t._R}, {x._C}, f as (select doc_id, page, 'dosing_table' as kind from r where contains(lower(markdown), 'dose') or contains(lower(markdown), 'mg') or contains(lower(markdown), 'tablet') or contains(lower(markdown), 'administration') "
     "union all select distinct doc_id, page, 'contraindication' from c where contains(lower(coalesce(text, '')), 'contraindication') or contains(lower(coalesce(text, '')), 'not recommended')) select doc_id, page, kind, count(*) as n from f group by 1, 2, 3",
-    "few_numbers": f"with {t._R} select report_id, len(regexp_extract_all(markdown, '\\d+\\.?\\d*')) as numbers from r where (contains(lower(markdown), 'dose') or contains(lower(markdown), 'mg')) and len(regexp_extract_all(markdown, '\\d+\\.?\\d*')) < 8",
+    "few_numbers": f"with {t._R} select report_id, len(regexp_extract_all(markdown, '\\d+\\.?\\d*')) as numbers from r where (contains(lower(markdown), 'dose') or contains(lower(markdown), 'mg')) and len(regexp_extract_all(markdown, '\\d+\\.?\\d*')) < 3",
     "conditions": f"with {x._C}, h as (select chunk_id, coalesce(title, '') as a, coalesce(heading, '') as b from c left join guideline_docs g on g.doc_id = c.doc_id) select chunk_id, coalesce({_label('b')}, {_label('a')}) as condition, coalesce({_type('a')}, {_type('b')}) as section_type from h",
     "short_names": "with w as (select doc_id, title, regexp_extract_all(title, '([A-Za-z]+)', 1) as ws from guideline_docs) select doc_id, case when len(ws) >= 3 then left(ws[1], 6) || '-' || left(ws[2], 6) || '-' || left(ws[3], 6) else replace(left(title, 30), ' ', '-') end as name from w",
 }

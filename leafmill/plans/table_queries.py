@@ -11,7 +11,7 @@ from leafmill.config import Config
 from leafmill.functions import bands
 from leafmill.functions.text import audit_hash, cache_key, clean_cell, norm_cell, signature
 from leafmill.operators import classify, compare, dosing, markdown
-from leafmill.sources.tables import table
+from leafmill.sources.tables import latest, table
 
 #: The library's own lists; drug names come from the table of dose ranges.
 CONFIG = Config()
@@ -19,9 +19,9 @@ MAX_SETTINGS = 10_000
 
 
 def readings(spark: SparkSession, folder: str) -> DataFrame:
-    """Readings without error, each once."""
+    """Readings without error, each in its latest delivery."""
     t = table(spark, folder, "cross_validation_report").where(F.col("error").isNull() & F.col("markdown").isNotNull())
-    return t.select("report_id", "doc_id", "engine", "page", "table_index_on_page", "classification", "num_rows", "num_cols", "markdown", "bbox").dropDuplicates(["report_id"])
+    return latest(t, "report_id", ["report_id", "doc_id", "engine", "page", "table_index_on_page", "classification", "num_rows", "num_cols", "markdown", "bbox"])
 
 
 def dose_ranges(spark: SparkSession, folder: str) -> dict[str, tuple[float, float]]:
@@ -182,8 +182,8 @@ def _s(x: str) -> str:
 
 
 _R = (
-    "r as (select distinct report_id, doc_id, engine, page, table_index_on_page, classification, num_rows, num_cols, markdown, bbox "
-    "from cross_validation_report where error is null and markdown is not null)"
+    "r as (select report_id, doc_id, engine, page, table_index_on_page, classification, num_rows, num_cols, markdown, bbox "
+    "from cross_validation_report where error is null and markdown is not null qualify row_number() over (partition by report_id order by loaded_at desc nulls last) = 1)"
 )
 _LINES = f"ln as (select report_id, list_filter(list_transform(string_split(markdown, chr(10)), x -> {_s('x')}), x -> x <> '' and not contains(x, '---')) as ls from r)"
 _TIGHT = f"list_filter(list_transform(string_split(line, '|'), x -> {_s('x')}), x -> x <> '')"

@@ -11,7 +11,8 @@ from leafmill.config import Config
 from leafmill.operators import chunks, discover, lines, quality, retrieval
 from leafmill.plans.table_queries import QUERIES as TABLE_QUERIES
 from leafmill.plans.table_queries import readings
-from leafmill.sources.tables import table
+from leafmill.sources import readers
+from leafmill.sources.tables import latest, table
 
 #: Lists for this project's own tables.
 SETTINGS = Config(
@@ -39,14 +40,13 @@ def docs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def chunk_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """Chunks, each once."""
-    c = table(spark, folder, "chunk").select("chunk_id", "doc_id", "page", "heading", "level", "text", "has_tables", "is_table_only")
-    return c.dropDuplicates(["chunk_id"])
+    """Chunks, each in its latest delivery."""
+    return latest(table(spark, folder, "chunk"), "chunk_id", ["chunk_id", "doc_id", "page", "heading", "level", "text", "has_tables", "is_table_only"])
 
 
 def image_rows(spark: SparkSession, folder: str) -> DataFrame:
-    i = table(spark, folder, "images").select("image_id", "doc_id", "image_index", "page_no", "caption", "ocr_text", "width", "height", "error")
-    return i.dropDuplicates(["image_id"])
+    """Images, each in its latest delivery."""
+    return latest(table(spark, folder, "images"), "image_id", ["image_id", "doc_id", "image_index", "page_no", "caption", "ocr_text", "width", "height", "error"])
 
 
 def doc_lines(spark, folder):
@@ -58,10 +58,8 @@ def sections(spark, folder):
 
 
 def page_asof(spark, folder):
-    """Each non-empty line with the number of the last bullet or question mark line before it."""
-    marked = doc_lines(spark, folder).withColumn("mark", F.when(F.col("line").rlike("^[-*•] |^Q: "), F.col("line_no")))
-    l2 = marked.withColumn("line", F.when(F.col("mark").isNotNull(), F.format_string("%d of 9", F.col("line_no").cast("int"))).otherwise(F.col("line")))
-    return lines.with_pages(l2.drop("mark"), "doc_id").select("doc_id", "line_no", "page")
+    """Each line with the page of the last footer up to it."""
+    return lines.with_pages(doc_lines(spark, folder), "doc_id").select("doc_id", "line_no", "page")
 
 
 def elements(spark, folder):
@@ -72,10 +70,9 @@ def elements(spark, folder):
 
 
 def hierarchy(spark, folder):
-    """Headings of each guideline, numbered by their level, as a stack."""
+    """Headings of each guideline as a stack by their level."""
     c = chunk_rows(spark, folder).where("heading is not null and level is not null")
-    numbered = c.withColumn("h", F.concat(F.array_join(F.array_repeat(F.lit("1"), F.col("level")), "."), F.lit(" "), F.col("heading")))
-    return lines.with_hierarchy(numbered, "doc_id", "chunk_id", "h").select("chunk_id", F.array_join("hierarchy", " > ").alias("path"), lines.clinical_domain(F.col("hierarchy")).alias("domain"))
+    return lines.with_hierarchy(c, "doc_id", "chunk_id", depth=F.col("level")).select("chunk_id", F.array_join("hierarchy", " > ").alias("path"), lines.clinical_domain(F.col("hierarchy")).alias("domain"))
 
 
 def pack_paragraphs(spark, folder):
@@ -176,16 +173,16 @@ def unknown_citations(spark, folder):
 
 
 def ground_truth(spark, folder):
-    """Are the first words of each chunk's heading in the documents of its guideline?"""
-    items = chunk_rows(spark, folder).where("heading is not null").select("chunk_id", "doc_id", F.slice(F.split(F.lower("heading"), " "), 1, 3).alias("words"))
-    spaces = docs(spark, folder).where("guideline_id is not null").groupBy(F.col("guideline_id").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), "\n").alias("space"))
+    """Are the words of each chunk's heading in the documents of its guideline?"""
+    items = chunk_rows(spark, folder).where("heading is not null").select("chunk_id", "doc_id", F.split(F.lower("heading"), " ").alias("words"))
+    spaces = docs(spark, folder).where("guideline_id is not null").select(F.col("guideline_id").alias("doc_id"), F.col("text").alias("space"))
     return quality.ground_truth(items, spaces, ["doc_id"], "chunk_id")
 
 
 def ground_truth_page(spark, folder):
     """Are the caption's words of each image in the text of its page?"""
     items = image_rows(spark, folder).where("caption is not null").select("image_id", "doc_id", F.col("page_no").alias("page"), F.split(F.lower("caption"), " ").alias("words"))
-    spaces = chunk_rows(spark, folder).where("text is not null").groupBy("doc_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", "text"))), lambda x: x["text"]), "\n").alias("space"))
+    spaces = chunk_rows(spark, folder).where("text is not null").select("doc_id", "page", F.col("text").alias("space"))
     return quality.ground_truth(items, spaces, ["doc_id", "page"], "image_id")
 
 
@@ -200,7 +197,7 @@ def image_quality(spark, folder):
 
 
 def image_inventory(spark, folder):
-    out = quality.image_inventory(image_rows(spark, folder), "doc_id", "image_id", 200)
+    out = quality.image_inventory(image_rows(spark, folder), "doc_id", ["page_no", "image_id"])
     return out.select("image_id", "number", "width", "height")
 
 
@@ -278,9 +275,12 @@ def set_operations(spark, folder):
 
 
 def page_ranges(spark, folder):
-    """Every page of each guideline's first ten, as a subset map (new page, original page)."""
-    g = table(spark, folder, "guideline_docs").where("page_count is not null").select("doc_id", F.least("page_count", F.lit(10)).alias("n"))
-    return g.where("n >= 1").select("doc_id", F.posexplode(F.sequence(F.lit(1), F.col("n"))).alias("new_page", "page"))
+    """The pages of two ranges of each guideline, its first and its last third, as a map (new page, original page)."""
+    g = table(spark, folder, "guideline_docs").where("page_count >= 3")
+    third = F.floor(F.col("page_count") / 3).cast("int")
+    first = g.select("doc_id", F.lit(1).alias("first"), third.alias("last"))
+    last = g.select("doc_id", (F.col("page_count") - third + 1).alias("first"), F.col("page_count").alias("last"))
+    return readers.page_ranges(first.unionByName(last))
 
 
 QUERIES = {
@@ -297,12 +297,12 @@ assert not set(QUERIES) & set(TABLE_QUERIES)
 
 # --- SQL -------------------------------------------------------------------------------------
 
-_C = "c as (select distinct chunk_id, doc_id, page, heading, level, text, has_tables, is_table_only from chunk)"
+_C = "c as (select chunk_id, doc_id, page, heading, level, text, has_tables, is_table_only from chunk qualify row_number() over (partition by chunk_id order by loaded_at desc nulls last) = 1)"
 _D = "d as (select doc_id, text, guideline_id from documents where text is not null)"
 _L = "ln as (select doc_id, unnest(range(len(ls))) as line_no, unnest(ls) as line from (select doc_id, string_split(text, chr(10)) as ls from d))"
 _SEC = "sc as (select *, starts_with(line, '## ') as is_heading, (sum(starts_with(line, '## ')::int) over (partition by doc_id order by line_no))::bigint as section_no from ln)"
-_I = "i as (select distinct image_id, doc_id, image_index, page_no, caption, ocr_text, width, height, error from images)"
-_R = "r as (select distinct report_id, doc_id, engine, page, num_cols, markdown from cross_validation_report where error is null and markdown is not null)"
+_I = "i as (select image_id, doc_id, image_index, page_no, caption, ocr_text, width, height, error from images qualify row_number() over (partition by image_id order by loaded_at desc nulls last) = 1)"
+_R = "r as (select report_id, doc_id, engine, page, num_cols, markdown from cross_validation_report where error is null and markdown is not null qualify row_number() over (partition by report_id order by loaded_at desc nulls last) = 1)"
 _WORDS = "len(list_filter(regexp_split_to_array({x}, '\\s+'), w -> w <> ''))"
 _TYPED = "ty as (select *, case when coalesce(is_table_only, false) then 'other_table' when coalesce(has_tables, false) then 'dosing_table' else 'narrative' end as kind from c)"
 _Q = "q as (select question, count(*) as asked, sha256(question) as query_id from (select unnest(regexp_extract_all(text, '(?m)^Q: ([^\\n]+)$', 1)) as question from d) group by 1)"
@@ -343,14 +343,14 @@ _SQL = {
     "doc_lines": f"with {_D}, {_L} select doc_id, line_no, line from ln",
     "sections": f"with {_D}, {_L}, {_SEC}, g as (select doc_id, section_no, max(case when is_heading then regexp_replace(substr(line, 4), '^\\s+|\\s+$', '', 'g') end) as heading, min(line_no) as first_line, count(*) as n_lines from sc group by 1, 2) "
     "select *, case when regexp_matches(heading, '^(\\d+(?:\\.\\d+)*)\\s+(.*)') then regexp_extract(heading, '^(\\d+(?:\\.\\d+)*)\\s+(.*)', 1) end as number, case when regexp_matches(heading, '^(\\d+(?:\\.\\d+)*)\\s+(.*)') then regexp_extract(heading, '^(\\d+(?:\\.\\d+)*)\\s+(.*)', 2) else heading end as title from g",
-    "page_asof": f"with {_D}, {_L}, mk as (select doc_id, line_no, case when regexp_matches(line, '^[-*•] |^Q: ') then line_no when regexp_matches(line, '^\\d+ of \\d+$') then try_cast(regexp_extract(line, '^(\\d+) of \\d+$', 1) as int) end as m from ln) "
+    "page_asof": f"with {_D}, {_L}, mk as (select doc_id, line_no, case when regexp_matches(line, '^\\d+ of \\d+$') then try_cast(regexp_extract(line, '^(\\d+) of \\d+$', 1) as int) end as m from ln) "
     "select doc_id, line_no, coalesce(last_value(m ignore nulls) over (partition by doc_id order by line_no rows unbounded preceding), first_value(m ignore nulls) over (partition by doc_id order by line_no rows between current row and unbounded following)) as page from mk",
     "elements": f"with {_D}, {_L}, {_SEC}, b as (select *, case when starts_with(ltrim(line), '|') then 'table' when regexp_replace(line, '^\\s+|\\s+$', '', 'g') = '<!-- image -->' then 'image' else 'narrative' end as kind from sc where not is_heading and not regexp_matches(line, '^\\d+ of \\d+$')), "
     "s as (select *, case when lag(kind) over w is null or lag(kind) over w <> kind or kind = 'image' then 1 else 0 end as st from b window w as (partition by doc_id, section_no order by line_no)), "
     "e as (select *, (sum(st) over (partition by doc_id, section_no order by line_no))::bigint as element_no from s) select doc_id, section_no, element_no, kind, min(line_no) as first_line, count(*) as n_lines from e group by 1, 2, 3, 4",
-    "hierarchy": f"""with {_C}, h as (select chunk_id, doc_id, level, heading, array_to_string(list_transform(range(level), z -> '1'), '.') || ' ' || heading as h, row_number() over (partition by doc_id order by chunk_id) as n from c where heading is not null and level is not null),
+    "hierarchy": f"""with {_C}, h as (select chunk_id, doc_id, level, heading as h, row_number() over (partition by doc_id order by chunk_id) as n from c where heading is not null and level is not null),
  o as (select a.chunk_id, b.h, b.level, b.n, min(b2.level) as later from h a join h b on a.doc_id = b.doc_id and b.n <= a.n left join h b2 on b2.doc_id = a.doc_id and b2.n > b.n and b2.n <= a.n group by all)
- select chunk_id, string_agg(h, ' > ' order by n) as path, max_by(case when regexp_matches(h, '^(\\d+(?:\\.\\d+)*)\\s+(.*)') then regexp_extract(h, '^(\\d+(?:\\.\\d+)*)\\s+(.*)', 2) else h end, n) as domain from o where later is null or later > level group by 1""",
+ select chunk_id, string_agg(h, ' > ' order by n) as path, max_by(case when regexp_matches(h, '^(\\d+(?:\\.\\d+)*)\\s+(.*)') then regexp_extract(h, '^(\\d+(?:\\.\\d+)*)\\s+(.*)', 2) else h end, n) filter (where not regexp_matches(regexp_replace(h, '^\\d+(?:\\.\\d+)*\\s+', ''), '{lines.STRUCTURAL_HEADINGS.replace("'", "''")}')) as domain from o where later is null or later > level group by 1""",
     "chunk_records": f"with {_C}, k as (select chunk_id, row_number() over (partition by doc_id order by page nulls first, chunk_id) as chunk_no, case when heading is null then text else repeat('#', coalesce(level, 1)) || ' ' || heading || chr(10) || chr(10) || coalesce(text, '') end as content from c) "
     f"select chunk_id, chunk_no, content, length(content) as n_chars, {_WORDS.format(x='content')} as n_words, floor({_WORDS.format(x='content')} * 1.3::double)::int as n_tokens from k",
     "clinical_metadata": f"with {_D} select doc_id, coalesce({_last(chunks.AGE_UNDER, 1)} || ' ' || {_last(chunks.AGE_UNDER, 2)}, '') as age_under, {_last(chunks.AGE_RANGE, 1)} as age_from, {_last(chunks.AGE_RANGE, 2)} as age_to, "
@@ -379,16 +379,16 @@ _SQL = {
  select query_id, question, array_to_string(pages, ',') as pages, body || chr(10) || '---' || chr(10) || 'Triage Level: ' || case when {' or '.join(f"contains(lower(question), '{p}')" for p in retrieval.URGENT_PHRASES)} then 'RED' else 'GREEN' end
  || chr(10) || 'Immediate Actions: review the excerpts above.' || chr(10) || 'Next Steps / Monitoring: consult the full source.' || chr(10) || 'When to Refer: per excerpts.' || chr(10) || 'Citations: ' || array_to_string(list_transform(pages, p -> 'Page ' || p), ', ') as response from one""",
     "unknown_citations": f"with {_C}, {_D}, ci as (select distinct doc_id, try_cast(unnest(regexp_extract_all(text, 'Page:?\\s*(\\d+)', 1) || regexp_extract_all(text, 'p\\.?\\s*(\\d+)', 1)) as int) as page from d) select doc_id, page from ci where not exists (select 1 from c where c.page = ci.page)",
-    "ground_truth": f"with {_C}, {_D}, sp as (select guideline_id as doc_id, lower(string_agg(text, chr(10) order by doc_id)) as space from d where guideline_id is not null group by 1), it as (select chunk_id, doc_id, string_split(lower(heading), ' ')[1:3] as words from c where heading is not null), "
+    "ground_truth": f"with {_C}, {_D}, sp as (select guideline_id as doc_id, lower(string_agg(text, chr(10) order by doc_id)) as space from d where guideline_id is not null group by 1), it as (select chunk_id, doc_id, string_split(lower(heading), ' ') as words from c where heading is not null), "
     "h as (select chunk_id, len(words) as n, len(list_filter(words, w -> contains(coalesce(space, ''), w))) as found from it left join sp using (doc_id)) select chunk_id, found, n - found as missing, found = n as passed from h",
     "ground_truth_page": f"with {_C}, {_I}, sp as (select doc_id, page, lower(string_agg(text, chr(10) order by chunk_id)) as space from c where text is not null group by 1, 2), it as (select image_id, doc_id, page_no as page, string_split(lower(caption), ' ') as words from i where caption is not null), "
     "h as (select image_id, len(words) as n, len(list_filter(words, w -> contains(coalesce(space, ''), w))) as found from it left join sp using (doc_id, page)) select image_id, found, n - found as missing, found = n as passed from h",
-    "accuracy": f"with {_C}, {_D}, sp as (select guideline_id as doc_id, lower(string_agg(text, chr(10) order by doc_id)) as space from d where guideline_id is not null group by 1), it as (select chunk_id, doc_id, string_split(lower(heading), ' ')[1:3] as words from c where heading is not null), "
+    "accuracy": f"with {_C}, {_D}, sp as (select guideline_id as doc_id, lower(string_agg(text, chr(10) order by doc_id)) as space from d where guideline_id is not null group by 1), it as (select chunk_id, doc_id, string_split(lower(heading), ' ') as words from c where heading is not null), "
     "h as (select len(list_filter(words, w -> contains(coalesce(space, ''), w))) = len(words) as passed from it left join sp using (doc_id)) select count(*) as items, count(*) filter (where passed) as passed, round(100.0::double * count(*) filter (where passed) / count(*), 1) as accuracy from h",
     "image_quality": f"with {_I}, q as (select image_id, list_filter([case when length(regexp_replace(coalesce(ocr_text, ''), '^\\s+|\\s+$', '', 'g')) < 5 then 'no text' end, case when coalesce(width, 0) < 50 or coalesce(height, 0) < 50 then 'very small' end, case when coalesce(caption, '') = '' then 'no caption' end], z -> z is not null) as iss from i) select image_id, array_to_string(iss, ', ') as issues, len(iss) = 0 as passed from q",
-    "image_inventory": f"with {_I}, n as (select *, row_number() over (partition by doc_id order by image_id) as number from i) select image_id, number, width, height from n where width >= 200 and height >= 200",
-    "document_profile": f"with {_C}, {_R}, {_I}, p as (select doc_id, page, max(text) as text from c group by 1, 2), t as (select doc_id, page, count(*) as n_tables from r group by 1, 2), im as (select doc_id, page_no as page, count(*) as n_images from i group by 1, 2), "
-    "z as (select p.*, coalesce(n_tables, 0) as nt, coalesce(n_images, 0) as ni from p left join t using (doc_id, page) left join im using (doc_id, page)) select doc_id, count(*) as pages_seen, count(*) filter (where nt > 0) as table_pages, count(*) filter (where ni > 0) as image_pages, bool_or(length(coalesce(text, '')) < 100 and ni > 0) as likely_scanned from z where page <= 20 group by 1",
+    "image_inventory": f"with {_I}, n as (select *, row_number() over (partition by doc_id order by page_no nulls first, image_id) as number from i) select image_id, number, width, height from n where width >= 50 and height >= 50",
+    "document_profile": f"with {_C}, {_R}, {_I}, u as (select doc_id, page, length(coalesce(text, '')) as len, 0 as nt, 0 as ni from c union all select doc_id, page, 0, 1, 0 from r union all select doc_id, page_no, 0, 0, 1 from i), "
+    "z as (select doc_id, page, sum(len) as len, sum(nt) as nt, sum(ni) as ni from u group by 1, 2) select doc_id, count(*) as pages_seen, count(*) filter (where nt > 0) as table_pages, count(*) filter (where ni > 0) as image_pages, bool_or(len < 100 and ni > 0) as likely_scanned from z where page <= 20 group by 1",
     "structure_check": _STRUCT + " select * from s1",
     "table_check": f"with {_TAB} select * from s2",
     "term_check": f"with {_C}, {_TERM} select * from s3",
@@ -404,6 +404,6 @@ _SQL = {
     "json_fields": "select try_cast(json_extract_string(props, '$.k') as bigint) as k, count(*) as n from events group by 1",
     "set_operations": "with k as (select distinct event_type from events order by 1 limit 2), a as (select distinct user_id from events where event_type = (select min(event_type) from k)), b as (select distinct user_id from events where event_type = (select max(event_type) from k)) "
     "select 'both' as part, count(*) as n from (select * from a intersect select * from b) union all select 'first', count(*) from (select * from a except select * from b) union all select 'second', count(*) from (select * from b except select * from a) union all select 'either', count(*) from (select * from a union select * from b)",
-    "page_ranges": "select doc_id, unnest(range(least(page_count, 10))) as new_page, unnest(range(1, least(page_count, 10) + 1)) as page from guideline_docs where page_count >= 1",
+    "page_ranges": "select doc_id, row_number() over (partition by doc_id order by page) as new_page, page from (select doc_id, unnest(list_distinct(range(1, page_count // 3 + 1) || range(page_count - page_count // 3 + 1, page_count + 1))) as page from guideline_docs where page_count >= 3)",
 }
 SQL = {k: re.sub(r"\b([a-z]) -> ", r"lambda \1: ", v) for k, v in _SQL.items()}

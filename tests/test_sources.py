@@ -11,14 +11,14 @@ from leafmill.streaming import ingest
 
 
 def spans(spark):
-    rows = [("d", 1, 0, 0, 10.0, "Big", "f", 18.0, 0), ("d", 1, 0, 1, 20.0, " text", "f", 10.0, 2), ("d", 1, 0, 1, 20.0, "Some", "f", 10.0, 0), ("d", 1, 1, 0, 5.0, "first", "f", 10.0, 0), ("d", 1, 2, 0, 30.0, "  ", "f", 10.0, 0), ("d", 1, 3, 0, 25.0, "Bold", "f", 10.0, 16)]
+    rows = [("d", 1, 0, 0, 0, 10.0, "Big", "f", 18.0, 0), ("d", 1, 0, 1, 1, 20.0, " text", "f", 10.0, 2), ("d", 1, 0, 1, 0, 20.0, "Some", "f", 10.0, 0), ("d", 1, 1, 0, 0, 5.0, "first", "f", 10.0, 0), ("d", 1, 2, 0, 0, 30.0, "  ", "f", 10.0, 0), ("d", 1, 3, 0, 0, 25.0, "Bold", "f", 10.0, 16)]
     return spark.createDataFrame(rows, readers.SPANS)
 
 
 def test_lines_headings_sections(spark):
     s = spans(spark)
     lines = readers.text_lines(s)
-    assert [(r.text, r.is_bold, r.is_italic) for r in lines.orderBy("y_pos").collect()] == [("first", False, False), ("Big", False, False), (" textSome".strip(), False, True), ("Bold", True, False)]
+    assert [(r.text, r.is_bold, r.is_italic) for r in lines.orderBy("y_pos").collect()] == [("first", False, False), ("Big", False, False), ("Some text", False, True), ("Bold", True, False)]
     heads = readers.heading_spans(s)
     assert {(r.text, r.level) for r in heads.collect()} == {("Big", 1), ("Bold", 3)}
     got = {r.section_no: (r.heading, r.text) for r in readers.page_sections(lines, heads).collect()}
@@ -46,6 +46,8 @@ def test_fallback_ranges_and_nll(spark):
     got = readers.with_fallbacks([a, b, b], ["first", "lattice", "stream"], [0.9, 0.95, 0.85]).collect()
     assert {(r.method, r.confidence) for r in got} == {("lattice", 0.95)} and len(got) == 2
     r = spark.createDataFrame([("d", 5, 7), ("d", 2, 3)], "doc_id string, first int, last int")
+    gaps = spark.createDataFrame([("d", None)], "doc_id string, cell string")
+    assert [r.cell for r in readers.with_fallbacks([gaps], ["first"], [0.9]).collect()] == [""]
     assert [(x.new_page, x.page) for x in readers.page_ranges(r).orderBy("new_page").collect()] == [(1, 2), (2, 3), (3, 5), (4, 6), (5, 7)]
     text = ["=====", "--- Table 7 (page 3) ---", "IF a", "", "--- Stitched S1 ---", "IF b", "IF c", "--- Table 7 (page 3) ---", "IF d"]
     lines = spark.createDataFrame(list(enumerate(text)), "line_no int, line string")
@@ -64,6 +66,9 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t")).count() == 3
     assert readers.read_json(spark, str(tmp_path / "j"), "id int, nll string", multi_line=False).where("nll is null").count() == 1
     assert sorted(r.value for r in readers.read_lines(spark, str(tmp_path / "x")).collect()) == ["x", "y", "z"]
+    (tmp_path / "broken.json").write_text('{"id": 1}\n{"id": \n')
+    got = readers.read_json(spark, str(tmp_path / "broken.json"), "id int", multi_line=False).cache()
+    assert sorted((r.id or 0, r._corrupt_record is None) for r in got.collect()) == [(0, False), (1, True)]
     sinks.summary_json(t.agg(F.count("id").alias("n")), tmp_path / "s.json")
     assert json.loads((tmp_path / "s.json").read_text()) == {"n": 3}
     with pytest.raises(ValueError, match="one row"):
