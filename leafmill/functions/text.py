@@ -78,6 +78,12 @@ def found_terms(text: Column, terms: Column) -> Column:
     return F.filter(terms, lambda t: F.contains(F.lower(text), F.lower(t)))
 
 
+def is_iso_time(text: Column) -> Column:
+    """Whether a text is an ISO date or time (a zone may follow, Z included); false for null."""
+    whole = "^\\d{4}-\\d{2}-\\d{2}(?:[T ]\\d{2}:\\d{2}(?::\\d{2}(?:\\.\\d{1,6})?)?(?:Z|[+-]\\d{2}:?\\d{2})?)?$"
+    return F.coalesce(text.rlike(whole), F.lit(False)) & F.try_to_timestamp(text).isNotNull()
+
+
 def audit_hash(content: Column) -> Column:
     """SHA-256 of the content; a null content hashes as the empty text."""
     return F.sha2(F.coalesce(content, F.lit("")), 256)

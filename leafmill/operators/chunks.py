@@ -106,8 +106,9 @@ def dosing_metadata(df: DataFrame, key: str, markdown: str) -> DataFrame:
     """
     text = strip(F.col(markdown))
     header = F.split_part(text, F.lit("\n"), F.lit(1))
-    named = F.nullif(F.trim(F.regexp_extract(header, DRUG_OF_DOSE, 1)), F.lit(""))
-    before = F.trim(F.rtrim(F.trim(F.regexp_extract(header, DRUG_BEFORE_DOSE, 1)), F.lit("|")))
+    bare = lambda c: F.regexp_replace(c, "^[\\s\\p{Z}]+|[\\s\\p{Z}]+$", "")
+    named = F.nullif(bare(F.regexp_extract(header, DRUG_OF_DOSE, 1)), F.lit(""))
+    before = bare(F.rtrim(bare(F.regexp_extract(header, DRUG_BEFORE_DOSE, 1)), F.lit("|")))
     drug = F.coalesce(named, F.when(F.length(before) > 3, before))
     span = "(?i)(?:for|over)\\s+(\\d+)\\s+(days?|weeks?)"
     frequency = F.nullif(F.trim(F.regexp_extract(text, FREQUENCY, 1)), F.lit(""))
@@ -183,6 +184,15 @@ def linked(chunks: DataFrame, doc: str, order: str, key: str, narrative: Column)
     )
 
 
+def context_previews(linked_chunks: DataFrame, chunks: DataFrame, key: str, text: str, most: int = 500) -> DataFrame:
+    """(key, preview_before, preview_after): the beginnings of the nearest narratives, at most `most` characters."""
+    told = chunks.select(F.col(key).alias("_key"), F.trim(F.left(text, F.lit(most))).alias("_text"))
+    out = linked_chunks.select(key, "narrative_before", "narrative_after")
+    for side in ("before", "after"):
+        out = out.join(told.select(F.col("_key").alias(f"narrative_{side}"), F.col("_text").alias(f"preview_{side}")), f"narrative_{side}", "left")
+    return out.select(key, "preview_before", "preview_after")
+
+
 def dependents(linked_chunks: DataFrame, key: str) -> DataFrame:
     """(chunk, context_for): the non-narrative chunks whose nearest narrative before is `chunk`."""
     rows = linked_chunks.where(F.col("narrative_before").isNotNull())
