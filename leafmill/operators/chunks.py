@@ -170,18 +170,44 @@ def chunk_records(df: DataFrame, doc: str, heading: str, level: str, text: str,
     return numbered(counted, doc, order, "chunk_no")
 
 
-def linked(chunks: DataFrame, doc: str, order: str, key: str, narrative: Column) -> DataFrame:
+def carried(df: DataFrame, doc: str, order: list[str], before: dict[str, Column], after: dict[str, Column] | None = None, own: bool = False) -> DataFrame:
+    """`df` with, by name, the last value that isn't null of the rows before in the document (`own`: or of
+    the row itself), and the first one of the rows after.
+
+    Windows run within a document and first order column (a page); what pages leave to later and
+    earlier ones is a window over their aggregates. So a document that holds a third of all rows is not one task.
+    """
+    after = after or {}
+    first, rest = order[0], order[1:] or order
+    paged = df.withColumn("_page", F.struct(F.col(first).isNotNull().alias("known"), F.col(first).alias("page")))
+    place = F.struct(*rest)
+    values = {f"_v{k}": v for k, v in enumerate([*before.values(), *after.values()])}
+    paged = paged.withColumns(values)
+    back, ahead = list(values)[: len(before)], list(values)[len(before) :]
+    inside = Window.partitionBy(doc, "_page").orderBy(*rest)
+    for v in back:
+        paged = paged.withColumn(f"{v}i", F.last(v, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0 if own else -1)))
+    for v in ahead:
+        paged = paged.withColumn(f"{v}i", F.first(v, ignorenulls=True).over(inside.rowsBetween(1, Window.unboundedFollowing)))
+    known = lambda v: F.when(F.col(v).isNotNull(), place)
+    sums = paged.groupBy(doc, "_page").agg(*(F.max_by(v, known(v)).alias(v) for v in back), *(F.min_by(v, known(v)).alias(v) for v in ahead))
+    over = Window.partitionBy(doc).orderBy("_page")
+    told = sums.select(
+        F.col(doc).alias("_doc"), F.col("_page").alias("_of"),
+        *(F.last(v, ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias(f"{v}p") for v in back),
+        *(F.first(v, ignorenulls=True).over(over.rowsBetween(1, Window.unboundedFollowing)).alias(f"{v}p") for v in ahead),
+    )
+    both = paged.join(told, F.col(doc).eqNullSafe(F.col("_doc")) & F.col("_page").eqNullSafe(F.col("_of")))
+    names = dict(zip([*before, *after], values, strict=True))
+    return both.select(*(F.col(c) for c in df.columns), *(F.coalesce(f"{v}i", f"{v}p").alias(n) for n, v in names.items()))
+
+
+def linked(chunks: DataFrame, doc: str, order: str | list[str], key: str, narrative: Column) -> DataFrame:
     """`chunks` with neighbours and, for those that aren't narrative, the nearest narratives."""
-    w = Window.partitionBy(doc).orderBy(order)
+    order = [order] if isinstance(order, str) else order
     text = F.when(narrative, F.col(key))
-    before = F.last(text, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first(text, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    return (
-        chunks.withColumn("previous", F.lag(key).over(w))
-        .withColumn("next", F.lead(key).over(w))
-        .withColumn("narrative_before", F.when(~narrative, before))
-        .withColumn("narrative_after", F.when(~narrative, after))
-    )
+    out = carried(chunks, doc, order, {"previous": F.col(key), "_before": text}, {"next": F.col(key), "_after": text})
+    return out.withColumn("narrative_before", F.when(~narrative, F.col("_before"))).withColumn("narrative_after", F.when(~narrative, F.col("_after"))).drop("_before", "_after")
 
 
 def context_previews(linked_chunks: DataFrame, chunks: DataFrame, key: str, text: str, most: int = 500) -> DataFrame:

@@ -11,15 +11,17 @@ from leafmill.functions.text import score_of
 
 # Endings of drug names, and words before a dose that are none.
 DRUG_ENDINGS = (
-    "mycin cillin azole prazole statin pril sartan olol dipine sone olone quine mide zide pam lam pine oxin formin gliptin flozin lukast "
-    "parin virin navir ciclovir bivir fenac profen oxicam triptan setron mab nib tinib zumab ximab tide retin mustine platin taxel rubicin "
-    "ephrine butol thiazide pamide"
-).split()
+    "mycin", "cillin", "azole", "prazole", "statin", "pril", "sartan", "olol", "dipine", "sone", "olone", "quine", "mide", "zide", "pam", "lam",
+    "pine", "oxin", "formin", "gliptin", "flozin", "lukast", "parin", "virin", "navir", "ciclovir", "bivir", "fenac", "profen", "oxicam", "triptan",
+    "setron", "mab", "nib", "tinib", "zumab", "ximab", "tide", "retin", "mustine", "platin", "taxel", "rubicin", "ephrine", "butol", "thiazide",
+    "pamide",
+)
 NOT_DRUGS = (
-    "dose give take body weight oral daily twice once every hours days weeks months years than less more above below over under from with "
-    "treatment management clinical patient diagnosis disease infection condition symptoms complications prevention monitoring assessment "
-    "therapy protocol guidelines chapter section table figure children adults pregnant women refer"
-).split()
+    "dose", "give", "take", "body", "weight", "oral", "daily", "twice", "once", "every", "hours", "days", "weeks", "months", "years", "than", "less",
+    "more", "above", "below", "over", "under", "from", "with", "treatment", "management", "clinical", "patient", "diagnosis", "disease", "infection",
+    "condition", "symptoms", "complications", "prevention", "monitoring", "assessment", "therapy", "protocol", "guidelines", "chapter", "section",
+    "table", "figure", "children", "adults", "pregnant", "women", "refer",
+)
 # Words that tell a section type.
 SECTION_TYPES = {
     "clinical_features": ("clinical features", "signs and symptoms", "presenting features", "symptoms include"),
@@ -32,8 +34,9 @@ SECTION_TYPES = {
 }
 
 
-def drug_names(texts: DataFrame, text: str, endings: Sequence[str] = DRUG_ENDINGS, least: int = 2) -> DataFrame:
-    """(word, times, by): words with a drug's ending found `least` times, or standing before a dose."""
+def drug_names(texts: DataFrame, text: str, endings: Sequence[str] = DRUG_ENDINGS, least: int = 2, known: Sequence[str] = ()) -> DataFrame:
+    """(word, times, by): words with a drug's ending found `least` times, standing before a dose, or on the
+    list of `known` names (single words, found inside texts)."""
     low = F.lower(F.col(text))
     words = texts.select(F.explode(F.regexp_extract_all(low, F.lit("\\b([a-z]{4,20})\\b"), F.lit(1))).alias("word"))
     counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("times"))
@@ -41,8 +44,9 @@ def drug_names(texts: DataFrame, text: str, endings: Sequence[str] = DRUG_ENDING
     for e in endings:
         ends = ends | (F.endswith(F.col("word"), F.lit(e)) & (F.length("word") > len(e) + 2))
     dosed = texts.select(F.explode(F.regexp_extract_all(low, F.lit("(\\b[a-z]{4,20}\\b)\\s+\\d+\\s*(?:mg|mcg|iu)\\b"), F.lit(1))).alias("word")).distinct().withColumn("dosed", F.lit(True))
-    both = counts.join(dosed, "word", "left").where((ends & (F.col("times") >= least)) | F.col("dosed"))
-    kind = F.when(ends & (F.col("times") >= least), "ending").otherwise("dose")
+    listed = F.col("word").isin(*(k.lower() for k in known)) if known else F.lit(False)
+    both = counts.join(dosed, "word", "left").where((ends & (F.col("times") >= least)) | F.col("dosed") | listed)
+    kind = F.when(listed, "known").when(ends & (F.col("times") >= least), "ending").otherwise("dose")
     return both.where(~F.col("word").isin(*NOT_DRUGS)).select("word", "times", kind.alias("by"))
 
 

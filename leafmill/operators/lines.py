@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions.text import strip, token_estimate
+from leafmill.operators.chunks import carried
 
 # Page footer, image mark, and headings that name no domain.
 FOOTER = "^(\\d+) of \\d+$"
@@ -65,12 +66,12 @@ def section_table(lines: DataFrame, key: str) -> DataFrame:
     return out.withColumn("number", section_number(F.col("heading"))).withColumn("title", section_title(F.col("heading")))
 
 
-def with_hierarchy(sections: DataFrame, key: str, order: str, heading: str = "heading", depth: Column | None = None) -> DataFrame:
+def with_hierarchy(sections: DataFrame, key: str, order: str | list[str], heading: str = "heading", depth: Column | None = None) -> DataFrame:
     """`sections` with `hierarchy`: the open headings from the outermost to the own.
 
     A heading with a depth closes all of its depth or deeper; one without inherits. `depth` is a
-    column, by default the number of parts of the heading's number. One window gives for each
-    depth the last heading up to the row; it is open if none of a smaller depth came after it. The
+    column, by default the number of parts of the heading's number. For each depth the last heading
+    up to the row is carried along; it is open if none of a smaller depth came after it. The
     number of depths is asked for first, so rows hold no more than one heading a depth.
     """
     if depth is None:
@@ -78,19 +79,18 @@ def with_hierarchy(sections: DataFrame, key: str, order: str, heading: str = "he
         depth = F.when(number.isNotNull(), F.size(F.split(number, "\\.")))
     told = sections.withColumn("_depth", depth)
     deepest = told.agg(F.max("_depth")).first()[0] or 0
-    w = Window.partitionBy(key).orderBy(order)
-    told = told.withColumn("_at", F.row_number().over(w))
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    for d in range(1, deepest + 1):
-        told = told.withColumn(f"_open{d}", F.last(F.when(F.col("_depth") == d, F.struct(F.col("_at").alias("at"), F.col(heading).alias("h"))), ignorenulls=True).over(upto))
+    order = [order] if isinstance(order, str) else order
+    place = F.struct(*(F.struct(F.col(c).isNotNull(), F.col(c)) for c in order))
+    last = {f"_open{d}": F.when(F.col("_depth") == d, F.struct(place.alias("at"), F.col(heading).alias("h"))) for d in range(1, deepest + 1)}
+    told = carried(told, key, order, last, own=True) if last else told
     stack = []
     for d in range(1, deepest + 1):
         still = F.col(f"_open{d}.at").isNotNull()
         for smaller in range(1, d):
-            still &= F.coalesce(F.col(f"_open{smaller}.at"), F.lit(0)) < F.col(f"_open{d}.at")
+            still &= F.coalesce(F.col(f"_open{smaller}.at") < F.col(f"_open{d}.at"), F.lit(True))
         stack.append(F.when(still, F.col(f"_open{d}.h")))
     hierarchy = F.array_compact(F.array(*stack)) if stack else F.array().cast("array<string>")
-    return told.withColumn("hierarchy", hierarchy).drop("_depth", "_at", *(f"_open{d}" for d in range(1, deepest + 1)))
+    return told.withColumn("hierarchy", hierarchy).drop("_depth", *(f"_open{d}" for d in range(1, deepest + 1)))
 
 
 def clinical_domain(hierarchy: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leafmill.functions.text import audit_hash, is_iso_time
-from leafmill.operators import chunks, compare, markdown, pages, quality, reports, validate
+from leafmill.operators import chunks, discover, markdown, pages, quality, reports, validate
 from leafmill.plans import report_queries as r
 from leafmill.plans import table_queries as t
 from leafmill.plans import text_queries as x
@@ -140,6 +140,16 @@ def chunk_summary(spark, folder):
     return out
 
 
+def known_drugs(spark, folder):
+    """Drug names of the documents: those with a dose range, with a drug's ending, or before a dose."""
+    return discover.drug_names(x.docs(spark, folder), "text", x.DRUG_ENDINGS, known=tuple(t.dose_ranges(spark, folder)))
+
+
+def titles(spark, folder):
+    """The first line of at least ten characters of each document."""
+    return x.docs(spark, folder).select("doc_id", discover.title_of(F.split("text", "\n")).alias("title"))
+
+
 # --- pages ---------------------------------------------------------------------------------------
 
 
@@ -225,7 +235,7 @@ QUERIES = {
     for f in (
         ground_truth_kinds, truth_recheck, accuracy_kinds, valid_truth, dosing_metadata, age_limits, table_enrichment, context_previews, chunk_hashes,
         json_tokens, iso_times, chunk_summary, dosing_pages, second_engine_tables, recognition_requests, embedded_images, page_parts, markdown_export,
-        all_chunks, structure_report, tables_report, consistency_report, terms_report, human_review, overall_report, quality_counts,
+        all_chunks, known_drugs, titles, structure_report, tables_report, consistency_report, terms_report, human_review, overall_report, quality_counts,
     )
 }
 
@@ -335,6 +345,9 @@ SQL = {
     "a as (select doc_id, 'narrative' as kind, 0 as rank, page, chunk_id as key, text as content, null as nll, null as caption, 0 as late from c union all select doc_id, 'table', 1, page, lpad(r.report_id::varchar, 12, '0'), markdown, nll, null, 0 from r left join nl on nl.report_id = r.report_id where engine = 'docling' "
     "union all select doc_id, 'image', 2, page_no, image_id, ocr_text, null, caption, 0 from i union all select doc_id, 'stitched', 3, page, upper_id || '+' || lower_id, null, null, null, 1 from st) "
     "select doc_id, row_number() over (partition by doc_id order by late, page nulls first, rank, key) as chunk_no, kind, page, key, length(content) as n_chars, length(nll) as nll_chars, caption from a",
+    "known_drugs": f"with dk as ({x.SQL['drug_discovery']}), ws as (select word, count(*) as times from (select unnest(regexp_extract_all(lower(text), '\\b([a-z]{{4,20}})\\b', 1)) as word from documents where text is not null) group by 1), kn as (select distinct lower(drug) as word from dose_ranges) "
+    "select ws.word, ws.times, case when kn.word is not null then 'known' else dk.by end as by from ws left join dk on dk.word = ws.word left join kn on kn.word = ws.word where dk.word is not null or kn.word is not null",
+    "titles": f"select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda v: trim(v, ' ')), lambda v: length(v) >= 10)[1] as title from documents where text is not null",
     "structure_report": _STRUCTURE,
     "tables_report": _TABLES,
     "consistency_report": _CONSISTENCY,

@@ -87,6 +87,10 @@ _SQL = {
  bd as (select report_id, n, {_fl} as low, {_fh} as high from c where {_is_band}), g as (select report_id, count(*) filter (where abs(high - nl) > 0.5) as gaps from (select report_id, high, lead(low) over (partition by report_id order by n) as nl from bd) group by 1),
  dv as (select report_id, n, try_cast(regexp_extract(coalesce(dose, ''), '([\\d.]+)', 1) as double) as v from c), q as (select report_id, count(*) filter (where v < pv) as drops from (select report_id, v, lag(v) over (partition by report_id order by n) as pv from dv where v is not null) group by 1)
  select d.report_id, coalesce(gaps, 0) as gaps, coalesce(drops, 0) as drops from d left join g using (report_id) left join q using (report_id)""",
+    "stitched_sentences": f"""with ss as ({t.SQL['stitch_tables']}), rw as (select upper_id, lower_id, row_no, list(cell order by col_no) as w from ss group by 1, 2, 3),
+ hd as (select upper_id, lower_id, list_filter(w, z -> z <> '') as heads from rw where row_no = 0), bd as (select rw.upper_id, rw.lower_id, row_no, heads, list_filter(w, z -> z <> '') as cs from rw join hd on hd.upper_id = rw.upper_id and hd.lower_id = rw.lower_id where row_no > 0),
+ se as (select upper_id, lower_id, row_no, case when least(len(heads), len(cs)) = 0 then null else 'IF ' || heads[1] || ' is ' || cs[1] || case when least(len(heads), len(cs)) > 1 then ', THEN ' || array_to_string(list_transform(range(2, least(len(heads), len(cs)) + 1), i -> heads[i] || ' is ' || cs[i]), ', ') || '.' else '' end end as s from bd)
+ select upper_id, lower_id, string_agg(s, chr(10) order by row_no) as nll, count(*) as num_rows from se group by 1, 2""",
     "tables_of_chunks": f"with {t._R}, {x._C}, p as (select doc_id, page, string_agg(report_id, ',' order by report_id) as tables, count(*) as n_tables from r group by 1, 2) select chunk_id, tables, n_tables from c join p using (doc_id, page)",
     "tables_without_chunk": f"with {t._R}, {x._C} select report_id, doc_id, page, num_rows from r where num_rows > 1 and not exists (select 1 from c where c.doc_id = r.doc_id and c.page = r.page)",
     "review_flags": f"with {t._R}, {x._C}, f as (select doc_id, page, 'dosing_table' as kind from r where contains(lower(markdown), 'dose') or contains(lower(markdown), 'mg') or contains(lower(markdown), 'tablet') or contains(lower(markdown), 'administration') "

@@ -72,7 +72,7 @@ def elements(spark, folder):
 def hierarchy(spark, folder):
     """Headings of each guideline as a stack by their level."""
     c = chunk_rows(spark, folder).where("heading is not null and level is not null")
-    return lines.with_hierarchy(c, "doc_id", "chunk_id", depth=F.col("level")).select("chunk_id", F.array_join("hierarchy", " > ").alias("path"), lines.clinical_domain(F.col("hierarchy")).alias("domain"))
+    return lines.with_hierarchy(c, "doc_id", ["page", "chunk_id"], depth=F.col("level")).select("chunk_id", F.array_join("hierarchy", " > ").alias("path"), lines.clinical_domain(F.col("hierarchy")).alias("domain"))
 
 
 def pack_paragraphs(spark, folder):
@@ -104,12 +104,12 @@ def safety_level(spark, folder):
 
 
 def links(spark, folder):
-    out = chunks.linked(_typed(spark, folder), "doc_id", "chunk_id", "chunk_id", F.col("kind") == "narrative")
+    out = chunks.linked(_typed(spark, folder), "doc_id", ["page", "chunk_id"], "chunk_id", F.col("kind") == "narrative")
     return out.select("chunk_id", "previous", "next", "narrative_before", "narrative_after")
 
 
 def link_dependents(spark, folder):
-    out = chunks.linked(_typed(spark, folder), "doc_id", "chunk_id", "chunk_id", F.col("kind") == "narrative")
+    out = chunks.linked(_typed(spark, folder), "doc_id", ["page", "chunk_id"], "chunk_id", F.col("kind") == "narrative")
     return chunks.dependents(out, "chunk_id")
 
 
@@ -304,6 +304,7 @@ _SEC = "sc as (select *, starts_with(line, '## ') as is_heading, (sum(starts_wit
 _I = "i as (select image_id, doc_id, image_index, page_no, caption, ocr_text, width, height, error from images qualify row_number() over (partition by image_id order by loaded_at desc nulls last) = 1)"
 _R = "r as (select report_id, doc_id, engine, page, num_cols, markdown from cross_validation_report where error is null and markdown is not null qualify row_number() over (partition by report_id order by loaded_at desc nulls last) = 1)"
 _WORDS = "len(list_filter(regexp_split_to_array({x}, '\\s+'), w -> w <> ''))"
+_TOKENS = "floor(" + _WORDS + " * 1.3::double)::int"
 _TYPED = "ty as (select *, case when coalesce(is_table_only, false) then 'other_table' when coalesce(has_tables, false) then 'dosing_table' else 'narrative' end as kind from c)"
 _Q = "q as (select question, count(*) as asked, sha256(question) as query_id from (select unnest(regexp_extract_all(text, '(?m)^Q: ([^\\n]+)$', 1)) as question from d) group by 1)"
 _TERMS = "list_filter(regexp_extract_all(lower({x}), '([a-z0-9]+)', 1), t -> length(t) > 1)"
@@ -348,7 +349,7 @@ _SQL = {
     "elements": f"with {_D}, {_L}, {_SEC}, b as (select *, case when starts_with(ltrim(line), '|') then 'table' when regexp_replace(line, '^\\s+|\\s+$', '', 'g') = '<!-- image -->' then 'image' else 'narrative' end as kind from sc where not is_heading and not regexp_matches(line, '^\\d+ of \\d+$')), "
     "s as (select *, case when lag(kind) over w is null or lag(kind) over w <> kind or kind = 'image' then 1 else 0 end as st from b window w as (partition by doc_id, section_no order by line_no)), "
     "e as (select *, (sum(st) over (partition by doc_id, section_no order by line_no))::bigint as element_no from s) select doc_id, section_no, element_no, kind, min(line_no) as first_line, count(*) as n_lines from e group by 1, 2, 3, 4",
-    "hierarchy": f"""with {_C}, h as (select chunk_id, doc_id, level, heading as h, row_number() over (partition by doc_id order by chunk_id) as n from c where heading is not null and level is not null),
+    "hierarchy": f"""with {_C}, h as (select chunk_id, doc_id, level, heading as h, row_number() over (partition by doc_id order by page nulls first, chunk_id) as n from c where heading is not null and level is not null),
  o as (select a.chunk_id, b.h, b.level, b.n, min(b2.level) as later from h a join h b on a.doc_id = b.doc_id and b.n <= a.n left join h b2 on b2.doc_id = a.doc_id and b2.n > b.n and b2.n <= a.n group by all)
  select chunk_id, string_agg(h, ' > ' order by n) as path, max_by(case when regexp_matches(h, '^(\\d+(?:\\.\\d+)*)\\s+(.*)') then regexp_extract(h, '^(\\d+(?:\\.\\d+)*)\\s+(.*)', 2) else h end, n) filter (where not regexp_matches(regexp_replace(h, '^\\d+(?:\\.\\d+)*\\s+', ''), '{lines.STRUCTURAL_HEADINGS.replace("'", "''")}')) as domain from o where later is null or later > level group by 1""",
     "chunk_records": f"with {_C}, k as (select chunk_id, row_number() over (partition by doc_id order by page nulls first, chunk_id) as chunk_no, case when heading is null then text else repeat('#', coalesce(level, 1)) || ' ' || heading || chr(10) || chr(10) || coalesce(text, '') end as content from c) "
@@ -364,9 +365,9 @@ _SQL = {
     "safety_level": f"with {_C}, {_TYPED} select chunk_id, kind, case when kind = 'dosing_table' then 'verbatim' when kind = 'narrative' and ({' or '.join(f"contains(lower(coalesce(text, '')), '{p}')" for p in chunks.DANGER_PHRASES)}) then 'verbatim' "
     f"when kind = 'narrative' and coalesce(regexp_matches(text, '(?i)({_HIGH})'), false) then 'high' else 'standard' end as level from ty",
     "links": f"with {_C}, {_TYPED}, t as (select *, case when kind = 'narrative' then chunk_id end as nid from ty) select chunk_id, lag(chunk_id) over w as previous, lead(chunk_id) over w as next, "
-    "case when kind <> 'narrative' then last_value(nid ignore nulls) over (partition by doc_id order by chunk_id rows between unbounded preceding and 1 preceding) end as narrative_before, "
-    "case when kind <> 'narrative' then first_value(nid ignore nulls) over (partition by doc_id order by chunk_id rows between 1 following and unbounded following) end as narrative_after from t window w as (partition by doc_id order by chunk_id)",
-    "link_dependents": f"with {_C}, {_TYPED}, t as (select *, case when kind = 'narrative' then chunk_id end as nid from ty), n as (select chunk_id, kind, last_value(nid ignore nulls) over (partition by doc_id order by chunk_id rows between unbounded preceding and 1 preceding) as nb from t) "
+    "case when kind <> 'narrative' then last_value(nid ignore nulls) over (partition by doc_id order by page nulls first, chunk_id rows between unbounded preceding and 1 preceding) end as narrative_before, "
+    "case when kind <> 'narrative' then first_value(nid ignore nulls) over (partition by doc_id order by page nulls first, chunk_id rows between 1 following and unbounded following) end as narrative_after from t window w as (partition by doc_id order by page nulls first, chunk_id)",
+    "link_dependents": f"with {_C}, {_TYPED}, t as (select *, case when kind = 'narrative' then chunk_id end as nid from ty), n as (select chunk_id, kind, last_value(nid ignore nulls) over (partition by doc_id order by page nulls first, chunk_id rows between unbounded preceding and 1 preceding) as nb from t) "
     "select nb as chunk, string_agg(chunk_id, ',' order by chunk_id) as context_for from n where kind <> 'narrative' and nb is not null group by 1",
     "section_siblings": f"with {_C} select chunk_id, count(*) over (partition by doc_id, heading) - 1 as siblings from c where heading is not null",
     "chunk_problems": "with t as (select chunk_id, text, regexp_replace(chunk_id, 'c0000001$', 'c9999999') as ref from chunk) select 'duplicate_id' as problem, count(*) as n from (select chunk_id from t group by 1 having count(*) > 1) "
@@ -378,6 +379,17 @@ _SQL = {
  one as (select query_id, question, string_agg(x, chr(10) || chr(10) order by rank) as body, list_sort(list_distinct(list(page))) as pages from hit group by 1, 2)
  select query_id, question, array_to_string(pages, ',') as pages, body || chr(10) || '---' || chr(10) || 'Triage Level: ' || case when {' or '.join(f"contains(lower(question), '{p}')" for p in retrieval.URGENT_PHRASES)} then 'RED' else 'GREEN' end
  || chr(10) || 'Immediate Actions: review the excerpts above.' || chr(10) || 'Next Steps / Monitoring: consult the full source.' || chr(10) || 'When to Refer: per excerpts.' || chr(10) || 'Citations: ' || array_to_string(list_transform(pages, p -> 'Page ' || p), ', ') as response from one""",
+    "guardrail": f"with an as (with {{ANSWERS}}), g as (select query_id, {' + '.join(f"(not contains(response, '{z}'))::int" for z in retrieval.REQUIRED_SECTIONS)} as missing_sections, case when regexp_matches(response, '{retrieval.TRIAGE}') then regexp_extract(response, '{retrieval.TRIAGE}', 1) end as triage, "
+    f"({' or '.join(f"contains(lower(question), '{p}')" for p in retrieval.URGENT_PHRASES)}) as urgent, {' + '.join(f"regexp_matches(lower(response), '{p}')::int" for p in retrieval.FORBIDDEN_ADVICE)} as forbidden from an) "
+    "select query_id, missing_sections, triage, coalesce(urgent and triage is not null and not contains(triage, 'RED'), false) as urgent_missed, forbidden, missing_sections = 0 and not coalesce(urgent and triage is not null and not contains(triage, 'RED'), false) and forbidden = 0 as passed from g",
+    "pack_paragraphs": f"""with recursive dd as (select doc_id, text, {_TOKENS.format(x='text')} as whole from documents where text is not null),
+ pp as (select doc_id, list_filter(list_transform(string_split(text, chr(10) || chr(10)), z -> regexp_replace(z, '^\\s+|\\s+$', '', 'g')), z -> z <> '') as ps from dd where whole > 100),
+ st as (select doc_id, ps, 0 as i, []::varchar[] as done, []::varchar[] as now, 0 as tok from pp
+  union all select doc_id, ps, i + 1, case when tok + {_TOKENS.format(x='ps[i + 1]')} > 100 and len(now) > 0 then list_append(done, array_to_string(now, chr(10) || chr(10))) else done end,
+  case when tok + {_TOKENS.format(x='ps[i + 1]')} > 100 and len(now) > 0 then [ps[i + 1]] else list_append(now, ps[i + 1]) end,
+  case when tok + {_TOKENS.format(x='ps[i + 1]')} > 100 and len(now) > 0 then {_TOKENS.format(x='ps[i + 1]')} else tok + {_TOKENS.format(x='ps[i + 1]')} end from st where i < len(ps)),
+ fi as (select doc_id, case when len(done) > 0 and tok < 20 then list_append(done[1:len(done) - 1], done[len(done)] || chr(10) || chr(10) || array_to_string(now, chr(10) || chr(10))) else list_append(done, array_to_string(now, chr(10) || chr(10))) end as pieces from st where i = len(ps)),
+ al as (select doc_id, [text] as pieces from dd where whole <= 100 union all select doc_id, pieces from fi) select doc_id, unnest(range(len(pieces))) as piece_no, unnest(pieces) as piece from al""",
     "unknown_citations": f"with {_C}, {_D}, ci as (select distinct doc_id, try_cast(unnest(regexp_extract_all(text, 'Page:?\\s*(\\d+)', 1) || regexp_extract_all(text, 'p\\.?\\s*(\\d+)', 1)) as int) as page from d) select doc_id, page from ci where not exists (select 1 from c where c.page = ci.page)",
     "ground_truth": f"with {_C}, {_D}, sp as (select guideline_id as doc_id, lower(string_agg(text, chr(10) order by doc_id)) as space from d where guideline_id is not null group by 1), it as (select chunk_id, doc_id, string_split(lower(heading), ' ') as words from c where heading is not null), "
     "h as (select chunk_id, len(words) as n, len(list_filter(words, w -> contains(coalesce(space, ''), w))) as found from it left join sp using (doc_id)) select chunk_id, found, n - found as missing, found = n as passed from h",
@@ -406,4 +418,5 @@ _SQL = {
     "select 'both' as part, count(*) as n from (select * from a intersect select * from b) union all select 'first', count(*) from (select * from a except select * from b) union all select 'second', count(*) from (select * from b except select * from a) union all select 'either', count(*) from (select * from a union select * from b)",
     "page_ranges": "select doc_id, row_number() over (partition by doc_id order by page) as new_page, page from (select doc_id, unnest(list_distinct(range(1, page_count // 3 + 1) || range(page_count - page_count // 3 + 1, page_count + 1))) as page from guideline_docs where page_count >= 3)",
 }
+_SQL["guardrail"] = _SQL["guardrail"].replace("with {ANSWERS}", _SQL["answers"])
 SQL = {k: re.sub(r"\b([a-z]) -> ", r"lambda \1: ", v) for k, v in _SQL.items()}
