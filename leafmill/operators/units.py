@@ -135,16 +135,14 @@ def proposed_units(codes: np.ndarray, levels: np.ndarray) -> np.ndarray:
     Both are (readings, quantities); each quantity's shifts are counted from the first reading
     that names its unit. A reading at that level is proposed the same unit.
     """
-    out = np.full(codes.shape, -1)
-    for j in range(codes.shape[1]):
-        named = np.nonzero(codes[:, j] >= 0)[0]
-        if not len(named):
-            continue
-        code = int(codes[named[0], j])
-        shift = levels[:, j] - levels[named[0], j]
-        out[np.abs(shift) <= TOLERANCE, j] = code
-        for i in np.nonzero(np.abs(shift) > TOLERANCE)[0]:
-            out[i, j] = unit_from_shift(ALL_UNITS[code % PER].kind, code, round(float(shift[i]), 4))
+    named = codes >= 0
+    columns = np.arange(codes.shape[1])
+    first = named.argmax(axis=0)
+    code = np.where(named.any(axis=0), codes[first, columns], -1)
+    shift = levels - levels[first, columns]
+    out = np.where(np.abs(shift) <= TOLERANCE, code, -1)
+    for i, j in zip(*np.nonzero((np.abs(shift) > TOLERANCE) & (code >= 0)), strict=True):
+        out[i, j] = unit_from_shift(ALL_UNITS[code[j] % PER].kind, int(code[j]), round(float(shift[i, j]), 4))
     return out
 
 
@@ -162,24 +160,21 @@ def _mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             by_size.setdefault(len(rows), []).append(k)
         out = []
         for ks in by_size.values():
-            logs = np.concatenate([np.stack([r["raws"] for r in blocks[k]]) for k in ks], axis=1)
-            levels = segment_levels(np.log(np.maximum(np.abs(logs), 1e-9)))
+            # all histories of one length side by side
+            raws, named = (np.concatenate([np.array([r[n] for r in blocks[k]]) for k in ks], axis=1) for n in ("raws", "codes"))
+            proposed = proposed_units(named, segment_levels(np.log(np.maximum(np.abs(raws), 1e-9))))
+            codes = np.where(named < 0, proposed, named)
+            size, told = (factors[np.maximum(c, 0) % PER] / np.maximum(1, c // PER) for c in (codes, proposed))
+            # a proposal that the name refutes marks nothing
+            confirmed = (named < 0) | ((np.abs(size - told) <= 1e-9 * size) & (codes != fahrenheit))
+            marks = np.where((proposed >= 0) & confirmed, proposed, -1)
+            common = np.where(codes < 0, np.nan, np.where(codes == fahrenheit, (raws - 32.0) / 1.8, raws * size))
             at = 0
             for k in ks:
                 rows = blocks[k]
-                named = np.stack([r["codes"] for r in rows])
-                raws = np.stack([r["raws"] for r in rows])
-                part = levels[:, at : at + named.shape[1]]
-                at += named.shape[1]
-                proposed = proposed_units(named, part)
-                codes = np.where(named < 0, proposed, named)
-                size, told = (factors[np.maximum(c, 0) % PER] / np.maximum(1, c // PER) for c in (codes, proposed))
-                alike = np.abs(size - told) <= 1e-9 * size
-                # a proposal that the name refutes marks nothing
-                marks = np.where((proposed >= 0) & ((named < 0) | (alike & (codes != fahrenheit))), proposed, -1)
-                common = np.where(codes == fahrenheit, (raws - 32.0) / 1.8, raws * size)
-                common = np.where(codes < 0, np.nan, common)
-                out += [(r["id"], b["page"][k], b["history"][k], c, m, v) for r, c, m, v in zip(rows, codes, marks, common, strict=True) if r["own"]]
+                mine = slice(at, at + len(rows[0]["raws"]))
+                at = mine.stop
+                out += [(r["id"], b["page"][k], b["history"][k], codes[i, mine], marks[i, mine], common[i, mine]) for i, r in enumerate(rows) if r["own"]]
         yield pd.DataFrame(out, columns=["id", "page", "history", "codes", "marks", "commons"])
 
 
@@ -205,9 +200,12 @@ def in_stretches(timed: DataFrame, sizes: DataFrame, block: int) -> DataFrame:
     return placed.withColumn("mine", own).withColumn("block", F.explode(near)).withColumn("own", F.col("block") == F.col("mine"))
 
 
-def mark_unit_changes(parsed: DataFrame, block: int = BLOCK) -> DataFrame:
+def mark_unit_changes(parsed: DataFrame, block: int = BLOCK, only_changes: bool = False) -> DataFrame:
     """Each reading's units, confirmed marks and common values after segmentation of its history.
 
+    With `only_changes`, histories that write the same units throughout are left out: they hold
+    no pair in different units, and nothing that would tell a unit left unnamed by all.
+
     `marks` has the unit that a level shift proposes, where the named unit doesn't refute it,
     else -1. `parsed` should be checkpointed: it is read more than once.
     """
@@ -218,15 +216,23 @@ def mark_unit_changes(parsed: DataFrame, block: int = BLOCK) -> DataFrame:
     reading = F.collect_list(F.struct("at", "id", "codes", "raws", "own")).alias("readings")
     if sizes.isEmpty():
         whole = one.withColumn("own", F.lit(True)).groupBy(*KEYS).agg(reading)
+        whole = whole.where(_changes()) if only_changes else whole
         return whole.withColumn("anchor", F.lit(None).cast("struct<codes:array<int>,raws:array<double>>")).select(*KEYS, "readings", "anchor").mapInPandas(_mark, MARKED)
     # only histories longer than a stretch need the first reading beside it
     keys = counted_side(sizes.select(*KEYS))
     short = one.join(keys, KEYS, "left_anti").select("*", F.lit(0).cast("bigint").alias("block"), F.lit(True).alias("own"))
+    columns = short.columns
+    # a long history may change its units from one stretch to the next
+    wanted = _changes() | (F.col("block") > 0) | F.col("anchor").isNotNull() if only_changes else F.lit(True)
     bounds = sizes.select(*KEYS, "n", "lo", F.coalesce("hi", "lo").alias("hi"))
-    long = in_stretches(one, bounds, block).select(*short.columns)
+    long = in_stretches(one, bounds, block).select(*columns)
     anchors = sizes.select(*KEYS, "id").join(one, [*KEYS, "id"]).select(*KEYS, F.struct("codes", "raws").alias("anchor"))
     blocks = short.unionByName(long).groupBy(*KEYS, "block").agg(reading).join(counted_side(anchors), KEYS, "left")
-    return blocks.select(*KEYS, "readings", "anchor").mapInPandas(_mark, MARKED)
+    return blocks.where(wanted).select(*KEYS, "readings", "anchor").mapInPandas(_mark, MARKED)
+
+
+def _changes():
+    return F.size(F.array_distinct(F.transform("readings", lambda r: r["codes"]))) > 1
 
 
 def same_in_other_units(marked: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
@@ -293,4 +299,4 @@ def readings(report: DataFrame, id_: str, source: str, page: str, at: str, text:
 def unit_pairs(report: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Parse, segment, pair; `columns` are id, source, page, time and text column of `report`."""
     parsed = cut(parse_readings(readings(report, *columns)))
-    return same_in_other_units(cut(mark_unit_changes(parsed)))
+    return same_in_other_units(cut(mark_unit_changes(parsed, only_changes=True)))
