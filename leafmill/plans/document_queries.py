@@ -150,6 +150,19 @@ def titles(spark, folder):
     return x.docs(spark, folder).select("doc_id", discover.title_of(F.split("text", "\n")).alias("title"))
 
 
+MOST_DRUGS = 20
+
+
+def truth_proposals(spark, folder):
+    """Ground-truth items proposed from dosing and assessment pages, joined words."""
+    drugs = sorted(t.dose_ranges(spark, folder))[:MOST_DRUGS]
+    out = discover.truth_proposals(
+        x.chunk_rows(spark, folder).where("page is not null"), t.readings(spark, folder), dosing_pages(spark, folder), x.assessment_pages(spark, folder),
+        "doc_id", "page", "chunk_id", "text", "report_id", "markdown", drugs,
+    )
+    return out.select("doc_id", "page", "kind", F.array_join("words", " + ").alias("words"))
+
+
 # --- pages ---------------------------------------------------------------------------------------
 
 
@@ -235,7 +248,7 @@ QUERIES = {
     for f in (
         ground_truth_kinds, truth_recheck, accuracy_kinds, valid_truth, dosing_metadata, age_limits, table_enrichment, context_previews, chunk_hashes,
         json_tokens, iso_times, chunk_summary, dosing_pages, second_engine_tables, recognition_requests, embedded_images, page_parts, markdown_export,
-        all_chunks, known_drugs, titles, structure_report, tables_report, consistency_report, terms_report, human_review, overall_report, quality_counts,
+        all_chunks, known_drugs, titles, truth_proposals, structure_report, tables_report, consistency_report, terms_report, human_review, overall_report, quality_counts,
     )
 }
 
@@ -307,6 +320,32 @@ _REVIEW = f"""select * from (with {t._R}, {x._C}, {_G}, rq as ({_REQUESTS}), a a
  k as (select g.doc_id, coalesce(dosing_tables, 0) as dosing_tables, coalesce(warning_pages, 0) as warning_pages, coalesce(scanned_pages, 0) as scanned_pages from g left join a on a.doc_id = g.doc_id left join b on b.doc_id = g.doc_id left join s on s.doc_id = g.doc_id)
  select *, round(greatest(0.0, least(1.0, 1.0 - (dosing_tables + warning_pages + scanned_pages) * 0.1::double)), 6)::double as confidence, dosing_tables + warning_pages + scanned_pages = 0 as passed from k)"""
 
+def _sentences(asked: str, texts: str, plain) -> str:
+    """Rows (doc_id, page, rank, word, other) of the first telling sentences."""
+    listed = ", ".join(f"'{w}'" for w in plain)
+    return (
+        f"(select doc_id, page, rank, word, other from (select a.*, chunk_id, k, list_filter(list_transform(list_filter(regexp_split_to_array(s, '\\s+'), lambda v: length(v) > 3), lambda v: trim(lower(v), '.,;:()')), lambda v: v <> a.word and v not in ({listed}))[1] as other "
+        f"from {asked} a join (select doc_id, page, chunk_id, unnest(range(len(ss))) as k, {t._s('unnest(ss)')} as s from (select doc_id, page, chunk_id, regexp_split_to_array(text, '[.;\\n]') as ss from {texts})) z on z.doc_id = a.doc_id and z.page = a.page "
+        "where contains(lower(s), a.word) and length(s) between 11 and 119 and len(list_filter(regexp_split_to_array(s, '\\s+'), lambda v: length(v) > 3)) >= 2) where other is not null qualify row_number() over (partition by doc_id, page, rank order by chunk_id, k) = 1)"
+    )
+
+
+def _held(texts: str, words: str, rank: str) -> str:
+    """The first of the words (word, ord) that a page of `texts` holds."""
+    return f"(select doc_id, page, {rank} as rank, word from {texts} join {words} w on contains(lower(text), word) qualify row_number() over (partition by doc_id, page, {rank} order by w.ord) = 1)"
+
+
+_SECTION_ROWS = "(select * from (values " + ", ".join(f"({k}, {n}, '{w}')" for k, ws in enumerate(discover.SECTION_TYPES.values()) for n, w in enumerate(ws)) + ") v(section, ord, word))"
+_PROPOSALS = f"""with {t._R}, {x._C}, dp as ({{DOSING}}), ap as ({x.SQL['assessment_pages']}), tx as (select * from c where text is not null and page is not null), lp as (select doc_id, page, row_number() over (partition by doc_id order by page) as no from dp),
+ dr as (select lower(drug) as word, row_number() over (order by drug) as ord from dose_ranges qualify ord <= 20), t1 as (select tx.* from tx join lp on lp.doc_id = tx.doc_id and lp.page = tx.page where no <= 10), h1 as {_held('t1', 'dr', '0')}, s1 as {_sentences('h1', 't1', discover.PLAIN_WORDS)},
+ ft as (select r.doc_id, r.page, markdown from r join lp on lp.doc_id = r.doc_id and lp.page = r.page where no <= 8 qualify row_number() over (partition by r.doc_id, r.page order by report_id) = 1),
+ fl as (select doc_id, page, list_filter(list_transform(string_split(markdown, chr(10)), lambda v: {t._s('v')}), lambda v: v <> '' and not contains(v, '---')) as ls from ft),
+ fc as (select doc_id, page, list_filter(flatten(list_transform(ls[2:], lambda y: list_filter(list_transform(string_split(y, '|'), lambda v: {t._s('v')}), lambda v: v <> ''))), lambda v: regexp_matches(v, '[0-9]') and length(v) between 4 and 39)[1] as cell from fl where len(ls) > 2),
+ t3 as (select tx.* from tx where (doc_id, page) in (select (doc_id, page) from ap)), h3 as {_held('t3', _SECTION_ROWS, 'section')}, s3 as {_sentences('h3', 't3', discover.PLAIN_WORDS_OF_SECTIONS)},
+ b3 as (select *, row_number() over (partition by doc_id order by page) as no from (select * from s3 qualify row_number() over (partition by doc_id, page order by rank) = 1)),
+ al as (select doc_id, page, 'text' as kind, 1 as way, word || ' + ' || other as words from s1 union all select doc_id, page, 'table', 2, cell from fc where cell is not null union all select doc_id, page, 'text', 3, word || ' + ' || other from b3 where no <= 5),
+ k as (select * from al qualify row_number() over (partition by doc_id, page, kind order by way) = 1) select doc_id, page, kind, words from k qualify row_number() over (partition by doc_id order by way, page) <= 20"""
+
 SQL = {
     "ground_truth_kinds": _GT,
     "truth_recheck": _AGAIN,
@@ -358,3 +397,4 @@ SQL = {
     "quality_counts": f"with tq as ({t.SQL['table_quality']}), iq as ({x.SQL['image_quality']}), sk as (select count(distinct report_id) as n from cross_validation_report where error is not null) "
     "select 'table' as what, count(*) filter (where passed) as passed, count(*) filter (where not passed) as failed, (select n from sk) as skipped from tq union all select 'image', count(*) filter (where passed), count(*) filter (where not passed), 0 from iq",
 }
+SQL["truth_proposals"] = _PROPOSALS.replace("{DOSING}", SQL["dosing_pages"])

@@ -173,3 +173,18 @@ def test_golden_tables(spark):
     assert {r.text for r in got["golden_lines"]} >= {"The dose is given", "WorldAgain"}
     assert {(r.upper_id, r.lower_id) for r in got["golden_breaks"]} == {(1, 2), (3, 4)}
     assert {r.n: r.path for r in got["golden_hierarchy"]}[7] == "2 Cough > 2.1 Less deep"
+
+
+def test_truth_proposals(spark):
+    page_rows = [
+        ("d", 1, "c1", "Nothing here. Short dose."), ("d", 1, "c2", "Give artane with water to the child; artane tablets are kept dry."), ("d", 2, "c3", "The quinol syrup"),
+        ("d", 3, "c4", "Danger signs include fits and fever.\nManagement begins at home"), ("d", 3, "c5", None), ("e", 1, "c6", "x" * 90_000),
+    ]
+    chunk = spark.createDataFrame(page_rows, "doc string, page int, c string, text string")
+    t = spark.createDataFrame([("d", 1, 2, "| a | b |\n|---|---|\n| x | 12 mg daily |"), ("d", 1, 1, "| a |\n|---|\n| 5 |\n| 7 to 9 kg |"), ("d", 2, 3, "| only 1234 |"), ("d", 2, 4, None)], "doc string, page int, id int, md string")
+    dosing = spark.createDataFrame([("d", 1), ("d", 2), ("e", 1)], "doc string, page int")
+    assessed = spark.createDataFrame([("d", 3), ("d", 1)], "doc string, page int")
+    got = discover.truth_proposals(chunk, t, dosing, assessed, "doc", "page", "c", "text", "id", "md", ("Quinol", "Artane")).collect()
+    assert {(r.doc, r.page, r.kind, tuple(r.words)) for r in got} == {("d", 1, "text", ("artane", "give")), ("d", 1, "table", ("7 to 9 kg",)), ("d", 2, "text", ("quinol", "syrup")), ("d", 3, "text", ("management", "begins"))}
+    none = discover.truth_proposals(chunk.limit(0), t.limit(0), dosing.limit(0), assessed.limit(0), "doc", "page", "c", "text", "id", "md", ("a",))
+    assert none.count() == 0
