@@ -35,7 +35,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.llm.digests import ODD, bitmap, broadcast_filter, mixed, parts, passes, word_digest
@@ -335,7 +335,9 @@ LAYOUT = "rec_table string, rec_id string, version bigint, stream string, header
 
 @lru_cache(maxsize=200_000)
 def _streamed(token: str) -> str:
-    """What a token leaves in the stream: a number as it stands, else the form of its core."""
+    """What a token leaves in the stream: a number or divided word as it stands, else the form of its core."""
+    if BREAK in token:
+        return token
     core = core_of(token)
     return core if _NUMBER.fullmatch(core) else normal(core)
 
@@ -347,7 +349,7 @@ def _make_layout(whole: bool):
             out = []
             for table, id_, version, text, page, title, short in zip(b["rec_table"], b["rec_id"], b["version"], b["text"], b["page"], b["title"], b["short_name"], strict=True):
                 lines, header, pageno = read_layout(text, None if pd.isna(page) else int(page), title, short)
-                stream = " ".join([x for line in lines for t in line if (x := t if BREAK in t else _streamed(t))])
+                stream = " ".join(filter(None, map(_streamed, itertools.chain.from_iterable(lines))))
                 out.append((table, id_, version, stream, header, pageno, *(["\n".join(" ".join(x) for x in lines)] if whole else [])))
             yield pd.DataFrame(out, columns=names)
 
@@ -412,8 +414,9 @@ def _true_count(n: Column, explained: Column, figures: Column) -> Column:
 def _expected(pairs: DataFrame, probabilities: dict[str, float]) -> DataFrame:
     """`pairs` with `l`, its expected misreadings, and by word `explained`, all expected ones, and `true`."""
     each = pairs.withColumn("l", F.col("cn") * _probability(probabilities))
-    of_word = each.groupBy("word").agg(F.sum("l").alias("explained"), F.bool_or(F.col("cand") == NUMBER).alias("figures"))
-    return each.join(of_word, "word").withColumn("true", _true_count(F.col("n"), F.col("explained"), F.col("figures")))
+    word = Window.partitionBy("word")
+    told = each.withColumn("explained", F.sum("l").over(word)).withColumn("figures", F.max(F.col("cand") == NUMBER).over(word))
+    return told.withColumn("true", _true_count(F.col("n"), F.col("explained"), F.col("figures")))
 
 
 def estimate_confusions(pairs: DataFrame, seen: DataFrame) -> dict[str, float]:
@@ -598,7 +601,7 @@ def decided_segments(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     more = halves.select(F.col("joined").alias("w")).union(halves.select("hyphened"))
     pairs = cut(confusable(seen, counts, more))
     p = estimate_confusions(pairs, seen)
-    known = _expected(pairs, p)
+    known = cut(_expected(pairs, p))
     true = known.groupBy("word").agg(F.max("true").alias("true"))
     meant = counts.join(true, F.col("w") == F.col("word"), "left").select("w", F.coalesce("true", F.col("n").cast("double")).alias("n"))
     cost = F.log(_probability(p)) / F.lit(math.log(CONFUSION_P))
