@@ -37,7 +37,7 @@ def canonical_text(df: DataFrame, column: str, within: Sequence[str] = (), out:
     on = F.col("_member") == _digest(F.col(f"d.`{column}`"))
     for i, k in enumerate(within):
         on &= F.col(f"_w{i}").eqNullSafe(F.col(f"d.`{k}`"))
-    return df.alias("d").join(best, on, "left").select("d.*", F.coalesce(best[out], F.col(f"d.`{column}`")).alias(out))
+    return df.alias("d").join(best, on, "left").select(*(F.col(f"d.`{c}`") for c in df.columns), F.coalesce(best[out], F.col(f"d.`{column}`")).alias(out))
 
 
 def _digest(text: Column) -> Column:
@@ -66,7 +66,7 @@ def canonical_elements(df: DataFrame, column: str, out: str = "canonical") -> Da
     arrays = canonical.groupBy("_array").agg(F.transform(ordered, lambda x: x["_canonical"]).alias(out))
     # an empty array has no elements to join back
     whole = df.alias("d").join(arrays, F.col(f"d.`{column}`") == F.col("_array"), "left")
-    return whole.select("d.*", F.coalesce(arrays[out], F.col(f"d.`{column}`")).alias(out))
+    return whole.select(*(F.col(f"d.`{c}`") for c in df.columns), F.coalesce(arrays[out], F.col(f"d.`{column}`")).alias(out))
 
 
 def _variants(df: DataFrame, key: str, within: Sequence[str], texts: Sequence[str]) -> tuple[DataFrame, DataFrame]:

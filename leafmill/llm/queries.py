@@ -131,5 +131,8 @@ SQL: dict[str, str] = {
     "p2_classes": _LOOKS + "select report_id, min(report_id) over (partition by doc_id, page, m, h) as class_id from v where (doc_id, page, m, h) in (select (doc_id, page, m, h) from v group by doc_id, page, m, h having count(distinct (markdown, stored)) > 1)",
     "p2_canonical": f"with t as (select distinct report_id, markdown from cross_validation_report), n as (select markdown, {fold_sql('markdown')} as look, count(*) as n from t where markdown is not null group by 1), "
     "k as (select look, first(markdown order by n desc, length(markdown), markdown) as canonical from n group by 1) select report_id, t.markdown, canonical from t left join n on n.markdown = t.markdown left join k on k.look = n.look",
+    "p2_headers": "with t as (select row_number() over () as row_no, report_id, headers from (select distinct report_id, headers from cross_validation_report)), e as (select row_no, unnest(range(len(headers))) as place, unnest(headers) as h from t where headers is not null), "
+    f"n as (select h, {fold_sql('h')} as look, count(*) as n from e where h is not null group by 1), k as (select look, first(h order by n desc, length(h), h) as canonical from n group by 1), "
+    "c as (select row_no, list(canonical order by place) as canonical from e left join n on n.h = e.h left join k on k.look = n.look group by 1) select report_id, headers, coalesce(canonical, headers) as canonical from t left join c on c.row_no = t.row_no",
     "p4_found": "select distinct 'chunk' as rec_table, chunk_id as rec_id from chunk where length(text) > 2000 union select distinct 'cross_validation_report', report_id::varchar from cross_validation_report where length(markdown) > 2000",
 }

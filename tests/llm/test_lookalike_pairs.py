@@ -40,7 +40,9 @@ def test_canonical_headers(spark, tmp_path):
 
     rows = [(1, ["Dose", "Age"]), (2, ["Dose", "Age"]), (3, ["Dоse", "Age"]), (4, ["Age", "Dоse", None, "Dose"]), (5, []), (6, None), (7, ["Day"]), (8, ["Dаy"]), (9, ["Dаy"]), (10, ["a＂,＂b"]), (3, ["Dоse", "Age"])]
     spark.createDataFrame(rows, "report_id long, headers array<string>").write.parquet(f"{tmp_path}/cross_validation_report.parquet")
-    got = {r.report_id: r.canonical for r in QUERIES["p2_headers"](spark, str(tmp_path)).collect()}
+    out = QUERIES["p2_headers"](spark, str(tmp_path))
+    assert out.columns == ["report_id", "headers", "canonical"]
+    got = {r.report_id: r.canonical for r in out.collect()}
     assert got == {1: ["Dose", "Age"], 2: ["Dose", "Age"], 3: ["Dose", "Age"], 4: ["Age", "Dose", None, "Dose"], 5: [], 6: None, 7: ["Dаy"], 8: ["Dаy"], 9: ["Dаy"], 10: ["a＂,＂b"]}
 
 
