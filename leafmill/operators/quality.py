@@ -8,8 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.functions.text import let
+from leafmill.operators import substrings
 from leafmill.operators.chunks import numbered
+from leafmill.session import counted_side, cut
 
 
 def share(part: Column, whole: Column, places: int = 1) -> Column:
@@ -17,22 +18,26 @@ def share(part: Column, whole: Column, places: int = 1) -> Column:
     return F.coalesce(F.round(F.try_divide(100.0 * part, whole), places), F.lit(0.0))
 
 
-#: Most words that one text is searched for at a time.
-WORDS = 1_000
+#: Most words of a space that its texts are searched for one by one.
+WORDS = 100
 
 
 def held_words(items: DataFrame, spaces: DataFrame, on: list[str]) -> DataFrame:
     """(on, word): the distinct words of items that some text of their search space holds, whatever the case.
 
-    Distinct words of a space are dealt to lists of about `WORDS`, so no row holds all of a hot
-    space's words; its texts stay rows of their own.
+    Texts of a space with more than `WORDS` words are searched for all words of all such spaces in one
+    pass, so the work grows with the texts, not with the texts times the words.
     """
-    words = items.select(*on, F.explode("words").alias("word")).where("word <> ''").distinct()
+    words = cut(items.select(*on, F.explode("words").alias("word")).where("word <> ''").distinct().withColumn("_low", F.lower("word")))
     n = words.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-    dealt = words.join(n, on).withColumn("_list", F.pmod(F.xxhash64("word"), F.ceil(F.col("_n") / WORDS)))
-    lists = dealt.groupBy(*on, "_list").agg(F.collect_list("word").alias("_words")).drop("_list")
-    hits = let(F.lower("space"), lambda low: F.filter("_words", lambda w: F.contains(low, F.lower(w))))
-    return spaces.where("space is not null").join(lists, on).select(*on, F.explode(hits).alias("word")).distinct()
+    texts = spaces.where("space is not null").select(*on, F.lower("space").alias("_text"))
+    lists = words.join(n.where(F.col("_n") <= WORDS), on, "left_semi").groupBy(*on).agg(F.collect_list("_low").alias("_words"))
+    hits = texts.join(lists, on).select(*on, F.explode(F.filter("_words", lambda w: F.contains("_text", w))).alias("_low"))
+    many = cut(n.where(F.col("_n") > WORDS).select(*on))
+    if not many.isEmpty():
+        asked = substrings.broadcast_words(words.join(counted_side(many), on, "left_semi").select("_low").distinct(), "_low")
+        hits = hits.union(substrings.candidates(texts.join(counted_side(many), on, "left_semi"), on, "_text", "_low", asked))
+    return words.join(hits.distinct(), [*on, "_low"], "left_semi").select(*on, "word")
 
 
 def ground_truth(items: DataFrame, spaces: DataFrame, on: list[str], key: str) -> DataFrame:
