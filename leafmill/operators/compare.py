@@ -74,9 +74,11 @@ def stitched_rows(pairs: DataFrame, tables: DataFrame, key: str, markdown: str)
     The upper header stays the header. The lower header becomes a data row unless it repeats
     the upper one. Cells are cleaned of line breaks.
     """
-    cells = table_cells(tables.select(key, markdown), key, markdown, keep_empty=True).withColumn("cell", clean_cell(F.col("cell")))
-    rows = cells.groupBy(key, "row_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("col_no", "cell"))), lambda x: x["cell"]).alias("cells"))
     ids = pairs.select("upper_id", "lower_id")
+    divided = ids.select(F.explode(F.array("upper_id", "lower_id")).alias(key)).distinct()
+    own = tables.select(key, markdown).join(divided, key, "left_semi")  # only their cells are worked out
+    cells = table_cells(own, key, markdown, keep_empty=True).withColumn("cell", clean_cell(F.col("cell")))
+    rows = cells.groupBy(key, "row_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("col_no", "cell"))), lambda x: x["cell"]).alias("cells"))
     upper = ids.join(rows.withColumnRenamed(key, "upper_id"), "upper_id").select("upper_id", "lower_id", F.lit(0).alias("part"), "row_no", "cells")
     lower = ids.join(rows.withColumnRenamed(key, "lower_id"), "lower_id").select("upper_id", "lower_id", F.lit(1).alias("part"), "row_no", "cells")
     heads = upper.where("row_no = 0").select("upper_id", "lower_id", F.col("cells").alias("head"))

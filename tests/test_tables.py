@@ -143,3 +143,12 @@ def test_config(tmp_path):
     with pytest.raises(ValueError, match="unknown"):
         load_config(tmp_path / "c.json")
     assert any_pattern(()) is None and any_pattern(("HC II", "HC III")) == "(?i)(HC\\ III|HC\\ II)"
+
+
+def test_stitching_reads_only_divided_tables(spark):
+    pairs = spark.createDataFrame([(1, 2)], "upper_id long, lower_id long")
+    tables = spark.createDataFrame([(1, "| a | b |\n|---|---|\n| 1 | |"), (2, "| a | b |\n| 2 | 3 |"), (3, "| a |")], "id long, md string")
+    stitched = compare.stitched_rows(pairs, tables, "id", "md")
+    got = [tuple(r) for r in stitched.orderBy("row_no", "col_no").collect()]
+    assert got == [(1, 2, 0, 0, "a"), (1, 2, 0, 1, "b"), (1, 2, 1, 0, "1"), (1, 2, 1, 1, ""), (1, 2, 2, 0, "2"), (1, 2, 2, 1, "3")]
+    assert stitched._jdf.queryExecution().optimizedPlan().toString().count("Join LeftSemi") >= 2  # one a side, below the split into cells
