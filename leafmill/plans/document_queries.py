@@ -56,11 +56,12 @@ def truth_recheck(spark, folder):
 
 def accuracy_kinds(spark, folder):
     """Accuracy by kind, of the re-checked tables, and of texts, images and re-checked tables together."""
-    first = ground_truth_kinds(spark, folder).select("kind", "passed")
-    again = truth_recheck(spark, folder).select(F.lit("table again").alias("kind"), "passed")
-    last = first.where("kind <> 'table'").unionByName(again).withColumn("kind", F.lit("combined"))
-    every = first.unionByName(again).unionByName(last)
-    out = every.groupBy("kind").agg(F.count(F.lit(1)).alias("items"), F.count_if("passed").alias("passed"))
+    counts = [F.count(F.lit(1)).alias("items"), F.count_if("passed").alias("passed")]
+    first = ground_truth_kinds(spark, folder).groupBy("kind").agg(*counts)
+    again = truth_recheck(spark, folder).groupBy(F.lit("table again").alias("kind")).agg(*counts)
+    last = F.when(F.col("kind") != "table", F.lit("combined"))
+    every = first.unionByName(again).withColumn("kind", F.explode(F.array_compact(F.array("kind", last))))
+    out = every.groupBy("kind").agg(F.sum("items").alias("items"), F.sum("passed").alias("passed"))
     return out.withColumn("accuracy", quality.share(F.col("passed"), F.col("items")))
 
 

@@ -155,3 +155,16 @@ def test_page_similarity_compares_all_readings(spark, tmp_path):
     rows += [(12, "docling", 3, 0, "q"), (9, "docling", 3, 0, "p"), (20, "pymupdf", 3, 0, "p"), (21, "pymupdf", 3, 0, "q"), (21, "pymupdf", 3, 0, "q")]
     folder = page_folder(spark, tmp_path, readings=rows)
     assert {r.page_key: r.similarity for r in text_queries.page_similarity(spark, folder).collect()} == {"g/1": 6 / 10, "g/3": 1.0}
+
+
+def test_accuracy_counts_each_ground_truth_once(spark, monkeypatch):
+    from leafmill.plans import document_queries
+
+    first = spark.createDataFrame([("a", "text", True), ("b", "text", False), ("c", "image", True), ("d", "table", False)], "item string, kind string, passed boolean")
+    again = spark.createDataFrame([("d", True), ("e", False), ("f", True)], "item string, passed boolean")
+    monkeypatch.setattr(document_queries, "ground_truth_kinds", lambda *_: first)
+    monkeypatch.setattr(document_queries, "truth_recheck", lambda *_: again)
+    out = document_queries.accuracy_kinds(spark, "")
+    want = {"text": (2, 1, 50.0), "image": (1, 1, 100.0), "table": (1, 0, 0.0), "table again": (3, 2, 66.7), "combined": (6, 4, 66.7)}
+    assert {r.kind: (r["items"], r.passed, r.accuracy) for r in out.collect()} == want
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 2
